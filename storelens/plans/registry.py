@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelens.operators import filters, forecast, kpis, monitor, products, quality, rfm, summaries
+from storelens.operators import filters, forecast, kpis, models, monitor, products, quality, rfm, summaries
 from storelens.plans import params as P
 from storelens.plans import sqlviews
 from storelens.sources import sinks
@@ -37,6 +37,22 @@ def _sql(query: str) -> Query:
     return run
 
 
+def _loss(spark: SparkSession, src: str, variant: bool = False) -> models.LossModel:
+    p = P.LOSS_MODEL_VARIANT if variant else P.LOSS_MODEL
+    return models.train_loss_classifier(_ol(spark, src), fraction=P.TEST_FRACTION, seed=P.SEED,
+                                        cache_key=(spark.sparkContext.applicationId, src), **p)
+
+
+def _profit(spark: SparkSession, src: str) -> models.ProfitModel:
+    return models.train_profit_regressor(_ol(spark, src), fraction=P.TEST_FRACTION, seed=P.SEED,
+                                         cache_key=(spark.sparkContext.applicationId, src), **P.PROFIT_MODEL)
+
+
+def _split(spark: SparkSession, src: str) -> DataFrame:
+    ol = _ol(spark, src)
+    return ol.withColumn("is_test", models.test_flag(ol, fraction=P.TEST_FRACTION, seed=P.SEED, strata="is_loss"))
+
+
 def _on(fn, **kw) -> Query:
     return lambda spark, src: fn(_ol(spark, src), **kw)
 
@@ -101,4 +117,21 @@ QUERIES: dict[str, Query] = {
     "sql_adhoc": _sql('select "Ship Mode" as ship_mode, count(*) as lines, count(distinct "Order ID") as orders,\n'
                       '       round(sum(Sales), 2) as sales\nfrom orders\ngroup by "Ship Mode"\n'
                       '-- lines per ship mode\n;'),
+    # models: evaluation operators on a fixed rule scorer (SQL-checkable) ...
+    "split_sizes": lambda s, d: models.split_sizes(_split(s, d)),
+    "class_weights": lambda s, d: models.class_weights(_split(s, d).where("NOT is_test")),
+    "classification_metrics": lambda s, d: models.classification_metrics(models.rule_scored(_ol(s, d))),
+    "confusion_matrix": lambda s, d: models.confusion_matrix(models.rule_scored(_ol(s, d))),
+    "classification_report": lambda s, d: models.classification_report(models.rule_scored(_ol(s, d))),
+    "regression_metrics": lambda s, d: models.regression_metrics(models.rule_scored(_ol(s, d))),
+    # ... and on the fitted forests (rows-only checks)
+    "feature_matrix": _on(models.feature_matrix),
+    "loss_model_metrics": lambda s, d: models.loss_model_metrics(_loss(s, d)),
+    "loss_confusion_matrix": lambda s, d: models.confusion_matrix(_loss(s, d).test_scored),
+    "loss_variant_report": lambda s, d: models.classification_report(_loss(s, d, variant=True).test_scored),
+    "profit_model_metrics": lambda s, d: models.profit_model_metrics(_profit(s, d)),
+    "loss_feature_importance": lambda s, d: models.feature_importance(_loss(s, d).model, s, _loss(s, d).split),
+    "profit_feature_importance": lambda s, d: models.feature_importance(_profit(s, d).model, s, _profit(s, d).split),
+    "regression_preview": lambda s, d: models.regression_preview(_profit(s, d)),
+    "score_orders": lambda s, d: models.score_orders(_ol(s, d), _loss(s, d), _profit(s, d)),
 }

@@ -18,6 +18,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # local mode runs every task in the driver JVM; on a cluster this is the
+    # driver only and executor memory comes from spark-submit
+    "spark.driver.memory": "16g",
 }
 
 

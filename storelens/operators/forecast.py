@@ -70,12 +70,16 @@ def anomaly_table(ol: DataFrame, z_digits: int = 6) -> DataFrame:
     """
     m = monthly_summary(ol)
     base = monthly_base(ol)
-    stats = base.agg(
+    means = base.agg(
         (F.sum("sales_dec").cast("double") / F.count(F.lit(1))).alias("sm"),
-        (F.sum("profit_dec").cast("double") / F.count(F.lit(1))).alias("pm"),
-        F.stddev_pop(F.col("sales_dec").cast("double")).alias("ss"),
-        F.stddev_pop(F.col("profit_dec").cast("double")).alias("ps"))
-    st = stats.select(F.struct("sm", "pm", "ss", "ps")).scalar()
+        (F.sum("profit_dec").cast("double") / F.count(F.lit(1))).alias("pm")).select(F.struct("sm", "pm")).scalar()
+    # two passes (mean, then mean squared deviation) like a textbook population
+    # std; one-pass moment merging is off by an ulp and would move |z| = 1.5 ties
+    ds = F.col("sales_dec").cast("double") - means["sm"]
+    dp = F.col("profit_dec").cast("double") - means["pm"]
+    stats = base.agg(F.sqrt(F.avg(ds * ds)).alias("ss"), F.sqrt(F.avg(dp * dp)).alias("ps"))
+    sd = stats.select(F.struct("ss", "ps")).scalar()
+    st = {"sm": means["sm"], "pm": means["pm"], "ss": sd["ss"], "ps": sd["ps"]}
 
     def nz(c):
         return F.when(c == 0, F.lit(1.0)).otherwise(c)

@@ -152,9 +152,14 @@ monthly_g AS (
   FROM monthly
 )"""
 
-_ANOMALY = f""", stats AS (
-  SELECT CAST(sum(sales_dec) AS DOUBLE) / count(*) AS sm, CAST(sum(profit_dec) AS DOUBLE) / count(*) AS pm,
-         stddev_pop(CAST(sales_dec AS DOUBLE)) AS ss, stddev_pop(CAST(profit_dec AS DOUBLE)) AS ps FROM monthly
+_ANOMALY = f""", means AS (
+  SELECT CAST(sum(sales_dec) AS DOUBLE) / count(*) AS sm, CAST(sum(profit_dec) AS DOUBLE) / count(*) AS pm FROM monthly
+),
+stats AS (
+  SELECT any_value(sm) AS sm, any_value(pm) AS pm,
+         sqrt(avg((CAST(sales_dec AS DOUBLE) - sm) * (CAST(sales_dec AS DOUBLE) - sm))) AS ss,
+         sqrt(avg((CAST(profit_dec AS DOUBLE) - pm) * (CAST(profit_dec AS DOUBLE) - pm))) AS ps
+  FROM monthly, means
 ),
 z AS (
   SELECT m.*, (m.sales - s.sm) / (CASE WHEN s.ss = 0 THEN 1.0 ELSE s.ss END) AS sz,

@@ -204,7 +204,7 @@ def train_loss_classifier(ol: DataFrame, *, num_trees: int = 240, max_depth: int
     train = train.withColumn("class_weight", weight_column(train))
     rf = RandomForestClassifier(featuresCol="features", labelCol="is_loss", weightCol="class_weight",
                                 numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy="sqrt", seed=seed, maxBins=64, maxMemoryInMB=512,
+                                featureSubsetStrategy="sqrt", seed=seed, maxBins=32, maxMemoryInMB=64,
                                 cacheNodeIds=True)
     model = Pipeline(stages=feature_stages() + [rf]).fit(train)
     test = split.where(F.col("is_test"))
@@ -229,7 +229,7 @@ def train_profit_regressor(ol: DataFrame, *, num_trees: int = 220, max_depth: in
              .persist(StorageLevel.MEMORY_AND_DISK))
     rf = RandomForestRegressor(featuresCol="features", labelCol="profit_label", numTrees=num_trees,
                                maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all",
-                               seed=seed, maxBins=64, maxMemoryInMB=512, cacheNodeIds=True)
+                               seed=seed, maxBins=32, maxMemoryInMB=64, cacheNodeIds=True)
     train = split.where(~F.col("is_test"))
     model = Pipeline(stages=feature_stages() + [rf]).fit(train)
     scored = model.transform(split.where(F.col("is_test"))).select(

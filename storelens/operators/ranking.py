@@ -205,6 +205,47 @@ def rank_buckets(df: DataFrame, order_cols: list[Column], q: int = 4, **kw) -> C
     return bucket_of(order_cols, cuts, key_type)
 
 
+def rank_buckets_many(df: DataFrame, orderings: list[list[Column]], q: int = 4, *,
+                      exact_rows: int = EXACT_ROWS, **kw) -> list[Column]:
+    """:func:`rank_buckets` for several orderings of the same frame.
+
+    One persisted projection holds every key.  When each ordering has at most
+    ``exact_rows`` ranked rows, a single job computes all boundary keys (one
+    window per ordering over that bounded frame); otherwise every ordering runs
+    the sampled search on the shared projection.
+    """
+    structs = [_key_struct(cols) for cols in orderings]
+    keys = df.select(*[s.alias(f"key{i}") for i, s in enumerate(structs)],
+                     *[cols[0].isNotNull().alias(f"ok{i}") for i, cols in enumerate(orderings)])
+    types = [keys.schema[f"key{i}"].dataType for i in range(len(orderings))]
+    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = keys.agg(*[F.count_if(F.col(f"ok{i}")).alias(f"n{i}") for i in range(len(orderings))]).first()
+        ns = [counts[f"n{i}"] for i in range(len(orderings))]
+        ranks = [[(j * (n - 1)) // q + 1 for j in range(1, q)] if n else [] for n in ns]
+        cuts: list[list[tuple]] = []
+        if max(ns) <= exact_rows:
+            ranked = keys
+            pick = F.lit(False)
+            for i, rs in enumerate(ranks):
+                w = Window.orderBy(F.col(f"ok{i}").desc(), F.col(f"key{i}"))
+                ranked = ranked.withColumn(f"rn{i}", F.row_number().over(w))
+                if rs:
+                    pick = pick | (F.col(f"ok{i}") & F.col(f"rn{i}").isin(rs))
+            hits = ranked.where(pick).collect()
+            for i, rs in enumerate(ranks):
+                got = {h[f"rn{i}"]: tuple(h[f"key{i}"]) for h in hits if h[f"ok{i}"]}
+                cuts.append([got[r] for r in rs])
+        else:
+            for i, rs in enumerate(ranks):
+                sub = keys.where(F.col(f"ok{i}")).select(F.col(f"key{i}").alias("key"))
+                found = kth_keys(sub, rs, exact_rows=exact_rows, **kw) if rs else {}
+                cuts.append([found[r] for r in rs])
+    finally:
+        keys.unpersist()
+    return [bucket_of(cols, c, t) for cols, c, t in zip(orderings, cuts, types)]
+
+
 def pct_rank_average(value: Column) -> Column:
     """pandas ``rank(pct=True)``: average rank of ties / count of non-null values.
 

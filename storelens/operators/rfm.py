@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.operators.ranking import rank_buckets
+from storelens.operators.ranking import rank_buckets_many
 from storelens.operators.summaries import keys_present, top_k, total_dec
 from storelens.schema import RFM_DEFAULT_SEGMENT, RFM_SEGMENTS
 
@@ -32,9 +32,8 @@ def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         tie = [F.col("customer_id"), F.col("customer_name")]
-        r = rank_buckets(cust, [-F.col("recency_days")] + tie, 4, **kw)
-        f = rank_buckets(cust, [F.col("frequency")] + tie, 4, **kw)
-        m = rank_buckets(cust, [F.col("monetary_dec")] + tie, 4, **kw)
+        r, f, m = rank_buckets_many(cust, [[-F.col("recency_days")] + tie, [F.col("frequency")] + tie,
+                                           [F.col("monetary_dec")] + tie], 4, **kw)
     finally:
         cust.unpersist()
     score = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")

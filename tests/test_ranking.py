@@ -65,3 +65,17 @@ def test_pct_rank_average(spark):
     assert got == [0.875, 0.25, 0.875, 0.5, None]
     ref = pd.Series([3.0, 1.0, 3.0, 2.0, None]).rank(pct=True).tolist()
     assert got[:4] == ref[:4]
+
+
+@pytest.mark.parametrize("exact_rows", [10_000, 40])
+def test_rank_buckets_many_matches_single(spark, exact_rows):
+    from storelens.operators.ranking import rank_buckets_many
+    rnd = random.Random(11)
+    rows = [(i, float(rnd.randint(0, 9)), None if i % 17 == 0 else float(rnd.randint(0, 3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos int, a double, b double")
+    a, b = rank_buckets_many(df, [[-F.col("a"), F.col("pos")], [F.col("b"), F.col("pos")]], 4,
+                             exact_rows=exact_rows, fanout=4)
+    got = df.select("pos", a.alias("a"), b.alias("b")).orderBy("pos").collect()
+    want_a = pandas_quartiles([-r[1] for r in rows])
+    want_b = pandas_quartiles([r[2] for r in rows])
+    assert [g["a"] for g in got] == want_a and [g["b"] for g in got] == want_b

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import round_half_away
-from storelens.operators.summaries import monthly_base, monthly_summary
+from storelens.functions.exprs import growth, round_half_away
+from storelens.operators.summaries import monthly_base
 from storelens.schema import ANOMALY_REASONS, ANOMALY_Z
 
 _D = "decimal(38,4)"
@@ -65,38 +65,38 @@ def anomaly_table(ol: DataFrame, z_digits: int = 6) -> DataFrame:
 
     A month is flagged when either |z| >= 1.5; a profit z below -1.5 reads
     "Profit dip", any other flag "Demand spike / unusual movement".  Means use
-    the exact decimal totals; z-scores are reported rounded to ``z_digits``
+    the exact decimal totals; the std is computed in two passes (mean, then
+    mean squared deviation), so exact |z| = 1.5 ties are not moved by an ulp.
+    All statistics are window functions over the monthly aggregate (one row
+    per month), computed once; z-scores are reported rounded to ``z_digits``
     decimals (the flag uses the unrounded value).
     """
-    m = monthly_summary(ol)
-    base = monthly_base(ol)
-    means = base.agg(
-        (F.sum("sales_dec").cast("double") / F.count(F.lit(1))).alias("sm"),
-        (F.sum("profit_dec").cast("double") / F.count(F.lit(1))).alias("pm")).select(F.struct("sm", "pm")).scalar()
-    # two passes (mean, then mean squared deviation) like a textbook population
-    # std; one-pass moment merging is off by an ulp and would move |z| = 1.5 ties
-    ds = F.col("sales_dec").cast("double") - means["sm"]
-    dp = F.col("profit_dec").cast("double") - means["pm"]
-    stats = base.agg(F.sqrt(F.avg(ds * ds)).alias("ss"), F.sqrt(F.avg(dp * dp)).alias("ps"))
-    sd = stats.select(F.struct("ss", "ps")).scalar()
-    st = {"sm": means["sm"], "pm": means["pm"], "ss": sd["ss"], "ps": sd["ps"]}
+    whole = Window.partitionBy(F.lit(1))  # the monthly frame: one row per month
+    w = Window.orderBy("order_month_ts")
+    m = monthly_base(ol).select(
+        "order_month", "order_month_ts", "orders",
+        F.col("sales_dec").cast("double").alias("sales"), F.col("profit_dec").cast("double").alias("profit"),
+        (F.sum("sales_dec").over(whole).cast("double") / F.count(F.lit(1)).over(whole)).alias("sm"),
+        (F.sum("profit_dec").over(whole).cast("double") / F.count(F.lit(1)).over(whole)).alias("pm"))
+    m = m.select(
+        "*",
+        growth("sales", F.lag("sales").over(w)).alias("sales_growth_pct"),
+        growth("profit", F.lag("profit").over(w)).alias("profit_growth_pct"),
+        F.sqrt(F.avg((F.col("sales") - F.col("sm")) * (F.col("sales") - F.col("sm"))).over(whole)).alias("ss"),
+        F.sqrt(F.avg((F.col("profit") - F.col("pm")) * (F.col("profit") - F.col("pm"))).over(whole)).alias("ps"))
 
     def nz(c):
         return F.when(c == 0, F.lit(1.0)).otherwise(c)
 
-    sz = (F.col("sales") - st["sm"]) / nz(st["ss"])
-    pz = (F.col("profit") - st["pm"]) / nz(st["ps"])
+    m = m.select("*", ((F.col("sales") - F.col("sm")) / nz(F.col("ss"))).alias("sz"),
+                 ((F.col("profit") - F.col("pm")) / nz(F.col("ps"))).alias("pz"))
     flag = (F.abs(F.col("sz")) >= ANOMALY_Z) | (F.abs(F.col("pz")) >= ANOMALY_Z)
     dip, spike, normal = ANOMALY_REASONS
-    return (m.withColumn("sz", sz).withColumn("pz", pz)
-            .withColumn("alert_flag", flag)
-            .withColumn("alert_reason",
-                        F.when(~F.col("alert_flag"), F.lit(normal))
-                        .when(F.col("pz") < -ANOMALY_Z, F.lit(dip)).otherwise(F.lit(spike)))
-            .withColumn("sales_zscore", round_half_away("sz", z_digits))
-            .withColumn("profit_zscore", round_half_away("pz", z_digits))
-            .select("order_month", "order_month_ts", "sales", "profit", "orders", "sales_growth_pct",
-                    "profit_growth_pct", "sales_zscore", "profit_zscore", "alert_flag", "alert_reason")
+    reason = F.when(~flag, F.lit(normal)).when(F.col("pz") < -ANOMALY_Z, F.lit(dip)).otherwise(F.lit(spike))
+    return (m.select("order_month", "order_month_ts", "sales", "profit", "orders", "sales_growth_pct",
+                     "profit_growth_pct", round_half_away("sz", z_digits).alias("sales_zscore"),
+                     round_half_away("pz", z_digits).alias("profit_zscore"), flag.alias("alert_flag"),
+                     reason.alias("alert_reason"))
             .orderBy(F.desc("order_month_ts")))
 
 

@@ -47,3 +47,13 @@ def test_column_pruning_two_column_query(spark):
     df = load_order_lines(spark, SF, cache=False).groupBy("region").count()
     p = plan(df)
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in p
+
+
+def test_no_cross_joins_and_few_exchanges(spark):
+    from bench import SKIP
+    for key, fn in QUERIES.items():
+        if key in SKIP or key in ("feature_matrix",):
+            continue
+        p = plan(fn(spark, SF))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
+        assert len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", p)) <= 8, key

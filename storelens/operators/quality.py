@@ -27,23 +27,26 @@ def data_quality(ol: DataFrame) -> DataFrame:
     """Per profiled column: missing count, distinct non-null count and the first
     non-null value (smallest ``row_id``) as text, or 'N/A'.
 
-    One scan: the nine columns are unpivoted to (column, value) rows and
-    de-duplicated by a partial aggregation before the shuffle, so the exchange
-    carries at most one row per distinct value per task; a value held by a third
-    of the rows is collapsed map-side.
+    Counts: the nine columns are unpivoted to (column, value) rows and
+    de-duplicated by a hash aggregation (partial aggregation before the
+    shuffle, so a value held by a third of the rows collapses map-side).
+    Samples: one global pass keeps, per column, the smallest (row_id, value)
+    pair; that nine-element array is attached as a scalar subquery.
     """
-    long = ol.select("row_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(name).alias("column"), _as_text(_QUALITY_SOURCE[name]).alias("value"))
-        for i, name in enumerate(QUALITY_COLUMNS)])))
-    distinct = long.groupBy("pos", "column", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
+    texts = [_as_text(_QUALITY_SOURCE[name]) for name in QUALITY_COLUMNS]
+    long = ol.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.lit(name).alias("column"), t.alias("value"))
+        for i, (name, t) in enumerate(zip(QUALITY_COLUMNS, texts))])))
+    distinct = long.groupBy("pos", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    firsts = ol.agg(F.array(*[
+        F.min(F.when(t.isNotNull(), F.struct(F.col("row_id").alias("r"), t.alias("v"))))["v"]
+        for t in texts]).alias("samples")).select("samples").scalar()
     present = F.col("value").isNotNull()
     return (distinct.groupBy("pos", "column").agg(
         F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing_values"),
-        F.count("value").alias("unique_values"),
-        F.min(F.when(present, F.struct("first_row", "value")))["value"].alias("sample"))
+        F.count("value").alias("unique_values"))
         .select("pos", "column", "missing_values", "unique_values",
-                F.coalesce("sample", F.lit("N/A")).alias("sample_value"))
+                F.coalesce(F.element_at(firsts, F.col("pos") + 1), F.lit("N/A")).alias("sample_value"))
         .orderBy("pos").drop("pos"))
 
 

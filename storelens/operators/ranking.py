@@ -85,7 +85,6 @@ def kth_keys(keys: DataFrame, ranks: list[int], *, exact_rows: int = EXACT_ROWS,
     """
     key = F.col("key")
     key_type = keys.schema["key"].dataType
-    total = None
     pending: dict[int, tuple[_Range, int]] = {}
     found: dict[int, tuple] = {}
     for r in sorted(set(ranks)):

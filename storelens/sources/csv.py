@@ -28,4 +28,4 @@ def read_order_csv(spark: SparkSession, path: str, *, date_format: str = "M/d/yy
             c = c.cast(types[dst])
         out.append(c.alias(dst))
     extra = [F.col(f"`{c}`") for c in raw.columns if c not in CSV_COLUMN_NAMES]
-    return raw.select(*out, *extra).select(*BASE_COLUMNS, *[c for c in raw.columns if c not in CSV_COLUMN_NAMES])
+    return raw.select(*out, *extra)

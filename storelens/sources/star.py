@@ -31,6 +31,12 @@ def order_lines_from_star(spark: SparkSession, src: str) -> DataFrame:
     li = read_table(spark, src, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount")
+    # A small fact file can be a single split (one Parquet row group); with the
+    # dimensions broadcast the whole join would then run in one task.  Spread
+    # such an input over the cores; a large input has enough splits already.
+    cores = spark.sparkContext.defaultParallelism
+    if li.rdd.getNumPartitions() < cores:
+        li = li.repartition(cores)
     orders = read_table(spark, src, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = read_table(spark, src, "customer").select(

@@ -43,8 +43,46 @@ def _key_struct(cols: list[Column]) -> Column:
     return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
 
 
+def _sql_value(v, dt: T.DataType) -> str | None:
+    """SQL text of one typed literal, or None for a type not rendered here."""
+    name = dt.simpleString()
+    if v is None:
+        return f"CAST(NULL AS {name})"
+    if isinstance(dt, T.StringType):
+        # hex bytes decoded as UTF-8: no quoting or escaping of the text
+        return f"CAST(X'{v.encode('utf-8').hex()}' AS STRING)"
+    if isinstance(dt, T.DecimalType):
+        return f"CAST('{v}' AS {name})"
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"CAST({int(v)} AS {name})"
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        text = "NaN" if v != v else ("Infinity" if v == float("inf") else
+                                     "-Infinity" if v == float("-inf") else repr(float(v)))
+        return f"CAST('{text}' AS {name})"
+    if isinstance(dt, T.DateType):
+        return f"DATE '{v.isoformat()}'"
+    if isinstance(dt, T.BooleanType):
+        return "TRUE" if v else "FALSE"
+    return None
+
+
+def _sql_key(values: tuple, key_type: T.StructType) -> str | None:
+    parts = []
+    for v, f in zip(values, key_type.fields):
+        text = _sql_value(v, f.dataType)
+        if text is None:
+            return None
+        parts.append(f"'{f.name}', {text}")
+    return f"named_struct({', '.join(parts)})"
+
+
 def _key_literal(values: tuple, key_type: T.StructType) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+    # Each gateway call costs milliseconds, so a key is one SQL expression when
+    # its types allow (a search round builds dozens of them).
+    text = _sql_key(values, key_type)
+    if text is not None:
+        return F.expr(text)
+    return F.struct(*[F.lit(v).cast(f.dataType.simpleString()).alias(f.name)
                       for v, f in zip(values, key_type.fields)])
 
 
@@ -65,7 +103,19 @@ def _range_pred(key: Column, rng: _Range, key_type: T.StructType) -> Column:
 
 
 def _bucket_expr(key: Column, cuts: list[tuple], key_type: T.StructType) -> Column:
-    """Bucket b in 0..len(cuts): cut[b-1] < key <= cut[b], by binary search."""
+    """Bucket b in 0..len(cuts): cut[b-1] < key <= cut[b], by binary search.
+
+    ``key`` is the column named ``key``.  The search tree is one SQL
+    expression (one gateway call) when every cut renders as SQL text.
+    """
+    texts = [_sql_key(c, key_type) for c in cuts]
+    if all(t is not None for t in texts):
+        def sql_tree(lo: int, hi: int) -> str:
+            if lo == hi:
+                return str(lo)
+            mid = (lo + hi) // 2
+            return f"CASE WHEN key <= {texts[mid]} THEN {sql_tree(lo, mid)} ELSE {sql_tree(mid + 1, hi)} END"
+        return F.expr(sql_tree(0, len(cuts)))
     lits = [_key_literal(c, key_type) for c in cuts]
 
     def tree(lo: int, hi: int) -> Column:
@@ -78,10 +128,11 @@ def _bucket_expr(key: Column, cuts: list[tuple], key_type: T.StructType) -> Colu
 
 
 def kth_keys(keys: DataFrame, ranks: list[int], *, exact_rows: int = EXACT_ROWS,
-             fanout: int = FANOUT, seed: int = 42) -> dict[int, tuple]:
+             fanout: int = FANOUT, seed: int = 42, total: int | None = None) -> dict[int, tuple]:
     """Key tuples at the given 1-based ranks of a one-column frame ``key`` (struct).
 
     ``keys`` should be persisted by the caller; it is scanned once per round.
+    ``total`` is its row count when the caller knows it already.
     """
     key = F.col("key")
     key_type = keys.schema["key"].dataType
@@ -91,7 +142,8 @@ def kth_keys(keys: DataFrame, ranks: list[int], *, exact_rows: int = EXACT_ROWS,
         pending[r] = (None, r)  # range filled below once n is known
     if not pending:
         return found
-    total = keys.count()
+    if total is None:
+        total = keys.count()
     pending = {r: (_Range(None, None, total), r) for r in pending if 1 <= r <= total}
     rounds = 0
     while pending:
@@ -174,7 +226,7 @@ def quantile_cuts(df: DataFrame, order_cols: list[Column], q: int = 4, **kw) ->
         if n == 0:
             return 0, []
         ranks = [(j * (n - 1)) // q + 1 for j in range(1, q)]
-        found = kth_keys(keys, ranks, **kw)
+        found = kth_keys(keys, ranks, total=n, **kw)
         return n, [found[r] for r in ranks]
     finally:
         keys.unpersist()
@@ -238,7 +290,7 @@ def rank_buckets_many(df: DataFrame, orderings: list[list[Column]], q: int = 4,
         else:
             for i, rs in enumerate(ranks):
                 sub = keys.where(F.col(f"ok{i}")).select(F.col(f"key{i}").alias("key"))
-                found = kth_keys(sub, rs, exact_rows=exact_rows, **kw) if rs else {}
+                found = kth_keys(sub, rs, exact_rows=exact_rows, total=ns[i], **kw) if rs else {}
                 cuts.append([found[r] for r in rs])
     finally:
         keys.unpersist()

@@ -35,12 +35,6 @@ def load_order_lines(spark: SparkSession, src: str, *, cache: bool = True,
         return _LOADED[key]
     base = read_base(spark, src)
     if cache:
-        # A small input can arrive as very few splits (one Parquet row group);
-        # spread it over the cores once so every later scan is parallel.  Large
-        # inputs already have at least that many splits and are not shuffled.
-        want = spark.sparkContext.defaultParallelism
-        if base.rdd.getNumPartitions() < want:
-            base = base.repartition(want)
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     ol = enrich(base, with_sales_band=with_sales_band)
     if cache:

@@ -3,11 +3,17 @@
 ``lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region ⋈ part`` (all inner, every
 key matches).  Join order is chosen for scale: the order header is joined to
 its customer dimension first (orders are ~4x fewer than lines, so the
-custkey shuffle moves the small side), then to the line items on the order
-key, and the part dimension last.  ``nation``/``region`` are tiny and get
-broadcast by Spark's size check (``autoBroadcastJoinThreshold``); nothing is
-force-broadcast, so a large ``customer`` or ``part`` falls back to a shuffle
-join and AQE re-plans with runtime sizes.
+custkey join moves the small side), then to the line items on the order key,
+and the part dimension last.
+
+The strategy of every join is decided from counted rows, not from Spark's
+compressed-file estimate (which can rate a 600k-row fact table under
+``autoBroadcastJoinThreshold`` and broadcast the *fact* side, leaving the probe
+to a single split of the header table).  The line items are never broadcast.
+A dimension, or the order header, is broadcast only when its row count is at
+most ``broadcast_rows``; above that the join is a sort-merge join on the key
+(shuffle on both sides, spills instead of failing), which is what every join
+but ``nation``/``region`` becomes at 100 TB.
 """
 
 from __future__ import annotations
@@ -21,12 +27,22 @@ from storelens.schema import BASE_COLUMNS, DISCOUNT_TYPE, PROFIT_TYPE, SALES_TYP
 
 TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
+# Largest row count broadcast to every executor (the order header row is about
+# 100 bytes, so the bound caps a broadcast near 100 MB).
+BROADCAST_ROWS = 1_000_000
+
 
 def read_table(spark: SparkSession, src: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{src.rstrip('/')}/{name}.parquet")
 
 
-def order_lines_from_star(spark: SparkSession, src: str) -> DataFrame:
+def _small_side(df: DataFrame, rows: int, bound: int) -> DataFrame:
+    """Broadcast ``df`` when its counted ``rows`` are within ``bound``, else sort-merge join it."""
+    return F.broadcast(df) if rows <= bound else df.hint("merge")
+
+
+def order_lines_from_star(spark: SparkSession, src: str, *,
+                          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Canonical base columns (see ``schema.ORDER_LINE_SCHEMA``), no derived ones."""
     li = read_table(spark, src, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -45,10 +61,18 @@ def order_lines_from_star(spark: SparkSession, src: str) -> DataFrame:
     region = read_table(spark, src, "region").select("r_regionkey", "r_name")
     part = read_table(spark, src, "part").select("p_partkey", "p_type", "p_brand", "p_retailprice")
 
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey)
-    head = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    lines = li.join(head, li.l_orderkey == head.o_orderkey).join(part, F.col("l_partkey") == part.p_partkey)
+    # Parquet answers a row count from the footers (no column is read).  The
+    # whole table is counted, an upper bound for any filtered view of it.
+    rows = {name: read_table(spark, src, name).count() for name in ("orders", "customer", "nation", "part")}
+
+    def small(df: DataFrame, name: str) -> DataFrame:
+        return _small_side(df, rows[name], broadcast_rows)
+
+    geo = nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey)
+    cust = customer.join(small(geo, "nation"), customer.c_nationkey == geo.n_nationkey)
+    head = orders.join(small(cust, "customer"), orders.o_custkey == cust.c_custkey)
+    lines = (li.join(small(head, "orders"), li.l_orderkey == head.o_orderkey)
+             .join(small(part, "part"), F.col("l_partkey") == part.p_partkey))
 
     sales = F.col("l_extendedprice").cast("decimal(18,2)").cast(SALES_TYPE)
     discount = (F.col("l_discount").cast("decimal(4,2)") * F.lit(8)).cast(DISCOUNT_TYPE)

@@ -57,3 +57,31 @@ def test_no_cross_joins_and_few_exchanges(spark):
         p = plan(fn(spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
         assert len(re.findall(r"Exchange (hashpartitioning|rangepartitioning|SinglePartition)", p)) <= 8, key
+
+
+def _ancestors(tree: str, needle: str) -> list[list[str]]:
+    """Operator names above every line containing ``needle`` in a plan tree string."""
+    lines = tree.split("\n")
+    out = []
+    for i, ln in enumerate(lines):
+        if needle not in ln:
+            continue
+        depth = len(ln) - len(ln.lstrip(" :+-"))
+        up = []
+        for prev in reversed(lines[:i]):
+            d = len(prev) - len(prev.lstrip(" :+-"))
+            if d < depth:
+                up.append(prev.strip(" :+-").split(" ")[0])
+                depth = d
+        out.append(up)
+    return out
+
+
+def test_fact_table_is_never_broadcast(spark):
+    from storelens.sources.star import order_lines_from_star
+    p = plan(order_lines_from_star(spark, SF))
+    chains = _ancestors(p, "lineitem.parquet")
+    assert chains and all("BroadcastExchange" not in up for up in chains)
+    # above the row bound every join but nation-region is a sort-merge join
+    p = plan(order_lines_from_star(spark, SF, broadcast_rows=0))
+    assert p.count("BroadcastHashJoin") == 1 and p.count("SortMergeJoin") == 4

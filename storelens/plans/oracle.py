@@ -436,6 +436,8 @@ ORACLE: dict[str, str] = {
     "sql_region_profit": q("""select "Region", CAST(round(sum("Sales"), 2) AS DOUBLE) as sales,
         CAST(round(sum("Profit"), 2) AS DOUBLE) as profit from orders group by "Region" order by profit desc""",
                            sql_store=True),
+    "sql_trend_preview": q("""select order_month, sales, profit from (select order_month, sales, profit
+        from monthly_kpis order by order_month desc limit 18) t order by order_month""", sql_store=True),
     "sql_adhoc": q("""select "Ship Mode" AS ship_mode, count(*) AS lines, count(DISTINCT "Order ID") AS orders,
         CAST(round(sum("Sales"), 2) AS DOUBLE) AS sales from orders group by "Ship Mode" """, sql_store=True),
     # model-evaluation operators on a deterministic rule scorer

@@ -114,6 +114,8 @@ QUERIES: dict[str, Query] = {
     "sql_highest_loss_rate": _sql(sqlviews.DEFAULT_SQL_QUERIES["Highest loss-rate sub-categories"]),
     "sql_best_customers": _sql(sqlviews.DEFAULT_SQL_QUERIES["Best customers by profit"]),
     "sql_region_profit": _sql(sqlviews.EXAMPLE_SQL),
+    "sql_trend_preview": lambda s, d: sqlviews.trend_preview(
+        _sql(sqlviews.DEFAULT_SQL_QUERIES["Monthly KPI trend"])(s, d)),
     "sql_adhoc": _sql('select "Ship Mode" as ship_mode, count(*) as lines, count(distinct "Order ID") as orders,\n'
                       '       round(sum(Sales), 2) as sales\nfrom orders\ngroup by "Ship Mode"\n'
                       '-- lines per ship mode\n;'),

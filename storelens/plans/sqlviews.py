@@ -127,6 +127,21 @@ def run_sql(spark: SparkSession, query: str) -> DataFrame:
     return df.select(*cols)
 
 
+# Columns a SQL result needs for the month trend preview.
+TREND_COLUMNS = ("order_month", "sales", "profit")
+
+
+def trend_preview(result: DataFrame) -> DataFrame | None:
+    """Month-ordered ``order_month, sales, profit`` of a SQL result, or None.
+
+    The preview exists only when the result has all three columns; an empty
+    result gives an empty preview.
+    """
+    if not set(TREND_COLUMNS) <= set(result.columns):
+        return None
+    return result.select(*TREND_COLUMNS).orderBy("order_month")
+
+
 def table_counts(spark: SparkSession) -> DataFrame:
     """Row counts of the table and the three views (one row)."""
     return run_sql(spark, """

@@ -161,3 +161,12 @@ def test_exact_split_sizes(lines):
     split = ol.withColumn("is_test", models.test_flag(ol, fraction=0.2, seed=42, strata="is_loss"))
     sizes = {r["is_loss"]: (r["rows"], r["test_rows"]) for r in models.split_sizes(split).collect()}
     assert sizes == {0: (77, 16), 1: (26, 6)}
+
+
+def test_sql_trend_preview_needs_all_columns(spark, lines):
+    from storelens.plans import sqlviews
+    ol = enrich(lines([dict(order_date=dt.date(2024, 3, 1)), dict(order_date=dt.date(2024, 1, 5))]))
+    sqlviews.register_sql_store(spark, ol)
+    prev = sqlviews.trend_preview(sqlviews.run_sql(spark, sqlviews.DEFAULT_SQL_QUERIES["Monthly KPI trend"]))
+    assert [r["order_month"] for r in prev.collect()] == ["2024-01", "2024-03"]
+    assert sqlviews.trend_preview(sqlviews.run_sql(spark, "select order_month, sales from monthly_kpis")) is None

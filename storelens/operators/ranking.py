@@ -131,17 +131,99 @@ def kth_keys(keys: DataFrame, ranks: list[int], *, exact_rows: int = EXACT_ROWS,
              fanout: int = FANOUT, seed: int = 42, total: int | None = None) -> dict[int, tuple]:
     """Key tuples at the given 1-based ranks of a one-column frame ``key`` (struct).
 
-    ``keys`` should be persisted by the caller; it is scanned once per round.
-    ``total`` is its row count when the caller knows it already.
+    ``keys`` should be persisted by the caller; the first round scans it.  Once
+    the live candidate ranges hold at most a quarter of the rows scanned so far,
+    they are persisted on their own and later rounds scan only them, so the
+    total work is about one full scan plus a geometric tail.  ``total`` is the
+    row count of ``keys`` when the caller knows it already.
     """
     key = F.col("key")
     key_type = keys.schema["key"].dataType
-    pending: dict[int, tuple[_Range, int]] = {}
     found: dict[int, tuple] = {}
-    for r in sorted(set(ranks)):
-        pending[r] = (None, r)  # range filled below once n is known
-    if not pending:
+    wanted = sorted(set(ranks))
+    if not wanted:
         return found
+    if total is None:
+        total = keys.count()
+    pending = {r: (_Range(None, None, total), r) for r in wanted if 1 <= r <= total}
+    current, current_rows, owned = keys, total, None
+    rounds = 0
+    try:
+        while pending:
+            rounds += 1
+            if rounds > 64:
+                raise RuntimeError("rank search made no progress; are the keys unique?")
+            # Ranks in one range share it; distinct live ranges are disjoint
+            # (every range is one bucket of a disjoint parent range).
+            by_range: dict[tuple, list[int]] = defaultdict(list)
+            for r, (rng, _k) in pending.items():
+                by_range[(rng.lo, rng.hi)].append(r)
+            ranges = [(pending[rs[0]][0], rs) for rs in by_range.values()]
+            live_rows = sum(rng.size for rng, _ in ranges)
+            if 4 * live_rows <= current_rows:
+                pred = F.lit(False)
+                for rng, _ in ranges:
+                    pred = pred | _range_pred(key, rng, key_type)
+                narrowed = current.where(pred).persist(StorageLevel.MEMORY_AND_DISK)
+                if owned is not None:
+                    owned.unpersist()
+                current, current_rows, owned = narrowed, live_rows, narrowed
+
+            small = [(rng, rs) for rng, rs in ranges if rng.size <= exact_rows]
+            large = [(rng, rs) for rng, rs in ranges if rng.size > exact_rows]
+            if small:
+                # One scan resolves every small range: each range is its own
+                # window partition of at most ``exact_rows`` rows.
+                gid = F.lit(None).cast("int")
+                for g in reversed(range(len(small))):
+                    gid = F.when(_range_pred(key, small[g][0], key_type), F.lit(g)).otherwise(gid)
+                picks = [(g, pending[r][1], r) for g, (_, rs) in enumerate(small) for r in rs]
+                pick = F.lit(False)
+                for g, k, _ in picks:
+                    pick = pick | ((F.col("g") == g) & (F.col("rn") == k))
+                w = Window.partitionBy("g").orderBy("key")
+                hits = (current.select(gid.alias("g"), key).where(F.col("g").isNotNull())
+                        .withColumn("rn", F.row_number().over(w)).where(pick).collect())
+                got = {(h["g"], h["rn"]): tuple(h["key"]) for h in hits}
+                for g, k, r in picks:
+                    found[r] = got[(g, k)]
+                    del pending[r]
+
+            for rng, rs in large:
+                cand = current.where(_range_pred(key, rng, key_type))
+                frac = min(1.0, OVERSAMPLE * fanout / rng.size)
+                sample = [tuple(row["key"]) for row in
+                          cand.sample(False, frac, seed + rounds).orderBy("key")
+                          .limit(4 * OVERSAMPLE * fanout).collect()]
+                if len(sample) > fanout:
+                    cuts = [sample[(i * len(sample)) // fanout] for i in range(1, fanout)]
+                else:
+                    cuts = sample
+                cuts = sorted(set(cuts))
+                counts = {row["b"]: row["count"] for row in
+                          cand.select(_bucket_expr(key, cuts, key_type).alias("b"))
+                          .groupBy("b").count().collect()}
+                for r in rs:
+                    _, k = pending[r]
+                    before = 0
+                    for b in range(len(cuts) + 1):
+                        c = counts.get(b, 0)
+                        if before + c >= k:
+                            new_lo = cuts[b - 1] if b > 0 else rng.lo
+                            new_hi = cuts[b] if b < len(cuts) else rng.hi
+                            if c == rng.size:  # no progress: all candidates share one key
+                                mm = cand.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+                                if tuple(mm["a"]) == tuple(mm["b"]):
+                                    found[r] = tuple(mm["a"])
+                                    del pending[r]
+                                    break
+                            pending[r] = (_Range(new_lo, new_hi, c), k - before)
+                            break
+                        before += c
+    finally:
+        if owned is not None:
+            owned.unpersist()
+    return found
     if total is None:
         total = keys.count()
     pending = {r: (_Range(None, None, total), r) for r in pending if 1 <= r <= total}

@@ -99,3 +99,16 @@ def test_key_literals_round_trip(spark):
             assert (a != a and b != b) or a == b
         # and the literal equals the same key built from data (struct order: null fields equal)
         assert df.where(F.col("key") == _key_literal(row, key_type)).count() == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_kth_keys_many_ranges_narrowing(spark, seed):
+    # many disjoint live ranges over several rounds; the candidate set shrinks each round
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([5, 5, 5, rnd.randint(0, 1000)]), f"r{i:05d}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "v int, id string").select(F.struct(F.col("v").alias("k0"),
+                                                                        F.col("id").alias("k1")).alias("key"))
+    ranks = sorted(rnd.sample(range(1, 5001), 9))
+    got = kth_keys(df, ranks, exact_rows=30, fanout=4, seed=seed)
+    srt = sorted(rows)
+    assert {r: tuple(got[r]) for r in ranks} == {r: srt[r - 1] for r in ranks}

@@ -419,6 +419,8 @@ ORACLE: dict[str, str] = {
         ORDER BY order_day DESC LIMIT {P.PULSE_DAYS})"""),
     # SQL layer
     "sql_orders_export": q("SELECT * FROM orders", sql_store=True),
+    "sql_store_written": q("SELECT * FROM orders", sql_store=True),
+    "sql_store_monthly_kpis": q("SELECT * FROM monthly_kpis", sql_store=True),
     "table_counts": q("""SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM monthly_kpis) AS months,
         (SELECT count(*) FROM category_kpis) AS categories, (SELECT count(*) FROM customer_kpis) AS customers""",
                       sql_store=True),

@@ -37,6 +37,17 @@ def _sql(query: str) -> Query:
     return run
 
 
+def _written_store(spark: SparkSession, src: str) -> str:
+    return sqlviews.write_sql_store(spark, _ol(spark, src))
+
+
+def _written_sql(query: str) -> Query:
+    def run(spark: SparkSession, src: str) -> DataFrame:
+        sqlviews.register_sql_store(spark, path=_written_store(spark, src))
+        return sqlviews.run_sql(spark, query)
+    return run
+
+
 def _loss(spark: SparkSession, src: str, variant: bool = False) -> models.LossModel:
     p = P.LOSS_MODEL_VARIANT if variant else P.LOSS_MODEL
     return models.train_loss_classifier(_ol(spark, src), fraction=P.TEST_FRACTION, seed=P.SEED,
@@ -105,6 +116,8 @@ QUERIES: dict[str, Query] = {
     "daily_pulse": _on(monitor.daily_pulse, days=P.PULSE_DAYS),
     # SQL layer
     "sql_orders_export": lambda s, d: sqlviews.orders_table(_ol(s, d)),
+    "sql_store_written": lambda s, d: sqlviews.read_sql_store(s, _written_store(s, d)),
+    "sql_store_monthly_kpis": _written_sql("select * from monthly_kpis"),
     "table_counts": lambda s, d: (sqlviews.register_sql_store(s, _ol(s, d)), sqlviews.table_counts(s))[1],
     "sql_monthly_kpis": _sql("select * from monthly_kpis"),
     "sql_category_kpis": _sql("select * from category_kpis"),

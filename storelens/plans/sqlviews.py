@@ -2,8 +2,9 @@
 
 Views are Spark temporary views; the Analyzer inlines them into each query,
 so a query over ``monthly_kpis`` is planned from the order-line scan with
-filters and column pruning pushed through.  Nothing is copied into a
-separate store.
+filters and column pruning pushed through.  The store can also be written
+once (:func:`write_sql_store`): the ``orders`` table as Parquet partitioned by
+``order_year`` under the shared folder, with the views registered over it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelens.schema import REFERENCE_NAMES
+from storelens.schema import BASE_COLUMNS, DERIVED_COLUMNS, REFERENCE_NAMES
+from storelens.session import fresh_dir
 
 ROUND4 = "signum({x}) * floor(abs({x}) * 10000.0 + 0.5) / 10000.0"
 ROUND2 = "signum({x}) * floor(abs({x}) * 100.0 + 0.5) / 100.0"
@@ -99,9 +101,39 @@ EXAMPLE_SQL = (
 )
 
 
-def register_sql_store(spark: SparkSession, ol: DataFrame) -> None:
-    """Publish ``orders`` and the three KPI views in the session catalog."""
-    orders_table(ol).createOrReplaceTempView("orders")
+def _orders_columns() -> list[str]:
+    return [REFERENCE_NAMES.get(c, c) for c in BASE_COLUMNS + DERIVED_COLUMNS]
+
+
+def write_sql_store(spark: SparkSession, ol: DataFrame, path: str | None = None) -> str:
+    """Write the ``orders`` table once as Parquet partitioned by ``order_year``.
+
+    The path defaults to a new folder under the cluster's shared checkpoint
+    directory.  ``REBALANCE(order_year)`` hashes rows to writers by year and
+    lets AQE split a large year into advisory-size pieces and merge small
+    ones, so a year holding a third of all rows is written by many tasks and
+    no year becomes thousands of tiny files.  A written table also cuts the
+    lineage: a lost executor costs a re-read, not a re-run of the star join.
+    """
+    path = path or fresh_dir(spark, "sql_store")
+    (orders_table(ol).hint("rebalance", "order_year")
+     .write.mode("overwrite").partitionBy("order_year").parquet(path))
+    return path
+
+
+def read_sql_store(spark: SparkSession, path: str) -> DataFrame:
+    """The written ``orders`` table, columns in store order (a year filter prunes partitions)."""
+    return spark.read.parquet(path).select(*[F.col(f"`{c}`") for c in _orders_columns()])
+
+
+def register_sql_store(spark: SparkSession, ol: DataFrame | None = None, path: str | None = None) -> None:
+    """Publish ``orders`` and the three KPI views in the session catalog.
+
+    ``orders`` is the order-line frame ``ol`` (session store) or the table
+    written at ``path`` by :func:`write_sql_store` (persistent store).
+    """
+    orders = read_sql_store(spark, path) if path is not None else orders_table(ol)
+    orders.createOrReplaceTempView("orders")
     for name, body in VIEW_SQL.items():
         spark.sql(body).createOrReplaceTempView(name)
 

@@ -49,3 +49,21 @@ def test_batch_writes_small_tables(spark):
     assert sorted(got.collect()) == sorted(want.collect())
     assert read_csv(spark, paths["top_states"], "state string, region string, sales double, profit double, "
                     "orders long, avg_discount double").count() == 20
+
+
+def test_written_sql_store_is_partitioned_and_pruned(spark):
+    import os
+
+    from storelens.plans import sqlviews
+    from storelens.sources.loader import load_order_lines
+    ol = load_order_lines(spark, "/root/testdata/sf0.001")
+    path = sqlviews.write_sql_store(spark, ol)
+    local = path[len("file:"):] if path.startswith("file:") else path
+    years = sorted(d for d in os.listdir(local) if d.startswith("order_year="))
+    assert years and len(years) == ol.select("order_year").distinct().count()
+    back = sqlviews.read_sql_store(spark, path)
+    assert back.columns == sqlviews.orders_table(ol).columns and back.count() == ol.count()
+    one = back.where("order_year = 1995")
+    p = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_year" in p and "(order_year#" in p
+    assert one.count() == ol.where("order_year = 1995").count()

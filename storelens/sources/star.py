@@ -44,7 +44,8 @@ def _small_side(df: DataFrame, rows: int, bound: int) -> DataFrame:
 def order_lines_from_star(spark: SparkSession, src: str, *,
                           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Canonical base columns (see ``schema.ORDER_LINE_SCHEMA``), no derived ones."""
-    li = read_table(spark, src, "lineitem").select(
+    raw = {name: read_table(spark, src, name) for name in TABLES}
+    li = raw["lineitem"].select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount")
     # A small fact file can be a single split (one Parquet row group); with the
@@ -53,17 +54,22 @@ def order_lines_from_star(spark: SparkSession, src: str, *,
     cores = spark.sparkContext.defaultParallelism
     if li.rdd.getNumPartitions() < cores:
         li = li.repartition(cores)
-    orders = read_table(spark, src, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    customer = read_table(spark, src, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    nation = read_table(spark, src, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = read_table(spark, src, "region").select("r_regionkey", "r_name")
-    part = read_table(spark, src, "part").select("p_partkey", "p_type", "p_brand", "p_retailprice")
-
-    # Parquet answers a row count from the footers (no column is read).  The
-    # whole table is counted, an upper bound for any filtered view of it.
-    rows = {name: read_table(spark, src, name).count() for name in ("orders", "customer", "nation", "part")}
+    orders = raw["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    customer = raw["customer"].select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    nation = raw["nation"].select("n_nationkey", "n_name", "n_regionkey")
+    region = raw["region"].select("r_regionkey", "r_name")
+    part = raw["part"].select("p_partkey", "p_type", "p_brand", "p_retailprice")
+
+    # One job counts the four candidate build sides; Parquet answers a count
+    # from the footers (no column is read).  The whole table is counted, an
+    # upper bound for any filtered view of it.
+    counted = ("orders", "customer", "nation", "part")
+    per_table = [raw[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n")
+                 for name in counted]
+    union = per_table[0]
+    for df in per_table[1:]:
+        union = union.unionByName(df)
+    rows = {r["t"]: r["n"] for r in union.collect()}
 
     def small(df: DataFrame, name: str) -> DataFrame:
         return _small_side(df, rows[name], broadcast_rows)

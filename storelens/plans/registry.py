@@ -37,8 +37,15 @@ def _sql(query: str) -> Query:
     return run
 
 
+_STORES: dict[tuple, str] = {}
+
+
 def _written_store(spark: SparkSession, src: str) -> str:
-    return sqlviews.write_sql_store(spark, _ol(spark, src))
+    """The persistent SQL store of ``src``, written once per application (load-once cache)."""
+    key = (spark.sparkContext.applicationId, src)
+    if key not in _STORES:
+        _STORES[key] = sqlviews.write_sql_store(spark, _ol(spark, src))
+    return _STORES[key]
 
 
 def _written_sql(query: str) -> Query:

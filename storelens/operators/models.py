@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import round_half_away
-from storelens.operators.ranking import kth_keys
+from storelens.operators.ranking import _key_literal, kth_keys
 from storelens.schema import (CATEGORICAL_FEATURES, CONFUSION_COLS, CONFUSION_ROWS, DECISIONS,
                               NUMERIC_FEATURES, RISK_THRESHOLD)
 
@@ -62,21 +62,23 @@ def test_flag(df: DataFrame, *, fraction: float = 0.2, seed: int = 42, strata: s
     the label's few classes.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(split_key(seed))])
-    groups = ([r[0] for r in df.select(strata).distinct().collect()] if strata else [None])
+    keyed = (df.select((F.col(strata) if strata else F.lit(None)).alias("g"), key.alias("key"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
     flag = F.lit(False)
-    for g in groups:
-        sel = F.lit(True) if strata is None else (F.col(strata).isNull() if g is None else F.col(strata) == g)
-        keys = df.where(sel).select(key.alias("key")).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n = keys.count()
+    try:
+        key_type = keyed.schema["key"].dataType
+        # one job sizes every stratum (the label's few classes)
+        for row in keyed.groupBy("g").count().collect():
+            g, n = row["g"], row["count"]
             t = math.ceil(fraction * n)
             if t == 0:
                 continue
-            cut = kth_keys(keys, [t])[t]
-        finally:
-            keys.unpersist()
-        lit = F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(cut)])
-        flag = flag | (sel & (key <= lit))
+            in_g = F.col("g").isNull() if g is None else F.col("g") == g
+            cut = kth_keys(keyed.where(in_g).select("key"), [t], total=n)[t]
+            sel = F.lit(True) if strata is None else (F.col(strata).isNull() if g is None else F.col(strata) == g)
+            flag = flag | (sel & (key <= _key_literal(cut, key_type)))
+    finally:
+        keyed.unpersist()
     return flag
 
 

@@ -127,12 +127,12 @@ def multikey_order(words: list[np.ndarray]) -> np.ndarray:
 
 
 def first_of(keys: list[np.ndarray], doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which rows have an equal row (all keys) that lies earlier."""
+    """Which rows have an equal row (all keys) that lies earlier; the same place read twice is not earlier."""
     order = np.lexsort((pos, row, doc, *keys[::-1]))
     cut = runs(*(k[order] for k in keys))
-    out = np.ones(len(doc), bool)
-    head = order[cut[:-1]]
-    out[head] = False
+    head = np.repeat(order[cut[:-1]], np.diff(cut))
+    out = np.zeros(len(doc), bool)
+    out[order] = (doc[order] != doc[head]) | (row[order] != row[head]) | (pos[order] != pos[head])
     return out
 
 

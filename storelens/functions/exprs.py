@@ -60,10 +60,25 @@ def money_text(c: str | Column) -> Column:
                   .otherwise(F.format_string("%,d", whole))))
 
 
+def fixed_text(c: str | Column, digits: int, prefix: str = "", suffix: str = "", scale: int = 1) -> Column:
+    """Amount divided by ``scale`` with ``digits`` decimals and thousands separators: '$1,234.50', '$2.30M', '$45K'.
+
+    Rounds half to even on the decimal value, like formatting a float in
+    Python; a negative value that rounds to zero keeps its sign.
+    """
+    c = col_(c)
+    r = F.bround((c / F.lit(scale)).cast("decimal(38,12)"), digits)
+    return F.when(c.isNotNull(), F.concat(
+        F.lit(prefix), F.when((c < 0) & (r == 0), F.lit("-")).otherwise(F.lit("")),
+        F.format_number(r, digits), F.lit(suffix)))
+
+
 def pct_text(c: str | Column, digits: int = 1) -> Column:
     """Percent text with ``digits`` decimals: 0.1234 -> '12.3%'."""
     c = dbl(c)
-    return F.concat(F.format_string(f"%.{digits}f", F.bround(c * 100, digits)), F.lit("%"))
+    r = F.bround((c * 100).cast("decimal(38,12)"), digits)
+    return F.when(c.isNotNull(), F.concat(F.when((c < 0) & (r == 0), F.lit("-")).otherwise(F.lit("")),
+                                          r.cast(f"decimal(38,{digits})").cast("string"), F.lit("%")))
 
 
 def discount_band(c: str | Column) -> Column:
@@ -76,16 +91,6 @@ def discount_band(c: str | Column) -> Column:
     return expr
 
 
-def discount_band_no(c: str | Column) -> Column:
-    """1-based ordinal of :func:`discount_band` (null outside the bands)."""
-    c = col_(c)
-    edges = [F.lit(Decimal(e)).cast(DISCOUNT_TYPE) for e in DISCOUNT_BAND_EDGES]
-    expr = F.when(F.lit(False), F.lit(None).cast("int"))
-    for no, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]), start=1):
-        expr = expr.when((c > lo) & (c <= hi), F.lit(no))
-    return expr
-
-
 def growth(cur: str | Column, prev: str | Column) -> Column:
     """cur / prev - 1; 0 when there is no previous value or it is 0 (no inf/NaN)."""
     return F.coalesce(F.try_divide(dbl(cur), dbl(prev)) - F.lit(1.0), F.lit(0.0))

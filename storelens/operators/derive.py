@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.exprs import discount_band, ratio
 from storelens.operators.ranking import rank_buckets
-from storelens.schema import BASE_COLUMNS, SALES_BAND_LABELS
+from storelens.schema import BASE_COLUMNS, DERIVED_COLUMNS, SALES_BAND_LABELS
 
 
 def sales_band(df: DataFrame, **kw):
@@ -23,14 +23,20 @@ def sales_band(df: DataFrame, **kw):
 def enrich(base: DataFrame, *, with_sales_band: bool = True, **kw) -> DataFrame:
     """Add ``order_year`` ... ``days_from_latest_order`` to canonical base columns.
 
+    Columns of ``base`` beyond the canonical ones stay, between the base and
+    the derived columns; an ``order_year`` that the table was partitioned by is
+    used as it is, so that filters on it prune partitions.
+
     ``days_from_latest_order`` uses the table-wide latest order date as a scalar
     subquery (one tiny aggregate, broadcast to every task); ``sales_band`` needs
     three boundary keys found by :mod:`storelens.operators.ranking`.
     """
     od = F.col("order_date")
     latest = base.select(F.max("order_date")).scalar()
-    cols = [F.col(c) for c in BASE_COLUMNS] + [
-        F.year(od).alias("order_year"),
+    extra = [c for c in base.columns if c not in BASE_COLUMNS and c not in DERIVED_COLUMNS]
+    year = F.col("order_year").cast("int") if "order_year" in base.columns else F.year(od)
+    cols = [F.col(f"`{c}`") for c in BASE_COLUMNS + extra] + [
+        year.alias("order_year"),
         F.date_format(od, "yyyy-MM").alias("order_month"),
         F.trunc(od, "month").alias("order_month_ts"),
         F.concat(F.year(od).cast("string"), F.lit("Q"), F.quarter(od).cast("string")).alias("order_quarter"),

@@ -11,13 +11,14 @@ FILTER_DIMENSIONS = ["order_year", "region", "category", "segment", "state", "sh
 
 
 def _years(years: list[int]) -> Column:
-    """order_year IN years, written as date ranges so Parquet/CSV scans can
-    prune on ``order_date`` statistics."""
+    """order_year IN years (prunes the partitions of a stored table), and the
+    same as date ranges, so scans can prune on ``order_date`` statistics."""
+    wanted = sorted(set(int(v) for v in years))
     pred = F.lit(False)
-    for y in sorted(set(int(v) for v in years)):
+    for y in wanted:
         pred = pred | ((F.col("order_date") >= F.lit(dt.date(y, 1, 1)))
                        & (F.col("order_date") < F.lit(dt.date(y + 1, 1, 1))))
-    return pred
+    return pred & F.col("order_year").isin(wanted)
 
 
 def apply_filters(ol: DataFrame, years: list[int], regions: list[str], categories: list[str],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import mean, ratio, relative_change, round_half_away
+from storelens.functions.exprs import fixed_text, mean, pct_text, ratio, relative_change, round_half_away
 from storelens.operators.summaries import monthly_base
 
 
@@ -46,6 +46,27 @@ def executive_kpis(ol: DataFrame) -> DataFrame:
         F.coalesce(deltas["pd"], F.lit(0.0)).alias("profit_delta"))
 
 
+def kpi_cards(ol: DataFrame) -> DataFrame:
+    """The six headline cards as display texts: (pos, label, value, delta)."""
+    k = executive_kpis(ol)
+    cards = [("Revenue", fixed_text("total_sales", 2, "$", "M", 1_000_000), pct_text("sales_delta")),
+             ("Net Profit", fixed_text("total_profit", 0, "$", "K", 1_000), pct_text("profit_delta")),
+             ("Profit Margin", pct_text("profit_margin"), None),
+             ("Orders", F.format_string("%,d", "total_orders"), None),
+             ("Customers", F.format_string("%,d", "total_customers"), None),
+             ("Loss-Making Orders", pct_text("loss_rate"), None)]
+    return k.select(F.inline(F.array(*[
+        F.struct(F.lit(i + 1).alias("pos"), F.lit(label).alias("label"), value.alias("value"),
+                 (F.lit(None) if delta is None else delta).cast("string").alias("delta"))
+        for i, (label, value, delta) in enumerate(cards)])))
+
+
+def report_money(ol: DataFrame) -> DataFrame:
+    """The report's money lines (two decimals): total sales and total profit as text."""
+    return executive_kpis(ol).select(fixed_text("total_sales", 2, "$").alias("total_sales_text"),
+                                     fixed_text("total_profit", 2, "$").alias("total_profit_text"))
+
+
 def _totals(ol: DataFrame) -> DataFrame:
     return ol.agg(F.sum("sales").alias("s"), F.sum("profit").alias("p"),
                   F.count_distinct("order_id").alias("o"),

@@ -7,21 +7,24 @@ distributed tree induction); evaluation and scoring are DataFrame jobs.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import round_half_away
-from storelens.operators.ranking import _key_literal, kth_keys
+from storelens.operators.ranking import _key_literal, search
 from storelens.schema import (CATEGORICAL_FEATURES, CONFUSION_COLS, CONFUSION_ROWS, DECISIONS,
                               NUMERIC_FEATURES, RISK_THRESHOLD)
+from storelens.session import path_exists as spark_path_exists
+from storelens.sources.sinks import stored
 
 _OH = "__oh"
 
@@ -53,32 +56,35 @@ def split_key(seed: int) -> list[Column]:
     return [F.xxhash64(F.col("row_id"), F.lit(seed)), F.col("row_id")]
 
 
-def test_flag(df: DataFrame, *, fraction: float = 0.2, seed: int = 42, strata: str | None = None) -> Column:
+def hold_out_sizes(counts: list[int], fraction: float) -> list[int]:
+    """``ceil(fraction * n)`` rows in all, dealt to the classes by largest remainder (ties: first class)."""
+    n = sum(counts)
+    t = math.ceil(fraction * n)
+    sizes = [c * t // n for c in counts] if n else []
+    by_rest = sorted(range(len(counts)), key=lambda i: (-(counts[i] * t % n), i)) if n else []
+    for i in by_rest[:t - sum(sizes)]:
+        sizes[i] += 1
+    return sizes
+
+
+def test_flag(df: DataFrame, *, fraction: float = 0.2, seed: int = 42, classes: tuple | None = None,
+              label: str = "is_loss") -> Column:
     """Boolean column: row is in the hold-out set.
 
-    Per stratum the ``ceil(fraction * n)`` rows with the smallest split key are
-    held out: exact sizes, no shuffle of the data, same rows on every run.  The
-    cut key per stratum is found by the distributed rank search; strata are
-    the label's few classes.
+    In all ``ceil(fraction * n)`` rows are held out, of each class of ``label``
+    its share of them (without ``classes``: of the whole table), those with the
+    smallest split key: exact sizes, no shuffle of the data, same rows on every
+    run.  One distributed rank search finds the cut keys of all classes.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(split_key(seed))])
-    keyed = (df.select((F.col(strata) if strata else F.lit(None)).alias("g"), key.alias("key"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    member = [F.lit(True)] if classes is None else [F.col(label) == c for c in classes]
+    keys = df.select(*[F.when(m, key).alias(f"key{i}") for i, m in enumerate(member)])
+    sizes, found = search(keys, lambda ns: [[t] if t else [] for t in hold_out_sizes(ns, fraction)])
+    key_type = keys.schema["key0"].dataType
     flag = F.lit(False)
-    try:
-        key_type = keyed.schema["key"].dataType
-        # one job sizes every stratum (the label's few classes)
-        for row in keyed.groupBy("g").count().collect():
-            g, n = row["g"], row["count"]
-            t = math.ceil(fraction * n)
-            if t == 0:
-                continue
-            in_g = F.col("g").isNull() if g is None else F.col("g") == g
-            cut = kth_keys(keyed.where(in_g).select("key"), [t], total=n)[t]
-            sel = F.lit(True) if strata is None else (F.col(strata).isNull() if g is None else F.col(strata) == g)
-            flag = flag | (sel & (key <= _key_literal(cut, key_type)))
-    finally:
-        keyed.unpersist()
+    for m, t, f in zip(member, hold_out_sizes(sizes, fraction), found):
+        if t:
+            flag = flag | (m & (key <= _key_literal(f[t], key_type)))
     return flag
 
 
@@ -99,8 +105,8 @@ def class_weights(train: DataFrame, label: str = "is_loss") -> DataFrame:
 
 
 def weight_column(train: DataFrame, label: str = "is_loss") -> Column:
-    """Per-row weight expression from the (few) class weights."""
-    rows = class_weights(train, label).collect()
+    """Per-row weight expression from the weights of the two classes."""
+    rows = class_weights(train.where(F.col(label).isin(0, 1)), label).collect()
     w = F.lit(1.0)
     for r in rows:
         w = F.when(F.col(label) == r[label], F.lit(float(r["weight"]))).otherwise(w)
@@ -150,11 +156,9 @@ def regression_metrics(scored: DataFrame, actual: str = "actual", predicted: str
                        digits: int = 6) -> DataFrame:
     """MAE and R^2 (reported to ``digits`` decimals) and the row count."""
     a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
-    # one scalar, fetched first: model predictions are non-deterministic for the
-    # analyzer, so a scalar subquery may not feed this aggregate
-    mu = F.lit(scored.select(F.avg(a)).first()[0]).cast("double")
+    # population variance times count is the total sum of squares: one pass, numerically stable
     e = scored.agg((F.sum(F.abs(p - a)) / F.count(F.lit(1))).alias("mae"),
-                   (F.lit(1.0) - F.try_divide(F.sum((a - p) * (a - p)), F.sum((a - mu) * (a - mu)))).alias("r2"),
+                   (F.lit(1.0) - F.try_divide(F.sum((a - p) * (a - p)), F.var_pop(a) * F.count(a))).alias("r2"),
                    F.count(F.lit(1)).alias("test_rows"))
     return e.select(round_half_away("mae", digits).alias("mae"), round_half_away("r2", digits).alias("r2"),
                     "test_rows")
@@ -171,9 +175,76 @@ def rule_scored(ol: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- models
 
+# Forests are grown as this many smaller ones at a time.  MLlib sends the statistics of every open node from every
+# partition, so a training frame should have few partitions; concurrent fits then keep the cores busy.
+SUBFORESTS = 8
+PARTITION_BYTES = 64 << 20
+
+
+@dataclass
+class Forest:
+    """Feature encoder and the parts of a random forest (seeded apart), with the tree count of each."""
+    encoder: PipelineModel
+    parts: list
+    trees: list[int]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``score``: mean prediction of all trees (classifier: probability of class 1)."""
+        keep = list(df.columns)
+        out = self.encoder.transform(df)
+        total = F.lit(0.0)
+        for i, (part, n) in enumerate(zip(self.parts, self.trees)):
+            out = part.transform(out)
+            one = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
+            out = out.withColumn(f"score{i}", one).drop("probability", "rawPrediction", "prediction")
+            total = total + F.col(f"score{i}") * float(n)
+        return out.select(*keep, (total / float(sum(self.trees))).alias("score"))
+
+    def importances(self) -> list[float]:
+        sums = sum(p.featureImportances.toArray() * n for p, n in zip(self.parts, self.trees))
+        return [float(x) for x in sums / sum(self.trees)]
+
+    def save(self, path: str) -> None:
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+        for i, part in enumerate(self.parts):
+            part.write().overwrite().save(f"{path}/forest{i}-{self.trees[i]}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, trees: list[int], classifier: bool) -> "Forest":
+        kind = RandomForestClassificationModel if classifier else RandomForestRegressionModel
+        return cls(PipelineModel.load(f"{path}/encoder"),
+                   [kind.load(f"{path}/forest{i}-{n}") for i, n in enumerate(trees)], list(trees))
+
+
+def part_trees(num_trees: int) -> list[int]:
+    k = min(SUBFORESTS, num_trees)
+    return [num_trees // k + (i < num_trees % k) for i in range(k)]
+
+
+def grow(train: DataFrame, estimator, num_trees: int, seed: int, columns: list[str]) -> Forest:
+    """Encodes ``train`` once and grows the parts of the forest concurrently on the stored features."""
+    encoder = Pipeline(stages=feature_stages()).fit(train)
+    encoded = encoder.transform(train).select("features", *columns)
+    width = 16 * (len(CATEGORICAL_FEATURES) + len(NUMERIC_FEATURES)) + 8 * len(columns) + 64  # sparse vector and labels
+    n = max(1, -(-train.count() * width // PARTITION_BYTES))
+    encoded = encoded.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    trees = part_trees(num_trees)
+
+    def fit(i: int):
+        return estimator.copy({estimator.numTrees: trees[i], estimator.seed: seed + i}).fit(encoded)
+
+    try:
+        encoded.count()
+        with ThreadPoolExecutor(len(trees)) as pool:
+            parts = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), range(len(trees))))
+    finally:
+        encoded.unpersist()
+    return Forest(encoder, parts, trees)
+
+
 @dataclass
 class LossModel:
-    model: PipelineModel
+    forest: Forest
     split: DataFrame
     test_scored: DataFrame
     train_rows: int
@@ -182,7 +253,7 @@ class LossModel:
 
 @dataclass
 class ProfitModel:
-    model: PipelineModel
+    forest: Forest
     split: DataFrame
     test_scored: DataFrame
 
@@ -190,54 +261,74 @@ class ProfitModel:
 _FITTED: dict[tuple, object] = {}
 
 
-def _prepared(ol: DataFrame, *, fraction: float, seed: int, strata: str | None) -> DataFrame:
+def _prepared(ol: DataFrame, *, fraction: float, seed: int, classes: tuple | None) -> DataFrame:
     base = with_numeric_features(ol)
-    return base.withColumn("is_test", test_flag(base, fraction=fraction, seed=seed, strata=strata))
+    return base.withColumn("is_test", test_flag(base, fraction=fraction, seed=seed, classes=classes))
+
+
+def _fitted(kind: str, path: str | None, spark: SparkSession, num_trees: int, train) -> Forest:
+    """The forest saved at ``path``, or a new one from ``train()``, saved there."""
+    if path is not None and spark_path_exists(spark, f"{path}/done"):
+        return Forest.load(spark, path, part_trees(num_trees), kind == "loss")
+    forest = train()
+    if path is not None:
+        forest.save(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return forest
 
 
 def train_loss_classifier(ol: DataFrame, *, num_trees: int = 240, max_depth: int = 12, min_leaf: int = 3,
-                          fraction: float = 0.2, seed: int = 42, cache_key: tuple | None = None) -> LossModel:
-    """Random forest on ``is_loss`` with balanced class weights, stratified hold-out."""
+                          fraction: float = 0.2, seed: int = 42, cache_key: tuple | None = None,
+                          path: str | None = None) -> LossModel:
+    """Random forest on ``is_loss`` with balanced class weights, stratified hold-out.
+
+    ``path``: folder the fitted forest is saved in, and loaded from if it is there (same data and parameters).
+    """
     key = ("loss", cache_key, num_trees, max_depth, min_leaf, fraction, seed)
     if cache_key is not None and key in _FITTED:
         return _FITTED[key]
-    split = _prepared(ol, fraction=fraction, seed=seed, strata="is_loss").persist(StorageLevel.MEMORY_AND_DISK)
+    split = stored(_prepared(ol, fraction=fraction, seed=seed, classes=(0, 1)), "loss-split")
     train = split.where(~F.col("is_test"))
-    train = train.withColumn("class_weight", weight_column(train))
-    rf = RandomForestClassifier(featuresCol="features", labelCol="is_loss", weightCol="class_weight",
-                                numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy="sqrt", seed=seed, maxBins=32, maxMemoryInMB=64,
-                                cacheNodeIds=True)
-    model = Pipeline(stages=feature_stages() + [rf]).fit(train)
-    test = split.where(F.col("is_test"))
-    scored = model.transform(test).select(
-        "row_id", F.col("is_loss").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-        vector_to_array("probability")[1].alias("loss_probability"))
+
+    def fit() -> Forest:
+        rf = RandomForestClassifier(featuresCol="features", labelCol="is_loss", weightCol="class_weight",
+                                    maxDepth=max_depth, minInstancesPerNode=min_leaf,
+                                    featureSubsetStrategy="sqrt", maxBins=32, cacheNodeIds=True)
+        return grow(train.withColumn("class_weight", weight_column(train)), rf, num_trees, seed,
+                    ["is_loss", "class_weight"])
+
+    forest = _fitted("loss", path, ol.sparkSession, num_trees, fit)
+    scored = stored(forest.transform(split.where(F.col("is_test"))).select(
+        "row_id", F.col("is_loss").alias("label"), (F.col("score") > 0.5).cast("int").alias("prediction"),
+        F.col("score").alias("loss_probability")), "loss-scored")
     sizes = split.agg(F.count_if(~F.col("is_test")).alias("tr"), F.count_if(F.col("is_test")).alias("te")).first()
-    res = LossModel(model, split, scored, sizes["tr"], sizes["te"])
+    res = LossModel(forest, split, scored, sizes["tr"], sizes["te"])
     if cache_key is not None:
         _FITTED[key] = res
     return res
 
 
 def train_profit_regressor(ol: DataFrame, *, num_trees: int = 220, max_depth: int = 14, min_leaf: int = 2,
-                           fraction: float = 0.2, seed: int = 42, cache_key: tuple | None = None) -> ProfitModel:
-    """Random forest on profit (all features per split), plain hold-out."""
+                           fraction: float = 0.2, seed: int = 42, cache_key: tuple | None = None,
+                           path: str | None = None) -> ProfitModel:
+    """Random forest on profit (all features per split), plain hold-out; ``path`` as in the classifier."""
     key = ("profit", cache_key, num_trees, max_depth, min_leaf, fraction, seed)
     if cache_key is not None and key in _FITTED:
         return _FITTED[key]
-    split = (_prepared(ol, fraction=fraction, seed=seed, strata=None)
-             .withColumn("profit_label", F.col("profit").cast("double"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    rf = RandomForestRegressor(featuresCol="features", labelCol="profit_label", numTrees=num_trees,
-                               maxDepth=max_depth, minInstancesPerNode=min_leaf, featureSubsetStrategy="all",
-                               seed=seed, maxBins=32, maxMemoryInMB=64, cacheNodeIds=True)
-    train = split.where(~F.col("is_test"))
-    model = Pipeline(stages=feature_stages() + [rf]).fit(train)
-    scored = model.transform(split.where(F.col("is_test"))).select(
-        "row_id", F.col("profit_label").alias("actual"), F.col("prediction").alias("predicted"),
-        F.xxhash64(F.col("row_id"), F.lit(seed)).alias("split_hash"))
-    res = ProfitModel(model, split, scored)
+    split = stored(_prepared(ol, fraction=fraction, seed=seed, classes=None)
+                   .withColumn("profit_label", F.col("profit").cast("double")), "profit-split")
+
+    def fit() -> Forest:
+        rf = RandomForestRegressor(featuresCol="features", labelCol="profit_label", maxDepth=max_depth,
+                                   minInstancesPerNode=min_leaf, featureSubsetStrategy="all", maxBins=32,
+                                   cacheNodeIds=True)
+        return grow(split.where(~F.col("is_test")), rf, num_trees, seed, ["profit_label"])
+
+    forest = _fitted("profit", path, ol.sparkSession, num_trees, fit)
+    scored = stored(forest.transform(split.where(F.col("is_test"))).select(
+        "row_id", F.col("profit_label").alias("actual"), F.col("score").alias("predicted"),
+        F.xxhash64(F.col("row_id"), F.lit(seed)).alias("split_hash")), "profit-scored")
+    res = ProfitModel(forest, split, scored)
     if cache_key is not None:
         _FITTED[key] = res
     return res
@@ -253,21 +344,20 @@ def profit_model_metrics(m: ProfitModel) -> DataFrame:
     return regression_metrics(m.test_scored)
 
 
-def feature_importance(model: PipelineModel, spark: SparkSession, sample: DataFrame) -> DataFrame:
-    """Importances of the fitted forest with readable feature names, largest first.
+def feature_importance(forest: Forest, spark: SparkSession, sample: DataFrame, k: int | None = 12) -> DataFrame:
+    """The ``k`` largest importances of the fitted forest (None: all) with readable feature names.
 
     Names come from the assembled vector's ML attributes (bounded by the
     number of features, not by the data).
     """
-    forest = model.stages[-1]
-    meta = model.transform(sample.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+    meta = forest.encoder.transform(sample.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {}
     for group in meta.values():
         for a in group:
             names[a["idx"]] = a["name"].replace(_OH, "").replace("__num", "")
-    imp = forest.featureImportances.toArray()
-    rows = [(names.get(i, f"f{i}"), float(v)) for i, v in enumerate(imp)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    rows = [(names.get(i, f"f{i}"), v) for i, v in enumerate(forest.importances())]
+    out = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    return out if k is None else out.limit(k)
 
 
 def regression_preview(m: ProfitModel, k: int = 12) -> DataFrame:
@@ -284,15 +374,11 @@ def score_orders(orders: DataFrame, loss: LossModel, profit: ProfitModel) -> Dat
     """Batch scoring: loss probability, predicted profit and the decision rule
     (p >= 0.6 risky; else negative predicted profit; else healthy).
 
-    Both models are applied in one narrow pass (no join, no shuffle): the first
-    model's intermediate columns are dropped before the second one runs.
+    Both models are applied in one narrow pass (no join, no shuffle).
     """
     feats = with_numeric_features(orders)
-    scratch = [f"{c}__idx" for c in CATEGORICAL_FEATURES] + [f"{c}{_OH}" for c in CATEGORICAL_FEATURES] + [
-        "features", "rawPrediction", "probability", "prediction"]
-    step1 = loss.model.transform(feats).withColumn("loss_probability", vector_to_array("probability")[1])
-    step1 = step1.drop(*[c for c in scratch if c in step1.columns])
-    step2 = profit.model.transform(step1).withColumnRenamed("prediction", "predicted_profit")
+    step1 = loss.forest.transform(feats).withColumnRenamed("score", "loss_probability")
+    step2 = profit.forest.transform(step1).withColumnRenamed("score", "predicted_profit")
     risky, negative, healthy = DECISIONS
     return step2.select(
         "row_id", "loss_probability", "predicted_profit",

@@ -16,38 +16,41 @@ _QUALITY_SOURCE = {
 _FLOATS = {"sales", "profit", "discount"}
 
 
-def _as_text(c: str) -> Column:
+def _as_text(c: Column, is_float: bool) -> Column:
     """Value as the text a float/int/str prints as (decimals print as doubles)."""
-    if c in _FLOATS:
-        return F.col(c).cast("double").cast("string")
-    return F.col(c).cast("string")
+    return (c.cast("double") if is_float else c).cast("string")
 
 
 def data_quality(ol: DataFrame) -> DataFrame:
     """Per profiled column: missing count, distinct non-null count and the first
     non-null value (smallest ``row_id``) as text, or 'N/A'.
 
-    Counts: the nine columns are unpivoted to (column, value) rows and
-    de-duplicated by a hash aggregation (partial aggregation before the
-    shuffle, so a value held by a third of the rows collapses map-side).
-    Samples: one global pass keeps, per column, the smallest (row_id, value)
-    pair; that nine-element array is attached as a scalar subquery.
+    One global pass keeps, per column, the null count and the row with the
+    smallest ``row_id`` (typed; only these nine values become text).  Distinct
+    values are counted on typed (column, number, text) rows, de-duplicated by a
+    hash aggregation before the shuffle, so a value held by a third of the rows
+    collapses map-side.
     """
-    texts = [_as_text(_QUALITY_SOURCE[name]) for name in QUALITY_COLUMNS]
+    source = [_QUALITY_SOURCE[name] for name in QUALITY_COLUMNS]
+    number = {c for c in source if ol.schema[c].dataType.typeName() != "string"}
+    one = ol.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(source)],
+                 *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col("row_id").alias("r"), F.col(c).alias("v"))))
+                   .alias(f"s{i}") for i, c in enumerate(source)])
+    facts = one.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("at"), F.lit(name).alias("column"), F.col(f"m{i}").alias("missing_values"),
+                 _as_text(F.col(f"s{i}.v"), c in _FLOATS).alias("sample"))
+        for i, (name, c) in enumerate(zip(QUALITY_COLUMNS, source))])))
     long = ol.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(name).alias("column"), t.alias("value"))
-        for i, (name, t) in enumerate(zip(QUALITY_COLUMNS, texts))])))
-    distinct = long.groupBy("pos", "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    firsts = ol.agg(F.array(*[
-        F.min(F.when(t.isNotNull(), F.struct(F.col("row_id").alias("r"), t.alias("v"))))["v"]
-        for t in texts]).alias("samples")).select("samples").scalar()
-    present = F.col("value").isNotNull()
-    return (distinct.groupBy("pos", "column").agg(
-        F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("missing_values"),
-        F.count("value").alias("unique_values"))
-        .select("pos", "column", "missing_values", "unique_values",
-                F.coalesce(F.element_at(firsts, F.col("pos") + 1), F.lit("N/A")).alias("sample_value"))
-        .orderBy("pos").drop("pos"))
+        F.struct(F.lit(i).alias("pos"),
+                 (F.col(c) if c in number else F.lit(None)).cast("decimal(18,4)").alias("number"),
+                 (F.lit(None) if c in number else F.col(c)).cast("string").alias("text"))
+        for i, c in enumerate(source)]))).where("number is not null or text is not null")
+    distinct = long.groupBy("pos", "number", "text").agg(F.lit(1).alias("one"))
+    unique = distinct.groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
+    return (facts.join(F.broadcast(unique), facts["at"] == unique["pos"], "left")  # nine rows
+            .select("at", "column", "missing_values", F.coalesce("n", F.lit(0)).cast("long").alias("unique_values"),
+                    F.coalesce("sample", F.lit("N/A")).alias("sample_value"))
+            .orderBy("at").drop("at"))
 
 
 def discount_risk_segments(ol: DataFrame) -> DataFrame:

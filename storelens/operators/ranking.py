@@ -7,17 +7,19 @@ ties broken by a unique key) among ``n`` rows into bucket
 ``1 + #{j : key(row) > key at rank k_j}``.  Only the ``q - 1`` boundary keys
 are needed, never a full ranking.
 
-:func:`kth_keys` finds keys at given ranks without a global sort and without an
-unpartitioned window over the data:
+:func:`search` finds the keys at given ranks, for any number of orderings of
+one frame at a time, without a global sort and without a window.  A round is
+two jobs, whatever the number of orderings and live candidate ranges:
 
-1. a seeded sample of the candidate keys gives ``fanout`` cut keys
-   (sorted and limited inside Spark; only the bounded sample reaches the driver);
+1. a sample of about ``OVERSAMPLE * fanout`` keys of each live range gives its
+   ``fanout - 1`` evenly spaced cut keys (picked in Spark);
 2. one aggregation counts rows per cut bucket (partial aggregation first, so a
-   hot key costs nothing extra) and the bucket holding the wanted rank becomes
-   the next candidate range;
-3. once a range holds at most ``exact_rows`` rows, ``row_number`` inside that
-   range (one window partition per range, bounded by ``exact_rows``) gives the
-   exact key.
+   hot key costs nothing extra), and the bucket that holds the wanted rank is
+   the next candidate range.
+
+A range of at most ``fanout`` keys is sampled whole: every key is a cut, each
+bucket holds one key, and the same count ends the search.  From the second
+round on only the live ranges are scanned, from a persisted copy.
 
 Keys are lexicographic structs ending in a unique tie-break column, so even a
 value shared by a third of all rows is split by the tie-break, and every round
@@ -26,15 +28,14 @@ shrinks the candidate range by about ``fanout``.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_ROWS = 200_000
 FANOUT = 64
 OVERSAMPLE = 32
 
@@ -88,13 +89,17 @@ def _key_literal(values: tuple, key_type: T.StructType) -> Column:
 
 @dataclass
 class _Range:
-    lo: tuple | None  # exclusive
-    hi: tuple | None  # inclusive
+    """Candidates ``lo < key <= hi`` of one ordering, and the wanted ranks among them."""
+    lo: tuple | None
+    hi: tuple | None
     size: int
+    wanted: list[tuple[int, int]]  # (rank in the whole ordering, rank within the range)
+    cuts: list[tuple] = field(default_factory=list)
 
 
-def _range_pred(key: Column, rng: _Range, key_type: T.StructType) -> Column:
-    pred = F.lit(True)
+def _in_range(name: str, rng: _Range, key_type: T.StructType) -> Column:
+    key = F.col(name)
+    pred = key.isNotNull()
     if rng.lo is not None:
         pred = pred & (key > _key_literal(rng.lo, key_type))
     if rng.hi is not None:
@@ -102,216 +107,152 @@ def _range_pred(key: Column, rng: _Range, key_type: T.StructType) -> Column:
     return pred
 
 
-def _bucket_expr(key: Column, cuts: list[tuple], key_type: T.StructType) -> Column:
-    """Bucket b in 0..len(cuts): cut[b-1] < key <= cut[b], by binary search.
+def _bucket_expr(name: str, bounds: list[tuple], key_type: T.StructType) -> Column:
+    """Bucket b in 0..len(bounds): bounds[b-1] < key <= bounds[b], by binary search.
 
-    ``key`` is the column named ``key``.  The search tree is one SQL
-    expression (one gateway call) when every cut renders as SQL text.
+    The search tree is one SQL expression (one gateway call) when every bound
+    renders as SQL text.
     """
-    texts = [_sql_key(c, key_type) for c in cuts]
+    texts = [_sql_key(c, key_type) for c in bounds]
     if all(t is not None for t in texts):
         def sql_tree(lo: int, hi: int) -> str:
             if lo == hi:
                 return str(lo)
             mid = (lo + hi) // 2
-            return f"CASE WHEN key <= {texts[mid]} THEN {sql_tree(lo, mid)} ELSE {sql_tree(mid + 1, hi)} END"
-        return F.expr(sql_tree(0, len(cuts)))
-    lits = [_key_literal(c, key_type) for c in cuts]
+            return f"CASE WHEN {name} <= {texts[mid]} THEN {sql_tree(lo, mid)} ELSE {sql_tree(mid + 1, hi)} END"
+        return F.expr(sql_tree(0, len(bounds)))
+    lits = [_key_literal(c, key_type) for c in bounds]
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(key <= lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-
-
-def kth_keys(keys: DataFrame, ranks: list[int], *, exact_rows: int = EXACT_ROWS,
-             fanout: int = FANOUT, seed: int = 42, total: int | None = None) -> dict[int, tuple]:
-    """Key tuples at the given 1-based ranks of a one-column frame ``key`` (struct).
-
-    ``keys`` should be persisted by the caller; the first round scans it.  Once
-    the live candidate ranges hold at most a quarter of the rows scanned so far,
-    they are persisted on their own and later rounds scan only them, so the
-    total work is about one full scan plus a geometric tail.  ``total`` is the
-    row count of ``keys`` when the caller knows it already.
+        return F.when(F.col(name) <= lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(bounds))
+
+
+def _spaced(every: Column, fanout: int) -> Column:
+    """All of a sorted array of at most ``fanout`` keys, else ``fanout - 1`` evenly spaced ones; distinct."""
+    step = F.size(every) / F.lit(float(fanout))
+    some = F.transform(F.sequence(F.lit(1), F.lit(fanout - 1)),
+                       lambda k: F.element_at(every, F.floor(k * step).cast("int") + 1))
+    return F.array_distinct(F.when(F.size(every) <= fanout, every).otherwise(some))
+
+
+def _sample_cuts(current: DataFrame, names: list[str], types: list[T.StructType], live: list[list[_Range]],
+                 fanout: int, seed: int) -> None:
+    """Fills in the cut keys of every live range: one job."""
+    arrays, of = [], []
+    for i, (name, ranges) in enumerate(zip(names, live)):
+        for r, rng in enumerate(ranges):
+            hit = _in_range(name, rng, types[i])
+            if rng.size > fanout:
+                hit = hit & (F.col("draw") < OVERSAMPLE * fanout / rng.size)
+            arrays.append(F.sort_array(F.collect_list(F.when(hit, F.col(name)))).alias(f"a{len(of)}"))
+            of.append(rng)
+    cuts = [_spaced(F.col(f"a{j}"), fanout).alias(f"a{j}") for j in range(len(of))]
+    for rng, got in zip(of, current.select("*", F.rand(seed).alias("draw")).agg(*arrays).select(*cuts).first()):
+        rng.cuts = [tuple(c) for c in got]
+
+
+def _count_buckets(current: DataFrame, names: list[str], types: list[T.StructType],
+                   live: list[list[_Range]]) -> dict[tuple[int, int], int]:
+    """Rows per (ordering, bucket between neighbouring bounds) over all live ranges: one job."""
+    entries = []
+    for i, (name, ranges) in enumerate(zip(names, live)):
+        if ranges:
+            b = _bucket_expr(name, _bounds(ranges), types[i])
+            entries.append(F.when(F.col(name).isNotNull(), F.struct(F.lit(i).alias("i"), b.alias("b"))))
+    rows = current.select(F.explode(F.array(*entries)).alias("e")).where("e is not null")
+    return {(r["i"], r["b"]): r["count"] for r in rows.groupBy("e.i", "e.b").count().collect()}
+
+
+def _bounds(ranges: list[_Range]) -> list[tuple]:
+    """All range ends and cuts of an ordering, ascending (ranges are disjoint and in order)."""
+    out: list[tuple] = []
+    for rng in ranges:
+        for c in ([rng.lo] if rng.lo is not None else []) + rng.cuts + ([rng.hi] if rng.hi is not None else []):
+            if not out or out[-1] != c:
+                out.append(c)
+    return out
+
+
+def search(keys: DataFrame, ranks: Callable[[list[int]], list[list[int]]], *, fanout: int = FANOUT,
+           seed: int = 42) -> tuple[list[int], list[dict[int, tuple]]]:
+    """Keys at 1-based ranks of every key column of ``keys``.
+
+    Each column of ``keys`` is one ordering: a struct key, null where the row
+    takes no part.  ``ranks`` maps the columns' row counts to the wanted ranks.
+    Returns the counts and, per ordering, rank -> key tuple.
     """
-    key = F.col("key")
-    key_type = keys.schema["key"].dataType
-    found: dict[int, tuple] = {}
-    wanted = sorted(set(ranks))
-    if not wanted:
-        return found
-    if total is None:
-        total = keys.count()
-    pending = {r: (_Range(None, None, total), r) for r in wanted if 1 <= r <= total}
-    current, current_rows, owned = keys, total, None
-    rounds = 0
+    names = keys.columns
+    types = [keys.schema[n].dataType for n in names]
+    one = keys.agg(*[F.count(n).alias(n) for n in names]).first()
+    sizes = [one[n] for n in names]
+    found: list[dict[int, tuple]] = [{} for _ in names]
+    live: list[list[_Range]] = []
+    for n, rs in zip(sizes, ranks(sizes)):
+        rs = sorted({r for r in rs if 1 <= r <= n})
+        live.append([_Range(None, None, n, [(r, r) for r in rs])] if rs else [])
+    current, owned, rounds = keys, None, 0
     try:
-        while pending:
+        while any(live):
             rounds += 1
             if rounds > 64:
                 raise RuntimeError("rank search made no progress; are the keys unique?")
-            # Ranks in one range share it; distinct live ranges are disjoint
-            # (every range is one bucket of a disjoint parent range).
-            by_range: dict[tuple, list[int]] = defaultdict(list)
-            for r, (rng, _k) in pending.items():
-                by_range[(rng.lo, rng.hi)].append(r)
-            ranges = [(pending[rs[0]][0], rs) for rs in by_range.values()]
-            live_rows = sum(rng.size for rng, _ in ranges)
-            if 4 * live_rows <= current_rows:
+            if rounds > 1:
                 pred = F.lit(False)
-                for rng, _ in ranges:
-                    pred = pred | _range_pred(key, rng, key_type)
+                for i, ranges in enumerate(live):
+                    for rng in ranges:
+                        pred = pred | _in_range(names[i], rng, types[i])
                 narrowed = current.where(pred).persist(StorageLevel.MEMORY_AND_DISK)
-                if owned is not None:
-                    owned.unpersist()
-                current, current_rows, owned = narrowed, live_rows, narrowed
-
-            small = [(rng, rs) for rng, rs in ranges if rng.size <= exact_rows]
-            large = [(rng, rs) for rng, rs in ranges if rng.size > exact_rows]
-            if small:
-                # One scan resolves every small range: each range is its own
-                # window partition of at most ``exact_rows`` rows.
-                gid = F.lit(None).cast("int")
-                for g in reversed(range(len(small))):
-                    gid = F.when(_range_pred(key, small[g][0], key_type), F.lit(g)).otherwise(gid)
-                picks = [(g, pending[r][1], r) for g, (_, rs) in enumerate(small) for r in rs]
-                pick = F.lit(False)
-                for g, k, _ in picks:
-                    pick = pick | ((F.col("g") == g) & (F.col("rn") == k))
-                w = Window.partitionBy("g").orderBy("key")
-                hits = (current.select(gid.alias("g"), key).where(F.col("g").isNotNull())
-                        .withColumn("rn", F.row_number().over(w)).where(pick).collect())
-                got = {(h["g"], h["rn"]): tuple(h["key"]) for h in hits}
-                for g, k, r in picks:
-                    found[r] = got[(g, k)]
-                    del pending[r]
-
-            for rng, rs in large:
-                cand = current.where(_range_pred(key, rng, key_type))
-                frac = min(1.0, OVERSAMPLE * fanout / rng.size)
-                sample = [tuple(row["key"]) for row in
-                          cand.sample(False, frac, seed + rounds).orderBy("key")
-                          .limit(4 * OVERSAMPLE * fanout).collect()]
-                if len(sample) > fanout:
-                    cuts = [sample[(i * len(sample)) // fanout] for i in range(1, fanout)]
-                else:
-                    cuts = sample
-                cuts = sorted(set(cuts))
-                counts = {row["b"]: row["count"] for row in
-                          cand.select(_bucket_expr(key, cuts, key_type).alias("b"))
-                          .groupBy("b").count().collect()}
-                for r in rs:
-                    _, k = pending[r]
-                    before = 0
-                    for b in range(len(cuts) + 1):
-                        c = counts.get(b, 0)
-                        if before + c >= k:
-                            new_lo = cuts[b - 1] if b > 0 else rng.lo
-                            new_hi = cuts[b] if b < len(cuts) else rng.hi
-                            if c == rng.size:  # no progress: all candidates share one key
-                                mm = cand.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-                                if tuple(mm["a"]) == tuple(mm["b"]):
-                                    found[r] = tuple(mm["a"])
-                                    del pending[r]
-                                    break
-                            pending[r] = (_Range(new_lo, new_hi, c), k - before)
-                            break
-                        before += c
+                current, before, owned = narrowed, owned, narrowed
+                _sample_cuts(current, names, types, live, fanout, seed + 1000 * rounds)
+                if before is not None:
+                    before.unpersist()
+            else:
+                _sample_cuts(current, names, types, live, fanout, seed)
+            counts = _count_buckets(current, names, types, live)
+            for i, ranges in enumerate(live):
+                live[i] = _next_ranges(i, ranges, counts, found[i], fanout)
     finally:
         if owned is not None:
             owned.unpersist()
-    return found
-    if total is None:
-        total = keys.count()
-    pending = {r: (_Range(None, None, total), r) for r in pending if 1 <= r <= total}
-    rounds = 0
-    while pending:
-        rounds += 1
-        if rounds > 64:
-            raise RuntimeError("rank search made no progress; are the keys unique?")
-        by_range: dict[tuple, list[int]] = defaultdict(list)
-        for r, (rng, _k) in pending.items():
-            by_range[(rng.lo, rng.hi)].append(r)
-        small = [(lh, rs) for lh, rs in by_range.items() if pending[rs[0]][0].size <= exact_rows]
-        large = [(lh, rs) for lh, rs in by_range.items() if pending[rs[0]][0].size > exact_rows]
-
-        if small:
-            # One job resolves every small range: each range is its own window
-            # partition of at most ``exact_rows`` rows.
-            parts = []
-            wanted = []
-            for gid, ((lo, hi), rs) in enumerate(small):
-                rng = pending[rs[0]][0]
-                parts.append(keys.where(_range_pred(key, rng, key_type)).select(F.lit(gid).alias("g"), key))
-                wanted.extend((gid, pending[r][1], r) for r in rs)
-            cand = parts[0]
-            for p in parts[1:]:
-                cand = cand.unionByName(p)
-            w = Window.partitionBy("g").orderBy("key")
-            pick = F.lit(False)
-            for g, k, _ in wanted:
-                pick = pick | ((F.col("g") == g) & (F.col("rn") == k))
-            hits = cand.withColumn("rn", F.row_number().over(w)).where(pick).collect()
-            got = {(h["g"], h["rn"]): tuple(h["key"]) for h in hits}
-            for g, k, r in wanted:
-                found[r] = got[(g, k)]
-                del pending[r]
-
-        for (lo, hi), rs in large:
-            rng = pending[rs[0]][0]
-            cand = keys.where(_range_pred(key, rng, key_type))
-            frac = min(1.0, OVERSAMPLE * fanout / rng.size)
-            sample = [tuple(row["key"]) for row in
-                      cand.sample(False, frac, seed + rounds).orderBy("key")
-                      .limit(4 * OVERSAMPLE * fanout).collect()]
-            if len(sample) > fanout:
-                cuts = [sample[(i * len(sample)) // fanout] for i in range(1, fanout)]
-            else:
-                cuts = sample
-            cuts = sorted(set(cuts))
-            counts = {row["b"]: row["count"] for row in
-                      cand.select(_bucket_expr(key, cuts, key_type).alias("b"))
-                      .groupBy("b").count().collect()}
-            for r in rs:
-                _, k = pending[r]
-                before = 0
-                for b in range(len(cuts) + 1):
-                    c = counts.get(b, 0)
-                    if before + c >= k:
-                        new_lo = cuts[b - 1] if b > 0 else rng.lo
-                        new_hi = cuts[b] if b < len(cuts) else rng.hi
-                        if c == rng.size:  # no progress: all candidates share one key
-                            mm = cand.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-                            if tuple(mm["a"]) == tuple(mm["b"]):
-                                found[r] = tuple(mm["a"])
-                                del pending[r]
-                                break
-                        pending[r] = (_Range(new_lo, new_hi, c), k - before)
-                        break
-                    before += c
-    return found
-
-
-def quantile_cuts(df: DataFrame, order_cols: list[Column], q: int = 4, **kw) -> tuple[int, list[tuple]]:
-    """Boundary keys of ``q`` rank buckets over the non-null first order column.
-
-    Returns ``(n, cuts)``; ``cuts[j-1]`` is the key at rank ``floor(j (n-1)/q) + 1``.
-    """
-    keys = (df.where(order_cols[0].isNotNull())
-            .select(_key_struct(order_cols).alias("key"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        n = keys.count()
-        if n == 0:
-            return 0, []
-        ranks = [(j * (n - 1)) // q + 1 for j in range(1, q)]
-        found = kth_keys(keys, ranks, total=n, **kw)
-        return n, [found[r] for r in ranks]
-    finally:
-        keys.unpersist()
+    return sizes, found
+
+
+def _next_ranges(i: int, ranges: list[_Range], counts: dict[tuple[int, int], int], found: dict[int, tuple],
+                 fanout: int) -> list[_Range]:
+    """The buckets that hold wanted ranks; keys that are settled go to ``found``."""
+    bounds = _bounds(ranges)
+    out: list[_Range] = []
+    for rng in ranges:
+        first = bounds.index(rng.lo) + 1 if rng.lo is not None else 0
+        last = bounds.index(rng.hi) if rng.hi is not None else len(bounds)
+        ends = [bounds[first - 1] if first else None, *bounds[first:last + 1]]
+        if rng.hi is None:
+            ends = [ends[0], *bounds[first:], None]
+        for rank, k in rng.wanted:
+            before = 0
+            for j in range(first, last + 1):
+                c = counts.get((i, j), 0)
+                if before + c >= k:
+                    lo, hi = ends[j - first], ends[j - first + 1]
+                    if hi is not None and rng.size <= fanout:
+                        found[rank] = hi  # every key was a cut: the bucket holds this one only
+                    elif out and (out[-1].lo, out[-1].hi) == (lo, hi):
+                        out[-1].wanted.append((rank, k - before))
+                    else:
+                        out.append(_Range(lo, hi, c, [(rank, k - before)]))
+                    break
+                before += c
+    return out
+
+
+def kth_keys(keys: DataFrame, ranks: list[int], **kw) -> dict[int, tuple]:
+    """Key tuples at the given 1-based ranks of a one-column frame ``key`` (struct)."""
+    return search(keys.select("key"), lambda sizes: [list(ranks)], **kw)[1][0]
 
 
 def bucket_of(order_cols: list[Column], cuts: list[tuple], key_type: T.StructType | None = None) -> Column:
@@ -333,50 +274,22 @@ def rank_buckets(df: DataFrame, order_cols: list[Column], q: int = 4, **kw) -> C
     Runs the boundary search eagerly (a few small jobs) and returns a pure
     expression with the ``q - 1`` boundary keys as literals.
     """
-    key_type = df.select(_key_struct(order_cols).alias("key")).schema["key"].dataType
-    n, cuts = quantile_cuts(df, order_cols, q, **kw)
-    return bucket_of(order_cols, cuts, key_type)
+    return rank_buckets_many(df, [order_cols], q, **kw)[0]
 
 
-def rank_buckets_many(df: DataFrame, orderings: list[list[Column]], q: int = 4, *,
-                      exact_rows: int = EXACT_ROWS, **kw) -> list[Column]:
-    """:func:`rank_buckets` for several orderings of the same frame.
-
-    One persisted projection holds every key.  When each ordering has at most
-    ``exact_rows`` ranked rows, a single job computes all boundary keys (one
-    window per ordering over that bounded frame); otherwise every ordering runs
-    the sampled search on the shared projection.
-    """
+def rank_buckets_many(df: DataFrame, orderings: list[list[Column]], q: int = 4, **kw) -> list[Column]:
+    """:func:`rank_buckets` for several orderings of the same frame, in one search."""
     structs = [_key_struct(cols) for cols in orderings]
-    keys = df.select(*[s.alias(f"key{i}") for i, s in enumerate(structs)],
-                     *[cols[0].isNotNull().alias(f"ok{i}") for i, cols in enumerate(orderings)])
-    types = [keys.schema[f"key{i}"].dataType for i in range(len(orderings))]
-    keys = keys.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = keys.agg(*[F.count_if(F.col(f"ok{i}")).alias(f"n{i}") for i in range(len(orderings))]).first()
-        ns = [counts[f"n{i}"] for i in range(len(orderings))]
-        ranks = [[(j * (n - 1)) // q + 1 for j in range(1, q)] if n else [] for n in ns]
-        cuts: list[list[tuple]] = []
-        if max(ns) <= exact_rows:
-            ranked = keys
-            pick = F.lit(False)
-            for i, rs in enumerate(ranks):
-                w = Window.orderBy(F.col(f"ok{i}").desc(), F.col(f"key{i}"))
-                ranked = ranked.withColumn(f"rn{i}", F.row_number().over(w))
-                if rs:
-                    pick = pick | (F.col(f"ok{i}") & F.col(f"rn{i}").isin(rs))
-            hits = ranked.where(pick).collect()
-            for i, rs in enumerate(ranks):
-                got = {h[f"rn{i}"]: tuple(h[f"key{i}"]) for h in hits if h[f"ok{i}"]}
-                cuts.append([got[r] for r in rs])
-        else:
-            for i, rs in enumerate(ranks):
-                sub = keys.where(F.col(f"ok{i}")).select(F.col(f"key{i}").alias("key"))
-                found = kth_keys(sub, rs, exact_rows=exact_rows, total=ns[i], **kw) if rs else {}
-                cuts.append([found[r] for r in rs])
-    finally:
-        keys.unpersist()
-    return [bucket_of(cols, c, t) for cols, c, t in zip(orderings, cuts, types)]
+    types = df.select(*[s.alias(f"key{i}") for i, s in enumerate(structs)]).schema
+    keys = df.select(*[F.when(cols[0].isNotNull(), s).alias(f"key{i}")
+                       for i, (s, cols) in enumerate(zip(structs, orderings))])
+
+    def ranks(sizes: list[int]) -> list[list[int]]:
+        return [[(j * (n - 1)) // q + 1 for j in range(1, q)] if n else [] for n in sizes]
+
+    sizes, found = search(keys, ranks, **kw)
+    return [bucket_of(cols, [f[r] for r in rs], types[f"key{i}"].dataType)
+            for i, (cols, f, rs) in enumerate(zip(orderings, found, ranks(sizes)))]
 
 
 def pct_rank_average(value: Column) -> Column:

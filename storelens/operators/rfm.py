@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators.ranking import rank_buckets_many
 from storelens.operators.summaries import keys_present, top_k, total_dec
 from storelens.schema import RFM_DEFAULT_SEGMENT, RFM_SEGMENTS
+from storelens.sources.sinks import stored
 
 
 def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
@@ -17,25 +17,24 @@ def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
 
     Scores are exact rank quartiles (ties broken by customer id, then name):
     recency ranks descending days, frequency and monetary ascending.  The
-    quartile boundaries come from :mod:`storelens.operators.ranking`, so no
-    window ever spans all customers.
+    customer aggregate is written once; one search of
+    :mod:`storelens.operators.ranking` over it finds the boundaries of all
+    three orderings, and the result reads it again.  No window spans all
+    customers.
     """
     latest = ol.select(F.max("order_date")).scalar()
     keys = ["customer_id", "customer_name"]
-    cust = (keys_present(ol, keys).groupBy(*keys)
+    cust = stored(
+        keys_present(ol, keys).groupBy(*keys)
             .agg(F.max("order_date").alias("last_order"),
                  F.count_distinct("order_id").alias("frequency"),
                  total_dec("sales").alias("monetary_dec"),
                  total_dec("profit").alias("profit_dec"))
             .select(*keys, F.datediff(latest, F.col("last_order")).alias("recency_days"),
-                    "frequency", "monetary_dec", "profit_dec")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        tie = [F.col("customer_id"), F.col("customer_name")]
-        r, f, m = rank_buckets_many(cust, [[-F.col("recency_days")] + tie, [F.col("frequency")] + tie,
-                                           [F.col("monetary_dec")] + tie], 4, **kw)
-    finally:
-        cust.unpersist()
+                    "frequency", "monetary_dec", "profit_dec"), "customers")
+    tie = [F.col("customer_id"), F.col("customer_name")]
+    r, f, m = rank_buckets_many(cust, [[-F.col("recency_days")] + tie, [F.col("frequency")] + tie,
+                                       [F.col("monetary_dec")] + tie], 4, **kw)
     score = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
     seg = F.when(F.lit(False), F.lit(None))
     for threshold, label in RFM_SEGMENTS:
@@ -46,8 +45,12 @@ def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
                         F.col("profit_dec").cast("double").alias("profit"),
                         r.alias("recency_score"), f.alias("frequency_score"), m.alias("monetary_score"))
             .withColumn("rfm_score", score)
-            .withColumn("rfm_segment", seg)
-            .orderBy(F.desc("rfm_score"), F.desc("monetary"), "customer_id"))
+            .withColumn("rfm_segment", seg))
+
+
+def ranked(rfm: DataFrame) -> DataFrame:
+    """The customers in display order: best score first, then largest monetary value."""
+    return rfm.orderBy(F.desc("rfm_score"), F.desc("monetary"), "customer_id")
 
 
 def rfm_segments(rfm: DataFrame) -> DataFrame:

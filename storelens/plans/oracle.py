@@ -226,14 +226,14 @@ opp AS (
 )"""
 
 
-def _scen(adj: float) -> str:
+def _scen(adj: float | str, sweep: str = "") -> str:
     return f"""scen0 AS (
   SELECT sub_category, {tot('sales')} AS sales, {tot('profit')} AS profit, {mean('discount')} AS avg_discount
   FROM ol WHERE sub_category IS NOT NULL GROUP BY sub_category
 ),
 scen1 AS (
-  SELECT *, CASE WHEN avg_discount IS NULL THEN NULL ELSE least(greatest(avg_discount + {adj!r}, 0.0), 0.8) END
-    AS simulated_discount FROM scen0
+  SELECT *, CASE WHEN avg_discount IS NULL THEN NULL ELSE least(greatest(avg_discount + {adj}, 0.0), 0.8) END
+    AS simulated_discount FROM scen0 {sweep}
 ),
 scen2 AS (SELECT *, simulated_discount - avg_discount AS discount_change FROM scen1),
 scen3 AS (SELECT *, sales * discount_change * -0.35 AS estimated_profit_impact FROM scen2),
@@ -260,6 +260,35 @@ _RULE = f"""scored AS (
 )"""
 
 
+# the hold-out of each class: the total size dealt by largest remainder
+_SPLIT = f"""cls AS (SELECT is_loss, count(*) AS rows FROM ol GROUP BY is_loss),
+cls_t AS (SELECT *, CAST(sum(rows) OVER () AS BIGINT) AS total,
+  CAST(ceil(sum(rows) OVER () * {P.TEST_FRACTION}) AS BIGINT) AS t FROM cls),
+cls_r AS (SELECT *, rows * t // total AS whole,
+  row_number() OVER (ORDER BY rows * t % total DESC, is_loss) AS place FROM cls_t),
+sizes AS (SELECT is_loss, rows, whole + CASE WHEN place <= t - CAST(sum(whole) OVER () AS BIGINT) THEN 1 ELSE 0 END
+  AS test_rows FROM cls_r)"""
+
+_EXEC = f"""last AS (SELECT * FROM monthly_g ORDER BY order_month_ts DESC LIMIT 1),
+        tt AS (SELECT {tot('sales')} AS total_sales, {tot('profit')} AS total_profit,
+                      count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS total_customers,
+                      coalesce({mean('is_loss')}, 0.0) AS loss_rate FROM ol),
+        ex AS (SELECT total_sales, total_profit, total_orders, total_customers,
+          coalesce(total_profit / NULLIF(total_sales, 0), 0.0) AS profit_margin, loss_rate,
+          coalesce((SELECT (sales - prev_sales) / NULLIF(prev_sales, 0) FROM last), 0.0) AS sales_delta,
+          coalesce((SELECT (profit - prev_profit) / NULLIF(prev_profit, 0) FROM last), 0.0) AS profit_delta
+        FROM tt)"""
+
+
+def amount(x: str, digits: int, scale: int) -> str:
+    """Half-even text of x / scale with thousands separators."""
+    return f"format('{{:,.{digits}f}}', CAST(round_even(CAST({x} / {scale}.0 AS DECIMAL(38,12)), {digits}) AS DOUBLE))"
+
+
+def percent(x: str) -> str:
+    return f"(format('{{:.1f}}', CAST(round_even(CAST({x} * 100 AS DECIMAL(38,12)), 1) AS DOUBLE)) || '%')"
+
+
 def _kpi_rows(pairs) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS pos, '{m}' AS metric, CAST({v} AS DOUBLE) AS value FROM t"
                               for i, (m, v) in enumerate(pairs))
@@ -291,16 +320,17 @@ ORACLE: dict[str, str] = {
         FROM ol WHERE state IS NOT NULL AND region IS NOT NULL GROUP BY state, region"""),
     "monthly_summary": q(", " + _MONTHLY + """
         SELECT order_month, order_month_ts, sales, profit, orders, sales_growth_pct, profit_growth_pct FROM monthly_g"""),
-    "executive_kpis": q(", " + _MONTHLY + f""",
-        last AS (SELECT * FROM monthly_g ORDER BY order_month_ts DESC LIMIT 1),
-        tt AS (SELECT {tot('sales')} AS total_sales, {tot('profit')} AS total_profit,
-                      count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS total_customers,
-                      coalesce({mean('is_loss')}, 0.0) AS loss_rate FROM ol)
-        SELECT total_sales, total_profit, total_orders, total_customers,
-          coalesce(total_profit / NULLIF(total_sales, 0), 0.0) AS profit_margin, loss_rate,
-          coalesce((SELECT (sales - prev_sales) / NULLIF(prev_sales, 0) FROM last), 0.0) AS sales_delta,
-          coalesce((SELECT (profit - prev_profit) / NULLIF(prev_profit, 0) FROM last), 0.0) AS profit_delta
-        FROM tt"""),
+    "executive_kpis": q(", " + _MONTHLY + ", " + _EXEC + " SELECT * FROM ex"),
+    "kpi_cards": q(", " + _MONTHLY + ", " + _EXEC + f"""
+        SELECT 1 AS pos, 'Revenue' AS label, '$' || {amount('total_sales', 2, 1000000)} || 'M' AS "value",
+               {percent('sales_delta')} AS delta FROM ex
+        UNION ALL SELECT 2, 'Net Profit', '$' || {amount('total_profit', 0, 1000)} || 'K', {percent('profit_delta')} FROM ex
+        UNION ALL SELECT 3, 'Profit Margin', {percent('profit_margin')}, NULL FROM ex
+        UNION ALL SELECT 4, 'Orders', format('{{:,}}', total_orders), NULL FROM ex
+        UNION ALL SELECT 5, 'Customers', format('{{:,}}', total_customers), NULL FROM ex
+        UNION ALL SELECT 6, 'Loss-Making Orders', {percent('loss_rate')}, NULL FROM ex"""),
+    "report_money": q(", " + _MONTHLY + ", " + _EXEC + f""" SELECT '$' || {amount('total_sales', 2, 1)} AS total_sales_text,
+        '$' || {amount('total_profit', 2, 1)} AS total_profit_text FROM ex"""),
     "region_summary": q(f"""SELECT region, {tot('sales')} AS sales, {tot('profit')} AS profit, {mean('discount')} AS avg_discount
         FROM ol WHERE region IS NOT NULL GROUP BY region"""),
     "category_summary": q(f"""SELECT category, {tot('sales')} AS sales, {tot('profit')} AS profit,
@@ -393,6 +423,8 @@ ORACLE: dict[str, str] = {
     "top_opportunities": q(", " + _OPP + f""" SELECT category, sub_category, sales, profit, loss_rate, opportunity_score
         FROM opp ORDER BY opportunity_score DESC, category, sub_category LIMIT {P.TOP_OPPORTUNITIES}"""),
     "discount_scenario": q(", " + _scen(P.SCENARIO_ADJUSTMENT) + " SELECT * FROM scen"),
+    "discount_scenarios": q(", " + _scen("adjustment", "CROSS JOIN (SELECT unnest([" + ", ".join(
+        f"CAST('{x}' AS DOUBLE)" for x in P.SCENARIO_SWEEP) + "]) AS adjustment) a") + " SELECT * FROM scen"),
     "top_scenario": q(", " + _scen(P.SCENARIO_ADJUSTMENT) + f""" SELECT sub_category, avg_discount, simulated_discount,
         estimated_profit_impact, projected_profit FROM scen ORDER BY estimated_profit_impact, sub_category
         LIMIT {P.TOP_SCENARIO}"""),
@@ -443,10 +475,10 @@ ORACLE: dict[str, str] = {
     "sql_adhoc": q("""select "Ship Mode" AS ship_mode, count(*) AS lines, count(DISTINCT "Order ID") AS orders,
         CAST(round(sum("Sales"), 2) AS DOUBLE) AS sales from orders group by "Ship Mode" """, sql_store=True),
     # model-evaluation operators on a deterministic rule scorer
-    "split_sizes": q(f"""SELECT is_loss, count(*) AS rows, CAST(ceil(count(*) * {P.TEST_FRACTION}) AS BIGINT) AS test_rows,
-        count(*) - CAST(ceil(count(*) * {P.TEST_FRACTION}) AS BIGINT) AS train_rows FROM ol GROUP BY is_loss"""),
-    "class_weights": q(f""", c AS (SELECT is_loss, count(*) - CAST(ceil(count(*) * {P.TEST_FRACTION}) AS BIGINT) AS train_rows
-        FROM ol GROUP BY is_loss)
+    "split_sizes": q(", " + _SPLIT + """ SELECT is_loss, rows, test_rows, rows - test_rows AS train_rows FROM sizes"""),
+    "plain_split_sizes": q(f""" SELECT count(*) AS rows, CAST(ceil(count(*) * {P.TEST_FRACTION}) AS BIGINT) AS test_rows,
+        count(*) - CAST(ceil(count(*) * {P.TEST_FRACTION}) AS BIGINT) AS train_rows FROM ol"""),
+    "class_weights": q(", " + _SPLIT + """, c AS (SELECT is_loss, rows - test_rows AS train_rows FROM sizes)
         SELECT is_loss, train_rows, CAST(sum(train_rows) OVER () AS DOUBLE) / (2.0 * train_rows) AS weight FROM c"""),
     "classification_metrics": q(", " + _RULE + """ SELECT
         CAST(count(*) FILTER (WHERE label = prediction) AS DOUBLE) / NULLIF(count(*), 0) AS accuracy,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storelens.operators import filters, forecast, kpis, models, monitor, products, quality, rfm, summaries
 from storelens.plans import params as P
@@ -15,12 +16,17 @@ from storelens.sources.loader import load_order_lines
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _ol(spark: SparkSession, src: str) -> DataFrame:
+def _full(spark: SparkSession, src: str) -> DataFrame:
+    """Order lines with the sales band, for the queries that return it."""
     return load_order_lines(spark, src)
 
 
+def _ol(spark: SparkSession, src: str) -> DataFrame:
+    return load_order_lines(spark, src, with_sales_band=False)
+
+
 def _filtered(spark: SparkSession, src: str) -> DataFrame:
-    return filters.apply_filters(_ol(spark, src), P.FILTER_YEARS, P.FILTER_REGIONS, P.FILTER_CATEGORIES,
+    return filters.apply_filters(_full(spark, src), P.FILTER_YEARS, P.FILTER_REGIONS, P.FILTER_CATEGORIES,
                                  P.FILTER_SEGMENTS, states=P.FILTER_STATES, ship_modes=None)
 
 
@@ -44,7 +50,7 @@ def _written_store(spark: SparkSession, src: str) -> str:
     """The persistent SQL store of ``src``, written once per application (load-once cache)."""
     key = (spark.sparkContext.applicationId, src)
     if key not in _STORES:
-        _STORES[key] = sqlviews.write_sql_store(spark, _ol(spark, src))
+        _STORES[key] = sqlviews.write_sql_store(spark, _full(spark, src))
     return _STORES[key]
 
 
@@ -66,9 +72,30 @@ def _profit(spark: SparkSession, src: str) -> models.ProfitModel:
                                          cache_key=(spark.sparkContext.applicationId, src), **P.PROFIT_MODEL)
 
 
-def _split(spark: SparkSession, src: str) -> DataFrame:
-    ol = _ol(spark, src)
-    return ol.withColumn("is_test", models.test_flag(ol, fraction=P.TEST_FRACTION, seed=P.SEED, strata="is_loss"))
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def _once(kind: str, build: Query) -> Query:
+    """``build``'s result, written once per application and source and read by every query over it."""
+    def run(spark: SparkSession, src: str) -> DataFrame:
+        key = (kind, spark.sparkContext.applicationId, id(spark), src)
+        if key not in _FRAMES:
+            _FRAMES[key] = sinks.stored(build(spark, src), kind)
+        return _FRAMES[key]
+    return run
+
+
+def _flagged(classes: tuple | None) -> Query:
+    def build(spark: SparkSession, src: str) -> DataFrame:
+        ol = _ol(spark, src)
+        flag = models.test_flag(ol, fraction=P.TEST_FRACTION, seed=P.SEED, classes=classes)
+        return ol.select("row_id", "is_loss", flag.alias("is_test"))
+    return build
+
+
+_split = _once("split", _flagged((0, 1)))
+_plain_split = _once("plain-split", _flagged(None))
+_rfm = _once("rfm", lambda s, d: rfm.rfm_summary(_ol(s, d)))
 
 
 def _on(fn, **kw) -> Query:
@@ -77,7 +104,7 @@ def _on(fn, **kw) -> Query:
 
 QUERIES: dict[str, Query] = {
     # sources, derived columns, filters
-    "order_lines": _ol,
+    "order_lines": _full,
     "filter_orders": _filtered,
     "export_filtered": _export_roundtrip,
     "filter_options": _on(filters.filter_options),
@@ -101,12 +128,14 @@ QUERIES: dict[str, Query] = {
     "top_customers_total": _on(summaries.top_customers_total, k=P.TOP_CUSTOMERS_TOTAL),
     "kpi_summary": _on(kpis.kpi_summary),
     "kpi_summary_compact": _on(kpis.kpi_summary_compact),
+    "kpi_cards": _on(kpis.kpi_cards),
+    "report_money": _on(kpis.report_money),
     "dataset_snapshot": _on(kpis.dataset_snapshot),
     "insight_facts": _on(kpis.insight_facts),
     # customers
-    "rfm": _on(rfm.rfm_summary),
-    "rfm_segments": lambda s, d: rfm.rfm_segments(rfm.rfm_summary(_ol(s, d))),
-    "rfm_watchlist": lambda s, d: rfm.rfm_watchlist(rfm.rfm_summary(_ol(s, d)), k=P.WATCHLIST),
+    "rfm": lambda s, d: rfm.ranked(_rfm(s, d)),
+    "rfm_segments": lambda s, d: rfm.rfm_segments(_rfm(s, d)),
+    "rfm_watchlist": lambda s, d: rfm.rfm_watchlist(_rfm(s, d), k=P.WATCHLIST),
     # planning
     "forecast": _on(forecast.forecast_frame, periods=P.FORECAST_PERIODS),
     "monthly_anomalies": _on(forecast.anomaly_table),
@@ -114,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "product_opportunity": _on(products.product_opportunity),
     "top_opportunities": _on(products.top_opportunities, k=P.TOP_OPPORTUNITIES),
     "discount_scenario": _on(products.discount_scenario, adjustment=P.SCENARIO_ADJUSTMENT),
+    "discount_scenarios": _on(products.discount_scenarios, adjustments=P.SCENARIO_SWEEP),
     "top_scenario": _on(products.top_scenario, adjustment=P.SCENARIO_ADJUSTMENT, k=P.TOP_SCENARIO),
     "discount_risk_segments": _on(quality.discount_risk_segments),
     "data_quality": _on(quality.data_quality),
@@ -122,7 +152,7 @@ QUERIES: dict[str, Query] = {
     "monitor_snapshot": _on(monitor.monitor_snapshot, k=P.RECENT),
     "daily_pulse": _on(monitor.daily_pulse, days=P.PULSE_DAYS),
     # SQL layer
-    "sql_orders_export": lambda s, d: sqlviews.orders_table(_ol(s, d)),
+    "sql_orders_export": lambda s, d: sqlviews.orders_table(_full(s, d)),
     "sql_store_written": lambda s, d: sqlviews.read_sql_store(s, _written_store(s, d)),
     "sql_store_monthly_kpis": _written_sql("select * from monthly_kpis"),
     "table_counts": lambda s, d: (sqlviews.register_sql_store(s, _ol(s, d)), sqlviews.table_counts(s))[1],
@@ -141,6 +171,9 @@ QUERIES: dict[str, Query] = {
                       '-- lines per ship mode\n;'),
     # models: evaluation operators on a fixed rule scorer (SQL-checkable) ...
     "split_sizes": lambda s, d: models.split_sizes(_split(s, d)),
+    "plain_split_sizes": lambda s, d: _plain_split(s, d).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("is_test").alias("test_rows"),
+        F.count_if(~F.col("is_test")).alias("train_rows")),
     "class_weights": lambda s, d: models.class_weights(_split(s, d).where("NOT is_test")),
     "classification_metrics": lambda s, d: models.classification_metrics(models.rule_scored(_ol(s, d))),
     "confusion_matrix": lambda s, d: models.confusion_matrix(models.rule_scored(_ol(s, d))),
@@ -152,8 +185,8 @@ QUERIES: dict[str, Query] = {
     "loss_confusion_matrix": lambda s, d: models.confusion_matrix(_loss(s, d).test_scored),
     "loss_variant_report": lambda s, d: models.classification_report(_loss(s, d, variant=True).test_scored),
     "profit_model_metrics": lambda s, d: models.profit_model_metrics(_profit(s, d)),
-    "loss_feature_importance": lambda s, d: models.feature_importance(_loss(s, d).model, s, _loss(s, d).split),
-    "profit_feature_importance": lambda s, d: models.feature_importance(_profit(s, d).model, s, _profit(s, d).split),
+    "loss_feature_importance": lambda s, d: models.feature_importance(_loss(s, d).forest, s, _loss(s, d).split),
+    "profit_feature_importance": lambda s, d: models.feature_importance(_profit(s, d).forest, s, _profit(s, d).split),
     "regression_preview": lambda s, d: models.regression_preview(_profit(s, d)),
     "score_orders": lambda s, d: models.score_orders(_ol(s, d), _loss(s, d), _profit(s, d)),
 }

@@ -29,7 +29,7 @@ def orders_table(ol: DataFrame) -> DataFrame:
     dates and ``order_month_ts`` as ``YYYY-MM-DD`` text."""
     cols = []
     for name in ol.columns:
-        c = F.col(name)
+        c = F.col(f"`{name}`")
         if name in ("order_date", "ship_date", "order_month_ts"):
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(REFERENCE_NAMES.get(name, name)))
@@ -101,10 +101,6 @@ EXAMPLE_SQL = (
 )
 
 
-def _orders_columns() -> list[str]:
-    return [REFERENCE_NAMES.get(c, c) for c in BASE_COLUMNS + DERIVED_COLUMNS]
-
-
 def write_sql_store(spark: SparkSession, ol: DataFrame, path: str | None = None) -> str:
     """Write the ``orders`` table once as Parquet partitioned by ``order_year``.
 
@@ -123,7 +119,10 @@ def write_sql_store(spark: SparkSession, ol: DataFrame, path: str | None = None)
 
 def read_sql_store(spark: SparkSession, path: str) -> DataFrame:
     """The written ``orders`` table, columns in store order (a year filter prunes partitions)."""
-    return spark.read.parquet(path).select(*[F.col(f"`{c}`") for c in _orders_columns()])
+    table = spark.read.parquet(path)
+    base = [REFERENCE_NAMES.get(c, c) for c in BASE_COLUMNS]
+    extra = [c for c in table.columns if c not in base and c not in DERIVED_COLUMNS]
+    return table.select(*[F.col(f"`{c}`") for c in base + extra + DERIVED_COLUMNS])
 
 
 def register_sql_store(spark: SparkSession, ol: DataFrame | None = None, path: str | None = None) -> None:

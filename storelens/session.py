@@ -18,25 +18,24 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # local mode runs every task in the driver JVM; on a cluster this is the
-    # driver only and executor memory comes from spark-submit
-    "spark.driver.memory": "16g",
 }
+# local mode runs every task in the driver JVM; on a cluster spark-submit sizes driver and executors
+LOCAL_CONF = {"spark.driver.memory": "8g"}
 
 
-def build_session(master: str = "local[*]", app_name: str = "storelens",
+def build_session(master: str | None = None, app_name: str = "storelens",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Build (or get) a session with the defaults above.
 
-    On a cluster, leave ``master`` to spark-submit and size
-    ``spark.sql.shuffle.partitions`` to roughly input bytes / 128 MB; AQE then
+    Without ``master`` the master is whatever spark-submit or the environment
+    names.  On a cluster, size ``spark.sql.shuffle.partitions`` to roughly input bytes / 128 MB; AQE then
     coalesces small partitions and splits skewed ones at run time.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    conf = {**DEFAULT_CONF, **(LOCAL_CONF if master and master.startswith("local") else {})}
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -44,22 +43,32 @@ def build_session(master: str = "local[*]", app_name: str = "storelens",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    shared_dir(spark)
     return spark
 
 
+def path_exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or path pattern names anything, in whatever store Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A directory on the storage every executor can see.
 
     The cluster names it in ``spark.checkpoint.dir``; that setting is read from
-    the session.  Only when it is unset (local runs and tests) a scratch folder
-    is created and registered as the checkpoint directory.
+    the session.  When it is unset, a local master gets a scratch folder; any
+    other master raises, as a folder of the driver's disk is out of the
+    executors' reach.
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if sc.master.split("[")[0] != "local":
+                raise RuntimeError(f"spark.checkpoint.dir is not set: master {sc.master} needs a folder that all "
+                                   "executors share")
             base = tempfile.mkdtemp(prefix="storelens-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.schema import BASE_COLUMNS, CSV_COLUMN_NAMES, ORDER_LINE_SCHEMA
+from storelens.schema import CSV_COLUMN_NAMES, ORDER_LINE_SCHEMA
 
 
 def read_order_csv(spark: SparkSession, path: str, *, date_format: str = "M/d/yyyy",
-                   encoding: str = "ISO-8859-1") -> DataFrame:
+                   encoding: str = "ISO-8859-1", row_id_type: str = "long") -> DataFrame:
     """Read the export with every column as text (no inference pass), then cast.
 
     Dates are parsed with ``to_date(c, date_format)``; under ANSI mode a value
     that does not parse fails the job, like the strict parse of the original
-    loader.  Columns of the file that are not used pass through unchanged.
+    loader.  ``Row ID`` is the row's position in the file and breaks every tie,
+    so it is read as a number (``row_id_type="string"`` for exports whose ids
+    are no numbers).  Columns of the file that are not used pass through
+    unchanged.
     """
     raw = (spark.read.option("header", True).option("encoding", encoding)
            .option("inferSchema", False).option("mode", "FAILFAST").csv(path))
     types = {f.name: f.dataType for f in ORDER_LINE_SCHEMA.fields}
+    types["row_id"] = row_id_type
     out = []
     for src, dst in CSV_COLUMN_NAMES.items():
         c = F.col(f"`{src}`")

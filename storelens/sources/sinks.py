@@ -19,6 +19,13 @@ def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> str:
     return path
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back."""
+    path = fresh_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read a directory written by :func:`write_csv` back with a fixed schema."""
     return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")

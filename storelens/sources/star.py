@@ -10,10 +10,10 @@ The strategy of every join is decided from counted rows, not from Spark's
 compressed-file estimate (which can rate a 600k-row fact table under
 ``autoBroadcastJoinThreshold`` and broadcast the *fact* side, leaving the probe
 to a single split of the header table).  The line items are never broadcast.
-A dimension, or the order header, is broadcast only when its row count is at
-most ``broadcast_rows``; above that the join is a sort-merge join on the key
-(shuffle on both sides, spills instead of failing), which is what every join
-but ``nation``/``region`` becomes at 100 TB.
+A dimension, or the order header, is broadcast only when its counted rows times
+the width of its columns are at most ``broadcast_bytes``; a side above that
+carries no hint: it is shuffled and joined on the key, and AQE may still turn
+the join into a broadcast if a filter leaves little of that side.
 """
 
 from __future__ import annotations
@@ -27,33 +27,32 @@ from storelens.schema import BASE_COLUMNS, DISCOUNT_TYPE, PROFIT_TYPE, SALES_TYP
 
 TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
 
-# Largest row count broadcast to every executor (the order header row is about
-# 100 bytes, so the bound caps a broadcast near 100 MB).
-BROADCAST_ROWS = 1_000_000
+# Largest side sent to every executor: rows times the width of its columns, text columns taken as TEXT_BYTES each.
+BROADCAST_BYTES = 64 << 20
+TEXT_BYTES = 40
 
 
 def read_table(spark: SparkSession, src: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{src.rstrip('/')}/{name}.parquet")
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Width of a row, as the rows of a broadcast table take it: 8 bytes a field and 16 a row, more for text."""
+    return 16 + sum(8 + (TEXT_BYTES if f.dataType.typeName() == "string" else 0) for f in df.schema.fields)
+
+
 def _small_side(df: DataFrame, rows: int, bound: int) -> DataFrame:
-    """Broadcast ``df`` when its counted ``rows`` are within ``bound``, else sort-merge join it."""
-    return F.broadcast(df) if rows <= bound else df.hint("merge")
+    """Broadcast ``df`` when it takes at most ``bound`` bytes."""
+    return F.broadcast(df) if rows * row_bytes(df) <= bound else df
 
 
 def order_lines_from_star(spark: SparkSession, src: str, *,
-                          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Canonical base columns (see ``schema.ORDER_LINE_SCHEMA``), no derived ones."""
     raw = {name: read_table(spark, src, name) for name in TABLES}
     li = raw["lineitem"].select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount")
-    # A small fact file can be a single split (one Parquet row group); with the
-    # dimensions broadcast the whole join would then run in one task.  Spread
-    # such an input over the cores; a large input has enough splits already.
-    cores = spark.sparkContext.defaultParallelism
-    if li.rdd.getNumPartitions() < cores:
-        li = li.repartition(cores)
     orders = raw["orders"].select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = raw["customer"].select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = raw["nation"].select("n_nationkey", "n_name", "n_regionkey")
@@ -72,7 +71,7 @@ def order_lines_from_star(spark: SparkSession, src: str, *,
     rows = {r["t"]: r["n"] for r in union.collect()}
 
     def small(df: DataFrame, name: str) -> DataFrame:
-        return _small_side(df, rows[name], broadcast_rows)
+        return _small_side(df, rows[name], broadcast_bytes)
 
     geo = nation.join(small(region, "region"), nation.n_regionkey == region.r_regionkey)
     cust = customer.join(small(geo, "nation"), customer.c_nationkey == geo.n_nationkey)

@@ -158,9 +158,9 @@ def test_unseen_level_scores_zero_vector(lines):
 
 def test_exact_split_sizes(lines):
     ol = enrich(lines([{"profit": -1 if i % 4 == 0 else 1} for i in range(103)]))
-    split = ol.withColumn("is_test", models.test_flag(ol, fraction=0.2, seed=42, strata="is_loss"))
+    split = ol.withColumn("is_test", models.test_flag(ol, fraction=0.2, seed=42, classes=(0, 1)))
     sizes = {r["is_loss"]: (r["rows"], r["test_rows"]) for r in models.split_sizes(split).collect()}
-    assert sizes == {0: (77, 16), 1: (26, 6)}
+    assert sizes == {0: (77, 16), 1: (26, 5)}  # 21 in all
 
 
 def test_sql_trend_preview_needs_all_columns(spark, lines):
@@ -170,3 +170,64 @@ def test_sql_trend_preview_needs_all_columns(spark, lines):
     prev = sqlviews.trend_preview(sqlviews.run_sql(spark, sqlviews.DEFAULT_SQL_QUERIES["Monthly KPI trend"]))
     assert [r["order_month"] for r in prev.collect()] == ["2024-01", "2024-03"]
     assert sqlviews.trend_preview(sqlviews.run_sql(spark, "select order_month, sales from monthly_kpis")) is None
+
+
+def test_hold_out_sizes_deal_the_total():
+    for counts in ([77, 26], [1, 1], [5, 0], [0, 0], [100, 3], [33, 34, 36]):
+        got = models.hold_out_sizes(counts, 0.2)
+        assert sum(got) == -(-sum(counts) // 5) and all(0 <= g <= c for g, c in zip(got, counts))
+
+
+def test_display_texts(spark):
+    from storelens.functions.exprs import fixed_text, pct_text
+    df = spark.createDataFrame([(2_297_200.86, 0.12345), (-0.001, -0.0001), (1234567.005, 1.0), (None, None)],
+                               "x double, p double")
+    got = [tuple(r) for r in df.select(fixed_text("x", 2, "$", "M", 1_000_000), fixed_text("x", 0, "$", "K", 1000),
+                                       fixed_text("x", 2, "$"), pct_text("p")).collect()]
+
+    def texts(x, p):
+        return (f"${x / 1e6:,.2f}M", f"${x / 1e3:,.0f}K", f"${x:,.2f}", f"{p:.1%}")
+    assert got[0] == texts(2_297_200.86, 0.12345) and got[1] == texts(-0.001, -0.0001)
+    assert got[2][0] == "$1.23M" and got[2][3] == "100.0%" and got[3] == (None,) * 4
+
+
+EMPTY_OK = "all builders run on a frame without rows"
+
+
+def test_every_builder_takes_an_empty_frame(spark, lines):
+    from storelens.operators import filters, forecast, kpis, monitor, products, quality, rfm, summaries
+    from storelens.plans import sqlviews
+    ol = enrich(lines([{}]).where("false"))
+    frames = [summaries.customer_summary(ol), summaries.state_summary(ol), summaries.monthly_summary(ol),
+              summaries.region_summary(ol), summaries.category_summary(ol), summaries.subcategory_summary(ol),
+              summaries.sales_by_year(ol), summaries.monthly_sales_trend(ol, 18), summaries.top_states(ol, 5),
+              kpis.executive_kpis(ol), kpis.kpi_cards(ol), kpis.report_money(ol), kpis.kpi_summary(ol),
+              kpis.kpi_summary_compact(ol), kpis.dataset_snapshot(ol), kpis.insight_facts(ol),
+              rfm.rfm_segments(rfm.rfm_summary(ol)), forecast.forecast_frame(ol, 4), forecast.anomaly_table(ol),
+              products.product_opportunity(ol), products.discount_scenario(ol), quality.data_quality(ol),
+              quality.discount_risk_segments(ol), monitor.recent_orders(ol), monitor.monitor_snapshot(ol),
+              monitor.daily_pulse(ol), filters.filter_options(ol), sqlviews.orders_table(ol),
+              models.split_sizes(ol.withColumn("is_test", models.test_flag(ol, classes=(0, 1))))]
+    rows = [len(f.collect()) for f in frames]
+    assert rows[0] == 0 and rows[9] == 1 and EMPTY_OK
+
+
+def test_models_are_saved_and_loaded(spark, lines, tmp_path):
+    import random
+    rnd = random.Random(2)
+    ol = enrich(lines([{"profit": rnd.choice([-5, 8, 20]), "sales": 10 + i % 50, "discount": rnd.choice(["0", "0.2", "0.5"]),
+                        "category": rnd.choice("ABC")} for i in range(200)]), with_sales_band=False)
+    kw = dict(num_trees=5, max_depth=3)
+    one = models.train_loss_classifier(ol, path=str(tmp_path / "loss"), **kw)
+    two = models.train_loss_classifier(ol, path=str(tmp_path / "loss"), **kw)
+    assert sorted(one.test_scored.collect()) == sorted(two.test_scored.collect()) and one.test_rows == 40
+    profit = models.train_profit_regressor(ol, path=str(tmp_path / "profit"), **kw)
+    again = models.train_profit_regressor(ol, path=str(tmp_path / "profit"), **kw)
+    assert sorted(profit.test_scored.collect()) == sorted(again.test_scored.collect())
+    scored = models.score_orders(ol, two, again)
+    assert scored.count() == 200 and "Join" not in scored._jdf.queryExecution().executedPlan().toString()
+    top = models.feature_importance(one.forest, spark, one.split, k=3).collect()
+    assert len(top) == 3 and top[0]["importance"] >= top[2]["importance"]
+    assert len(models.feature_importance(one.forest, spark, one.split).collect()) <= 12
+    assert sum(r["importance"] for r in models.feature_importance(one.forest, spark, one.split, k=None).collect()) == \
+        __import__("pytest").approx(1.0)

@@ -8,6 +8,8 @@ import pytest
 from storelens.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
+FORESTS = {"loss_model_metrics", "loss_confusion_matrix", "loss_variant_report", "profit_model_metrics",
+           "loss_feature_importance", "profit_feature_importance", "regression_preview", "score_orders"}
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
 
 
@@ -50,9 +52,8 @@ def test_column_pruning_two_column_query(spark):
 
 
 def test_no_cross_joins_and_few_exchanges(spark):
-    from bench import SKIP
     for key, fn in QUERIES.items():
-        if key in SKIP or key in ("feature_matrix",):
+        if key in FORESTS:  # their evaluation is planned in test_models_are_saved_and_loaded, on small forests
             continue
         p = plan(fn(spark, SF))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
@@ -82,6 +83,31 @@ def test_fact_table_is_never_broadcast(spark):
     p = plan(order_lines_from_star(spark, SF))
     chains = _ancestors(p, "lineitem.parquet")
     assert chains and all("BroadcastExchange" not in up for up in chains)
-    # above the row bound every join is a sort-merge join
-    p = plan(order_lines_from_star(spark, SF, broadcast_rows=0))
+    assert "RoundRobinPartitioning" not in p
+    # above the bound no side carries a hint: Spark's own threshold decides, here switched off
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(order_lines_from_star(spark, SF, broadcast_bytes=0))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert p.count("BroadcastHashJoin") == 0 and p.count("SortMergeJoin") == 5
+
+
+def test_registered_filters_reach_the_stored_table(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        scans = [ln for ln in plan(QUERIES["filter_orders"](spark, SF)).split("\n") if "FileScan" in ln]
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert scans and all("PartitionFilters: [" in ln and "order_year#" in ln for ln in scans[:1])
+    for pattern in [r"In\(region", r"In\(category", r"In\(segment", r"In\(state"]:
+        assert any(re.search(pattern, ln) for ln in scans), pattern
+
+
+def test_only_queries_that_return_the_band_search_it(spark, monkeypatch):
+    from storelens.operators import derive
+    from storelens.sources import loader
+    monkeypatch.setattr(loader, "_LOADED", {})
+    monkeypatch.setattr(derive, "rank_buckets", lambda *a, **k: 1 / 0)
+    assert QUERIES["sales_by_region"](spark, SF).count() == 5

@@ -44,7 +44,7 @@ def test_iterative_search_with_hot_value(spark):
     # a third of the rows share one value; force the sampled, multi-round path
     rnd = random.Random(7)
     vals = [42.0 if i % 3 == 0 else float(rnd.randint(0, 300)) for i in range(3001)]
-    got = spark_quartiles(spark, vals, exact_rows=50, fanout=8)
+    got = spark_quartiles(spark, vals, fanout=8)
     assert got == pandas_quartiles(vals)
 
 
@@ -54,7 +54,7 @@ def test_kth_keys_matches_sort(spark):
     df = spark.createDataFrame(rows, "v int, id string").select(F.struct(F.col("v").alias("k0"),
                                                                         F.col("id").alias("k1")).alias("key"))
     ranks = [1, 17, 500, 1000, 1999, 2000]
-    got = kth_keys(df, ranks, exact_rows=64, fanout=4)
+    got = kth_keys(df, ranks, fanout=4)
     srt = sorted(rows)
     assert {r: tuple(got[r]) for r in ranks} == {r: srt[r - 1] for r in ranks}
 
@@ -67,14 +67,14 @@ def test_pct_rank_average(spark):
     assert got[:4] == ref[:4]
 
 
-@pytest.mark.parametrize("exact_rows", [10_000, 40])
-def test_rank_buckets_many_matches_single(spark, exact_rows):
+@pytest.mark.parametrize("fanout", [4, 64])
+def test_rank_buckets_many_matches_single(spark, fanout):
     from storelens.operators.ranking import rank_buckets_many
     rnd = random.Random(11)
     rows = [(i, float(rnd.randint(0, 9)), None if i % 17 == 0 else float(rnd.randint(0, 3))) for i in range(400)]
     df = spark.createDataFrame(rows, "pos int, a double, b double")
     a, b = rank_buckets_many(df, [[-F.col("a"), F.col("pos")], [F.col("b"), F.col("pos")]], 4,
-                             exact_rows=exact_rows, fanout=4)
+                             fanout=fanout)
     got = df.select("pos", a.alias("a"), b.alias("b")).orderBy("pos").collect()
     want_a = pandas_quartiles([-r[1] for r in rows])
     want_b = pandas_quartiles([r[2] for r in rows])
@@ -109,6 +109,22 @@ def test_kth_keys_many_ranges_narrowing(spark, seed):
     df = spark.createDataFrame(rows, "v int, id string").select(F.struct(F.col("v").alias("k0"),
                                                                         F.col("id").alias("k1")).alias("key"))
     ranks = sorted(rnd.sample(range(1, 5001), 9))
-    got = kth_keys(df, ranks, exact_rows=30, fanout=4, seed=seed)
+    got = kth_keys(df, ranks, fanout=4, seed=seed)
     srt = sorted(rows)
     assert {r: tuple(got[r]) for r in ranks} == {r: srt[r - 1] for r in ranks}
+
+
+def test_search_runs_no_window(spark, monkeypatch):
+    from storelens.operators import ranking
+    plans = []
+    for name in ("_sample_cuts", "_count_buckets"):
+        real = getattr(ranking, name)
+
+        def seen(current, *a, real=real):
+            plans.append(current._jdf.queryExecution().toString())
+            return real(current, *a)
+        monkeypatch.setattr(ranking, name, seen)
+    df = spark.range(500).selectExpr("id", "cast(id % 7 as double) as a", "cast(id % 3 as double) as b")
+    cols = ranking.rank_buckets_many(df, [[F.col("a"), F.col("id")], [F.col("b"), F.col("id")]], 4, fanout=8)
+    plans.append(df.select(*cols)._jdf.queryExecution().toString())
+    assert len(plans) > 4 and not any("Window" in p for p in plans)

@@ -12,7 +12,9 @@ suffixes, and every window belongs to exactly one suffix: about 1 in 39 bytes st
    that shares its gram with none is dropped; in a run whose surroundings are equal throughout, all but the first
    occurrence are repeats.  What is left, and every run that may cross a boundary, is extended.
 3. Extension: these suffixes go out once more with the bytes around them, all windows over a gram meet in one task,
-   and equal windows (128-bit hashes) but the first are repeats.
+   and equal windows (128-bit hashes) but the first are repeats.  A gram with over ``HEAVY`` suffixes, or one whose
+   run may cross a boundary, is dealt out by where its windows start as well, ``BLOCK`` starts to a task, each with
+   only the bytes it needs.
 4. Removed windows are gathered by document, joined to the texts, and applied.
 
 Within a chunk of documents, suffixes with equal gram and surroundings are settled before the shuffle, so a large
@@ -38,6 +40,7 @@ from storelens.llm.common import ROLL1, ROLL2, Texts, covered, expand, i64, mix,
 LENGTH, GRAM = 100, 24
 SAMPLE = 16          # one document in 16 gives splitters
 PIECE = 20_000       # suffixes extended at a time
+HEAVY, BLOCK = 4_000, 4
 SIGN = np.uint64(1 << 63)
 
 SUFFIX = "bucket int, w0 long, w1 long, w2 long, reach long, doc_id long, row long, place long"
@@ -195,14 +198,17 @@ def suffix_rows(texts: DataFrame, cuts: np.ndarray, length: int) -> DataFrame:
     return texts.mapInArrow(run, SUFFIX)
 
 
-FOUND = "doc_id long, row long, lo long, hi long, place long"  # place null: windows lo..hi are repeats
+# place null: windows lo..hi are repeats; else a suffix to extend, heavy if its gram has many
+FOUND = "doc_id long, row long, lo long, hi long, place long, heavy boolean"
 
 
-def found_rows(doc, row, lo, hi, place=None) -> pa.RecordBatch:
+def found_rows(doc, row, lo, hi, place=None, heavy=None) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays(
         [pa.array(doc), pa.array(row), pa.array(lo), pa.array(hi),
-         pa.nulls(n, pa.int64()) if place is None else pa.array(place)], names=["doc_id", "row", "lo", "hi", "place"])
+         pa.nulls(n, pa.int64()) if place is None else pa.array(place),
+         pa.nulls(n, pa.bool_()) if heavy is None else pa.array(heavy)],
+        names=["doc_id", "row", "lo", "hi", "place", "heavy"])
 
 
 def compare(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
@@ -248,17 +254,19 @@ def compare(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
         extend[done] = False
         k = np.flatnonzero(extend)
         _, lo, hi = unplace(place[k])
-        yield found_rows(doc[k], row[k], lo, hi, place[k])
+        # all suffixes of a gram agree on this: they are in one run here, or every bucket calls them crossing
+        yield found_rows(doc[k], row[k], lo, hi, place[k], crossing[k] | (size[run_no[k]] > HEAVY))
 
     return rows.repartitionById(len(cuts) + 1, F.col("bucket")).mapInArrow(run, FOUND)
 
 
 def extend(texts: DataFrame, ask: DataFrame, length: int) -> DataFrame:
     """Repeated windows over the suffixes in ``ask``."""
-    spots = ask.groupBy("doc_id", "row").agg(F.collect_list("place").alias("places")) \
+    spots = ask.groupBy("doc_id", "row").agg(
+        F.collect_list("place").alias("places"), F.collect_list("heavy").alias("heavies")) \
         .withColumnsRenamed({"doc_id": "d", "row": "r"})
     asked = texts.join(spots, (F.col("doc_id") == F.col("d")) & (F.col("row") == F.col("r"))) \
-        .select("doc_id", "text", "row", "places")
+        .select("doc_id", "text", "row", "places", "heavies")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,11 +275,22 @@ def extend(texts: DataFrame, ask: DataFrame, length: int) -> DataFrame:
                 some = b.column(3).slice(t.rows.start, len(t))
                 n = some.value_lengths().to_numpy()
                 place = some.flatten().to_numpy()
+                heavy = b.column(4).slice(t.rows.start, len(t)).flatten().to_numpy(zero_copy_only=False).astype(bool)
                 of = np.repeat(np.arange(len(t)), n)
-                pos, lo, hi = unplace(place)
+                # window starts lie dr..dl bytes before the suffix; heavy suffixes go out BLOCK starts at a time
+                dl, dr = place >> 10 & 1023, place & 1023
+                parts = np.where(heavy, dl // BLOCK - dr // BLOCK + 1, 1)
+                block, each = expand(dr // BLOCK, parts)
+                split = heavy[each]
+                dl = np.where(split, np.minimum(dl[each], block * BLOCK + BLOCK - 1), dl[each])
+                dr = np.where(split, np.maximum(dr[each], block * BLOCK), dr[each])
+                of, pos = of[each], place[each] >> 20
+                place = place_of(pos, dl, dr)
+                lo, hi = pos - dl, pos - dr
                 base = t.offs[of]
                 prefix = ROLL1.prefix(t.data)
                 key = ROLL1.ranges(prefix, base + pos, base + pos + GRAM)
+                key = np.where(split, mix(key + block.astype(np.uint64) + np.uint64(1)), key)
                 reach = mix(ROLL1.ranges(prefix, base + lo, base + hi + length)
                             + (pos - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 doc, row = docs[t.rows][of], rows[t.rows][of]

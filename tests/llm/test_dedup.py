@@ -117,7 +117,9 @@ def byte_removals(data):
     return out
 
 
-def test_suffix_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("heavy", [4000, 2])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
     data = [r for r in rows() if r[0] != 3] + [(3, rows()[3][1], "en", "s", 1)] * 2
     want = byte_removals(data)
     got = suffix_dedup.remove_repeats(frame(spark, data))

@@ -77,6 +77,7 @@ def text_chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
         j = min(max(j, i + 1), n)
         yield Texts(slice(i, j), data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
         i = j
+    release()
 
 
 # ---------------------------------------------------------------- words
@@ -139,7 +140,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.pow) <= n:
-            m = max(n + 1, 2 * len(self.pow))
+            m = -(-(n + 1) // 65536) * 65536
             a, b = np.full(m, self.base, np.uint64), np.full(m, self.inv, np.uint64)
             a[0] = b[0] = 1
             self.pow, self.ipow = np.multiply.accumulate(a), np.multiply.accumulate(b)
@@ -192,6 +193,11 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def release() -> None:
+    """Returns freed Arrow buffers to the system; workers live on after a task and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)
 

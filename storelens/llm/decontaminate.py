@@ -32,7 +32,7 @@ from storelens.llm.common import (Texts, covered, documents_of, expand, i64, run
                                   words)
 
 WINDOW, SLOP = 10, 2
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK_WINDOWS = 50_000      # at most 50,000 x 10 terms of 8 bytes at a time
 BROADCAST_TERMS = 1_000_000  # 8 MB
 

@@ -31,7 +31,7 @@ from storelens.llm.common import batch, documents_of
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
 BLOCK_TOKENS = 4 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000  # about 250 bytes each, held by every worker
 SEPARATOR = "<|endoftext|>"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "loss_tokens long")
@@ -39,13 +39,15 @@ SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 class WordIds:
     """Ids of texts, word by word: the vocabulary's pre-tokenizer never joins text across white space, so the ids
-    of a text are those of its words in order.  Words seen lately are kept with their ids (little-endian uint32)."""
+    of a text are those of its words in order.  A word met in a second run of texts is kept with its ids
+    (little-endian uint32); ``met`` marks the slots of words met before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.sep = self.tokenizer.token_to_id(SEPARATOR)
         self.ids: dict[bytes, bytes] = {}
+        self.met = bytearray(1 << 22)
 
     def _encode(self, words: list[bytes]) -> None:
         plain = [w for w in words if b"<|" not in w]
@@ -73,8 +75,14 @@ class WordIds:
         get = self.ids.__getitem__
         for s in split:
             yield b"".join(map(get, s))
+        for w in new:
+            slot = hash(w) & 0x3FFFFF
+            if not self.met[slot]:
+                self.met[slot] = 1
+                del self.ids[w]
         if len(self.ids) > CACHED_WORDS:
-            self.ids = {w: self.ids[w] for w in seen}
+            self.ids = {w: self.ids[w] for w in seen if w in self.ids}
+            self.met = bytearray(1 << 22)
 
 
 @lru_cache(maxsize=4)

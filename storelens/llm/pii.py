@@ -125,7 +125,7 @@ FOUND = ("doc_id long, row long, base array<struct<start:long,kind:int,end:long>
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base_t = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     near_t = pa.list_(pa.struct([(x, pa.int64()) for x in ("entity", "term", "start", "end", "around")]))
-    for b in batches:
+    for b in (w.slice(at, 1000) for w in batches for at in range(0, w.num_rows, 1000)):
         base, near = [], []
         for text in b.column(1).to_pylist():
             spans = base_spans(text)

@@ -31,7 +31,8 @@ ORDER = 4
 WIDTH, FLOOR, SHORT = 5.0, 0.05, 200
 MIN_WORDS, REPEAT_SHARE = 50, 50
 SHARD_GRAMS = 4_000_000
-HELD_GRAMS = 1_000_000
+HELD_GRAMS = 500_000
+CHUNK = 1 << 20  # bytes of text at a time; n-grams take about 100 bytes of memory for each
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -119,7 +120,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
-            for t in text_chunks(b.column(1)):
+            for t in text_chunks(b.column(1), CHUNK):
                 key, first = grams(t)
                 mine = langs[t.rows]
                 for lang in set(mine):
@@ -255,7 +256,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
-            for t in text_chunks(b.column(1)):
+            for t in text_chunks(b.column(1), CHUNK):
                 got = measure(t)
                 key, first = grams(t)
                 mine = langs[t.rows]

@@ -32,7 +32,7 @@ from storelens.llm.common import LOWER, Texts, expand, i64, runs, stored, text_c
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 HOT = 2000
-PIECE = 200_000  # shingles whose bits are spread out at a time
+PIECE = 25_000  # shingles whose bits are spread out at a time
 
 
 # ---------------------------------------------------------------- fingerprints

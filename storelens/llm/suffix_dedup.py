@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import ROLL1, ROLL2, Texts, covered, expand, i64, mix, runs, stored, text_chunks
+from storelens.llm.common import ROLL1, ROLL2, Texts, covered, expand, i64, mix, release, runs, stored, text_chunks
 
 LENGTH, GRAM = 100, 24
 SAMPLE = 16          # one document in 16 gives splitters
-PIECE = 20_000       # suffixes extended at a time
+PIECE = 5_000        # suffixes extended at a time
+CHUNK = 1 << 19      # bytes of text at a time; hashing takes about 100 bytes of memory for each
+BUCKETS = 4          # buckets for each shuffle partition, as sorting takes about 200 bytes a suffix
 HEAVY, BLOCK = 4_000, 4
 SIGN = np.uint64(1 << 63)
 
@@ -143,7 +145,7 @@ def splitters(texts: DataFrame, n: int, length: int) -> np.ndarray:
     """Quantiles of the leading 8 bytes over a sample of documents; sorted, with repeats for frequent ones."""
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in text_chunks(b.column(1)):
+            for t in text_chunks(b.column(1), CHUNK):
                 s = Suffixes(t, length)
                 yield pa.RecordBatch.from_arrays([pa.array(i64(eight(t.data)[s.at] ^ SIGN))], names=["w0"])
     sample = texts.where(F.pmod("row", F.lit(SAMPLE)) == 0).mapInArrow(lead, "w0 long")
@@ -164,7 +166,7 @@ def suffix_rows(texts: DataFrame, cuts: np.ndarray, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = b.column(0).to_numpy(), b.column(2).to_numpy()
-            for t in text_chunks(b.column(1)):
+            for t in text_chunks(b.column(1), CHUNK):
                 s = Suffixes(t, length)
                 if len(s.at) == 0:
                     continue
@@ -256,6 +258,7 @@ def compare(rows: DataFrame, cuts: np.ndarray) -> DataFrame:
         _, lo, hi = unplace(place[k])
         # all suffixes of a gram agree on this: they are in one run here, or every bucket calls them crossing
         yield found_rows(doc[k], row[k], lo, hi, place[k], crossing[k] | (size[run_no[k]] > HEAVY))
+        release()
 
     return rows.repartitionById(len(cuts) + 1, F.col("bucket")).mapInArrow(run, FOUND)
 
@@ -271,7 +274,7 @@ def extend(texts: DataFrame, ask: DataFrame, length: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, rows = b.column(0).to_numpy(), b.column(2).to_numpy()
-            for t in text_chunks(b.column(1)):
+            for t in text_chunks(b.column(1), CHUNK):
                 some = b.column(3).slice(t.rows.start, len(t))
                 n = some.value_lengths().to_numpy()
                 place = some.flatten().to_numpy()
@@ -320,6 +323,7 @@ def extend(texts: DataFrame, ask: DataFrame, length: int) -> DataFrame:
             e = max(a + 1, int(np.searchsorted(cut, cut[a] + PIECE, "right")) - 1)
             yield from repeats(tab.slice(int(cut[a]), int(cut[e] - cut[a])), length)
             a = e
+        release()
 
     return asked.mapInArrow(emit, "key long, doc_id long, row long, place long, around binary").repartition("key") \
         .mapInArrow(judge, FOUND)
@@ -368,7 +372,7 @@ def apply_removals(rows: DataFrame, removed: DataFrame, length: int, with_bytes:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in text_chunks(b.column(1)):
+            for t in text_chunks(b.column(1), CHUNK):
                 los, his = (b.column(k).slice(t.rows.start, len(t)).to_pylist() for k in (2, 3))
                 n_removed, n_spans, sha, kept = [], [], [], []
                 for i in range(len(t)):
@@ -402,7 +406,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))
     known = rows.where("doc_id is not null")
-    cuts = splitters(known, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), length)
+    cuts = splitters(known, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), length)
     found = stored(compare(suffix_rows(known, cuts, length), cuts), "suffixes")
     more = extend(known, found.where("place is not null"), length)
     removed = found.where("place is null").unionByName(more).select("doc_id", "row", "lo", "hi")

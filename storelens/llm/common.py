@@ -7,6 +7,7 @@ the batch size; a single longer document forms a run of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,15 @@ from pyspark.sql import functions as F
 from storelens.session import fresh_dir
 
 CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` documents, unless the session names a size: texts are long, and a batch is held
+    by the executor and by its worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "-2") == "-2":  # unset; the fallback must be a number
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
@@ -42,6 +52,9 @@ def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
 # ---------------------------------------------------------------- byte views of Arrow strings
 
 class Texts:
@@ -194,8 +207,10 @@ def covered(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def release() -> None:
-    """Returns freed Arrow buffers to the system; workers live on after a task and share their executor's memory."""
+    """Returns freed memory to the system; workers live on after a task and share their executor's memory."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def i64(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import (Texts, covered, documents_of, expand, i64, runs, stored, text_chunks, word_hashes,
+from storelens.llm.common import (Texts, covered, documents_of, expand, i64, runs, small_batches, stored, text_chunks, word_hashes,
                                   words)
 
 WINDOW, SLOP = 10, 2
@@ -227,6 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   slop: int = SLOP) -> DataFrame:
     """One row per document: n_words, n_hit (words inside a benchmark window), n_items and items_sha256 (items with
     a window here), contaminated, and n_near_items (items with a proximity match but no phrase match)."""
+    small_batches(docs.sparkSession)
     grams = stored(benchmark_windows(benchmark, item_col, item_text_col, window)
                    .groupBy("terms").agg(F.sort_array(F.collect_list("item")).alias("items")), "windows")
     words_used = grams.select(F.explode("terms").alias("term")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm import arrays
-from storelens.llm.common import Texts, i64, mix, runs, stored, text_chunks, word_hashes, words
+from storelens.llm.common import Texts, i64, mix, runs, small_batches, stored, text_chunks, word_hashes, words
 from storelens.session import fresh_dir
 
 END = np.uint64(0x51ED270B1F4A83C5)  # the closing token, and the context of a text's first word
@@ -285,6 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7,
                     held_fold: int = 2) -> DataFrame:
     """Train on the documents whose crc32(id) mod ``folds`` is not ``held_fold`` and score all of them."""
+    small_batches(docs.sparkSession)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        (F.crc32(name.cast("binary")) % folds == held_fold).alias("held_out"),

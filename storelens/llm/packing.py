@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from storelens.llm.common import batch, documents_of
+from storelens.llm.common import documents_of, release, small_batches
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
-BLOCK_TOKENS = 4 << 20
+BLOCK_TOKENS = 1 << 20
 CACHED_WORDS = 200_000  # about 250 bytes each, held by every worker
 SEPARATOR = "<|endoftext|>"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -223,8 +223,8 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int
             "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
 
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
+        for at in range(0, b.num_rows, 250):
+            part = b.slice(at, 250)
             texts = [x.encode() for x in part.column(1).to_pylist()]
             loss_of = part.column(2).to_pylist() if with_loss else None
             for i, (name, raw) in enumerate(zip(part.column(0).to_pylist(), enc.texts(texts))):
@@ -247,6 +247,7 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int
                 held += n
                 if held >= BLOCK_TOKENS and (done := flush()) is not None:
                     yield done
+        release()
     if (done := flush()) is not None:
         yield done
 
@@ -262,6 +263,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     if sequence < 1 or segments < 1 or (loss_limit is not None and loss_limit < 1):
         raise ValueError("limits must be at least 1")
+    small_batches(docs.sparkSession)
     limits = (sequence, segments, sequence if loss_limit is None else loss_limit)
     rows = documents_of(docs, id_col, text_col)
     if loss_col is not None:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import i64, runs, stored, text_chunks, word_hashes, words
+from storelens.llm.common import i64, runs, small_batches, stored, text_chunks, word_hashes, words
 
 REACH, SUPPORT, THRESHOLD, MIN_LETTERS = 8, 3, 0.8, 3
 BROADCAST_TERMS = 500_000  # 4 MB
@@ -228,6 +228,7 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
          support: int = SUPPORT) -> DataFrame:
     """One row per document: counts of the base kinds, base_sha256, spans, n_term, cuts (all spans), row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))

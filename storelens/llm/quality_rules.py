@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm import arrays
-from storelens.llm.common import ROLL1, SPACE, Texts, covered, i64, mix, runs, stored, text_chunks, word_hashes, words
+from storelens.llm.common import ROLL1, SPACE, Texts, covered, i64, mix, runs, small_batches, stored, text_chunks, word_hashes, words
 from storelens.session import fresh_dir
 
 ORDER = 4
@@ -282,6 +282,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
           width: float = WIDTH, floor: float = FLOOR) -> DataFrame:
     """One row per document: doc_id, the base measures, base_failed, kept, log_perplexity, lower, upper, lang, row."""
+    small_batches(docs.sparkSession)
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(lang.alias("lang"), text.alias("text"), F.col(id_col).cast("long").alias("doc_id"),

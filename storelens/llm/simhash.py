@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import LOWER, Texts, expand, i64, runs, stored, text_chunks, words
+from storelens.llm.common import LOWER, Texts, expand, i64, runs, small_batches, stored, text_chunks, words
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 HOT = 2000
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least id that links reach), and
     ``kept``: true for the rows that stand for their component (equal rows share it)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))

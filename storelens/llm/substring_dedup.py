@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import (ROLL1, ROLL2, Texts, covered, expand, i64, runs, stored, text_chunks, word_hashes,
+from storelens.llm.common import (ROLL1, ROLL2, Texts, covered, expand, i64, runs, small_batches, stored, text_chunks, word_hashes,
                                   words)
 
 WINDOW = 50
@@ -225,6 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless ``with_text``)."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import ROLL1, ROLL2, Texts, covered, expand, i64, mix, release, runs, stored, text_chunks
+from storelens.llm.common import ROLL1, ROLL2, Texts, covered, expand, i64, mix, release, runs, small_batches, stored, text_chunks
 
 LENGTH, GRAM = 100, 24
 SAMPLE = 16          # one document in 16 gives splitters
@@ -402,6 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null unless ``with_bytes``)."""
     if not GRAM < length <= 1000:
         raise ValueError(f"length must be in {GRAM + 1}..1000")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))

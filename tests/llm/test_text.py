@@ -282,6 +282,20 @@ def test_host_boilerplate_is_removed(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_boilerplate_at_any_offset_and_across_blocks(spark):
+    rng = random.Random(14)
+    own = lambda n: " ".join(prose(rng, n).split())
+    notice = "This site is kept by the friends of the old mill and all its helpers"
+    first, second = "Open daily except on Mondays from", "nine to five at the old mill gate"
+    data, want = [], {}
+    for k in range(12):  # the notice begins at another token of its block on each page
+        a, b, c = own(3 + k), own(40), own(20)
+        data.append((k, f"http://mill.example.org/{k}", f"<p>By {a} {notice}</p><p>{b}</p><p>{first}</p><p>{second} {c}"))
+        want[k] = (f"By {a}\n{b}\n{c}", len(f"{notice} {first} {second}".split()))
+    got = {r.page_id: r for r in html_text.extract(pages_of(spark, data)).collect()}
+    assert {k: (got[k].text, got[k].n_boilerplate) for k in want} == want
+
+
 def test_page_edge_cases(spark):
     data = [(1, None, None), (1, None, None), (None, "x", "<p>é&#233;&eacute;</p>"), (2, "http://h", ""),
             (3, "http://h", "<nav>only</nav>"), (4, "http://h", "word " * 50_000)]

@@ -296,6 +296,27 @@ def test_boilerplate_at_any_offset_and_across_blocks(spark):
     assert {k: (got[k].text, got[k].n_boilerplate) for k in want} == want
 
 
+def test_shared_strings_by_distinct_pages_and_length(spark):
+    rng = random.Random(15)
+    own = lambda n: " ".join(prose(rng, n).split())
+    notice, long = own(12), own(60)
+    data, want = [], {}
+    for k in range(40):  # a notice on a tenth of a host's pages, a heading on all
+        t = own(50)
+        data.append((k, f"http://big.example.org/{k}", f"<h2>Introduction</h2><p>{t}</p>" + f"<p>{notice}</p>" * (k < 4)))
+        want[k] = f"Introduction\n{t}"
+    for k in range(5):  # short articles under a longer frame
+        t = own(9)
+        data.append((60 + k, f"http://short.example.org/{k}", f"<div>{long}</div><p>{t}</p>"))
+        want[60 + k] = t
+    copy = own(30)
+    for k in range(9):  # copies count once: three distinct pages have this string
+        data.append((70 + k, f"http://three.example.org/{k}", f"<p>{copy} {'x' * (k % 3)}</p>"))
+        want[70 + k] = f"{copy} {'x' * (k % 3)}".strip()
+    got = {r.page_id: r.text for r in html_text.extract(pages_of(spark, data)).collect()}
+    assert got == want
+
+
 def test_page_edge_cases(spark):
     data = [(1, None, None), (1, None, None), (None, "x", "<p>é&#233;&eacute;</p>"), (2, "http://h", ""),
             (3, "http://h", "<nav>only</nav>"), (4, "http://h", "word " * 50_000)]

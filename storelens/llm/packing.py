@@ -64,7 +64,7 @@ class WordIds:
                 self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids,
                                        dtype="<u4").tobytes()
 
-    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+    def texts(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         seen: set[bytes] = set()
         for s in split:
@@ -73,8 +73,7 @@ class WordIds:
         if new:
             self._encode(new)
         get = self.ids.__getitem__
-        for s in split:
-            yield b"".join(map(get, s))
+        out = [b"".join(map(get, s)) for s in split]
         for w in new:
             slot = hash(w) & 0x3FFFFF
             if not self.met[slot]:
@@ -83,6 +82,7 @@ class WordIds:
         if len(self.ids) > CACHED_WORDS:
             self.ids = {w: self.ids[w] for w in seen if w in self.ids}
             self.met = bytearray(1 << 22)
+        return out
 
 
 @lru_cache(maxsize=4)

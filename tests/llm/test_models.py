@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from data import SCHEMA, frame, pick, rows
 
@@ -241,6 +242,21 @@ def test_packing_is_a_partition_of_the_ids(spark):
         assert at == len(ids)
 
 
+def test_cached_words_stay_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": lambda: type("C", (), {"partitionId": lambda s: 0})()}))
+    path = tokenizer_path()
+    packing.word_ids.cache_clear()
+    batch = lambda k: pa.RecordBatch.from_pydict(
+        {"doc_id": [k], "text": [" ".join(f"w{k}x{j}" for j in range(200))]})
+    once = lambda it: list(packing.pack_batches(it, path, (2048, 256, 2048), (1.0, 1.0, 1.0), False))
+    once(batch(k) for k in range(20))  # words met once
+    assert len(packing.word_ids(path).ids) <= 300
+    once(batch(k // 2) for k in range(20))  # words met again
+    assert len(packing.word_ids(path).ids) <= 300
+    packing.word_ids.cache_clear()
+
+
 def test_packing_keeps_all_three_limits(spark):
     df = spark.createDataFrame([(k, "word " * (k % 37), k % 11) for k in range(400)], "doc_id long, text string, loss long")
     got = packing.pack_documents(df, tokenizer_path(), loss_col="loss", sequence=256, segments=6, loss_limit=20).collect()

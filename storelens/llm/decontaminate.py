@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import (Texts, covered, documents_of, expand, i64, runs, small_batches, stored, text_chunks, word_hashes,
+from storelens.llm.common import (Texts, covered, doc_key, expand, i64, runs, small_batches, stored, text_chunks, word_hashes,
                                   words)
 
 WINDOW, SLOP = 10, 2
@@ -40,11 +40,13 @@ BROADCAST_TERMS = 1_000_000  # 8 MB
 GAP = np.ones(256, dtype=bool)
 GAP[48:58] = GAP[65:91] = GAP[97:123] = GAP[128:256] = False
 
-INDEX_SCHEMA = "doc_id binary, no_id binary, n_words binary, base binary, terms binary, bounds binary, positions binary"
-MATCH_SCHEMA = ("shard long, doc long, doc_id long, n_words long, items array<string>, lo array<long>, "
+INDEX_SCHEMA = ("doc_id binary, no_id binary, row binary, n_words binary, base binary, terms binary, bounds binary, "
+                "positions binary")
+MATCH_SCHEMA = ("shard long, doc long, doc_id long, row long, n_words long, items array<string>, lo array<long>, "
                 "hi array<long>, exact array<boolean>")
 SCHEMA = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
           "n_near_items long")
+ROW_SCHEMA = SCHEMA + ", row long"
 
 
 def terms_of(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +97,8 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None, gap: int) -> Dat
                 order = np.argsort(h, kind="stable")
                 h, pos = h[order], pos[order]
                 cut = runs(h)
-                row = [ids.fill_null(0).to_numpy().astype(np.int64), no_id, np.diff(first).astype(np.int64),
+                row = [ids.fill_null(0).to_numpy().astype(np.int64), no_id,
+                       b.column(2).slice(t.rows.start, n).to_numpy(), np.diff(first).astype(np.int64),
                        base.astype(np.int64), h[cut[:-1]], cut.astype(np.int64), pos.astype(np.int64)]
                 if len(pos) == 0 or pos[-1] < 1 << 31 and pos.max() < 1 << 31:
                     row[-1] = row[-1].astype(np.int32)
@@ -175,10 +178,10 @@ def search(index: DataFrame, windows: list[list[int]], items: list[list[str]], r
         for b in batches:
             for r in range(b.num_rows):
                 raw = [memoryview(c[r].as_buffer()) for c in b.columns[1:]]
-                name, no_id, count, base, terms, bounds = (
-                    np.frombuffer(x, t) for x, t in zip(raw, (np.int64, bool) + (np.int64,) * 4))
+                name, no_id, row, count, base, terms, bounds = (
+                    np.frombuffer(x, t) for x, t in zip(raw, (np.int64, bool) + (np.int64,) * 5))
                 total = int(bounds[-1])
-                lists = np.frombuffer(raw[6], np.int32 if len(raw[6]) == 4 * total else np.int64)
+                lists = np.frombuffer(raw[7], np.int32 if len(raw[7]) == 4 * total else np.int64)
                 who, start, exact = intersect(flat, size, freq, terms, bounds, lists, slop)
                 doc = np.searchsorted(base, start, side="right") - 1
                 # a match before the first document or over a document's end is a proximity match at most
@@ -196,9 +199,9 @@ def search(index: DataFrame, windows: list[list[int]], items: list[list[str]], r
                             pa.array(hi[each], pa.int64()), pa.array(exact[each], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(name), b.column(0)[r].as_py())), pa.array(np.arange(len(name))),
-                     pa.array(name, pa.int64(), mask=no_id), pa.array(count)]
+                     pa.array(name, pa.int64(), mask=no_id), pa.array(row), pa.array(count)]
                     + [pa.ListArray.from_arrays(pa.array(offs), x) for x in lists_of],
-                    names=["shard", "doc", "doc_id", "n_words", "items", "lo", "hi", "exact"])
+                    names=["shard", "doc", "doc_id", "row", "n_words", "items", "lo", "hi", "exact"])
 
     return index.select(F.xxhash64("doc_id", "positions", "base").alias("shard"), "*").mapInArrow(match, MATCH_SCHEMA)
 
@@ -206,7 +209,7 @@ def search(index: DataFrame, windows: list[list[int]], items: list[list[str]], r
 def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = {c: [] for c in ("n_hit", "n_items", "items_sha256", "n_near_items")}
-        for n, items, lo, hi, exact in zip(*(b.column(k).to_pylist() for k in range(1, 6))):
+        for n, items, lo, hi, exact in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
             found = sorted({x for x, e in zip(items, exact) if e})
             hit = 0
             if found:
@@ -217,16 +220,21 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["items_sha256"].append(hashlib.sha256(",".join(found).encode()).hexdigest())
             out["n_near_items"].append(len(set(items) - set(found)))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(out["n_hit"], pa.int64()), pa.array(out["n_items"], pa.int64()),
+            [b.column(0), b.column(2), pa.array(out["n_hit"], pa.int64()), pa.array(out["n_items"], pa.int64()),
              pa.array(out["items_sha256"], pa.string()), pa.array([h > 0 for h in out["n_hit"]], pa.bool_()),
-             pa.array(out["n_near_items"], pa.int64())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+             pa.array(out["n_near_items"], pa.int64()), b.column(1)],
+            names=[c.split()[0] for c in ROW_SCHEMA.split(", ")])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                  slop: int = SLOP) -> DataFrame:
+def row_of(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return doc_key(docs[id_col].cast("long"), docs[text_col].cast("string"))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+           slop: int = SLOP) -> DataFrame:
     """One row per document: n_words, n_hit (words inside a benchmark window), n_items and items_sha256 (items with
-    a window here), contaminated, and n_near_items (items with a proximity match but no phrase match)."""
+    a window here), contaminated, and n_near_items (items with a proximity match but no phrase match) and row."""
     small_batches(docs.sparkSession)
     grams = stored(benchmark_windows(benchmark, item_col, item_text_col, window)
                    .groupBy("terms").agg(F.sort_array(F.collect_list("item")).alias("items")), "windows")
@@ -234,7 +242,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     vocabulary = None
     if words_used.count() <= BROADCAST_TERMS:
         vocabulary = np.sort(np.array([r.term for r in words_used.toLocalIterator()], np.int64))
-    index = build_index(documents_of(docs, id_col, text_col), vocabulary, window + 2 * slop + 2)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       row_of(docs, id_col, text_col).alias("row"))
+    index = build_index(rows, vocabulary, window + 2 * slop + 2)
     counts = stored(frequencies(index), "frequency")
     found = None
     for block in blocks(grams):
@@ -247,9 +258,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if found is None:
         found, several = search(index, [], [], {}, slop), False
     if several:
-        found = found.groupBy("shard", "doc", "doc_id", "n_words").agg(
+        found = found.groupBy("shard", "doc", "doc_id", "row", "n_words").agg(
             *(F.flatten(F.collect_list(c)).alias(c) for c in ("items", "lo", "hi", "exact")))
-    return found.select("doc_id", "n_words", "items", "lo", "hi", "exact").mapInArrow(summarise, SCHEMA)
+    return found.select("doc_id", "row", "n_words", "items", "lo", "hi", "exact").mapInArrow(summarise, ROW_SCHEMA)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+    """``judged`` without the row."""
+    return judged(docs, benchmark, **kw).drop("row")
 
 
 def blocks(grams: DataFrame) -> Iterator[list[tuple[list[int], list[str]]]]:
@@ -264,8 +280,10 @@ def blocks(grams: DataFrame) -> Iterator[list[tuple[list[int], list[str]]]]:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents without any benchmark window, with all their columns.  Rows whose id is null stay only if no
-    row with a null id is contaminated, as such rows cannot be told apart by id."""
-    id_col = kw.get("id_col", "doc_id")
-    bad = contamination(docs, benchmark, **kw).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents without any benchmark window, with all their columns.  A row is known by id and text, so rows
+    that share an id, or have none, are judged apart."""
+    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
+    bad = judged(docs, benchmark, **kw).where("contaminated").select(
+        F.col("doc_id").alias("__bad"), F.col("row").alias("__row")).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad"))
+                     & (row_of(docs, id_col, text_col) == F.col("__row")), "left_anti")

@@ -88,6 +88,15 @@ def test_clean_documents(spark):
         i for i, *_ in data if i not in bad)
 
 
+def test_clean_documents_with_null_and_shared_ids(spark):
+    data = [(None, "one two three four"), (None, "clean text"), (None, None), (7, "one two three four"),
+            (7, "another clean text"), (7, "another clean text")]
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 as row")
+    assert pick(decontaminate.clean_documents(docs, bench), "doc_id", "text") == sorted(
+        [data[1], data[2], data[4], data[5]], key=repr)
+
+
 def test_contamination_with_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.contamination(frame(spark), none).collect())

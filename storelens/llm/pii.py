@@ -7,10 +7,12 @@ each entity e and each term t that occurs within ``REACH`` words of it, document
 
 the share of the entity's information that the term alone gives away (1: t occurs only where e does).  A term at or
 above ``THRESHOLD`` reveals e, if enough different surroundings back it up (``SUPPORT``; a passage that was copied is
-one surrounding).  Its occurrences near e are spans of kind ``term``: generalised to their kind or removed.
+one surrounding).  All its occurrences in the documents that hold e, however far from it, are spans of kind ``term``:
+generalised to their kind or removed.  Terms that never stand within ``REACH`` words of an entity are not estimated.
 
 Everything is counted in Spark with map-side aggregation; the candidate terms go to the counting tasks as a broadcast
-only up to ``BROADCAST_TERMS``, else every word is counted.
+only up to ``BROADCAST_TERMS``, else every word is counted.  Revealing terms are stored as arrays sorted by entity, which
+a second pass over the texts maps; texts are never joined.
 
 Defined cases: null text = empty; null ids keep their rows; equal rows get equal results; documents without an entity
 get no ``term`` span; an empty table gives no rows.  Extra columns are not read.
@@ -18,6 +20,7 @@ get no ``term`` span; an empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,7 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.llm import arrays
 from storelens.llm.common import i64, runs, small_batches, stored, text_chunks, word_hashes, words
+from storelens.session import fresh_dir
 
 REACH, SUPPORT, THRESHOLD, MIN_LETTERS = 8, 3, 0.8, 3
 BROADCAST_TERMS = 500_000  # 4 MB
@@ -199,6 +204,58 @@ def revealing(texts: DataFrame, found: DataFrame, threshold: float, support: int
         .where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
 
 
+def saved(bad: DataFrame) -> list[tuple[int, str]]:
+    """Stores (entity, term) as arrays sorted by entity, all terms of an entity in one; (least entity, address) of each."""
+    spark = bad.sparkSession
+    folder = fresh_dir(spark, "revealing")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            entity, term = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in (0, 1))
+            order = np.lexsort((term, entity))
+            address = arrays.save(folder, {"entity": entity[order], "term": term[order]})
+            yield pa.RecordBatch.from_arrays([pa.array([entity.min()]), pa.array([address])], names=["least", "address"])
+
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    parts = stored(bad.select("entity", "term"), "pii-revealing").repartitionByRange(n, "entity").mapInArrow(
+        write, "least long, address string")
+    return sorted((x.least, x.address) for x in parts.collect())
+
+
+def terms_in(text: str, spans: list[tuple[int, int, int, str]], files: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of every term of the text that reveals an entity of its spans."""
+    wanted: set[int] = set()
+    for value in {x[3] for x in spans}:
+        entity = signed(xxhash.xxh64_intdigest(value))
+        k = bisect.bisect_right(files, entity, key=lambda f: f[0]) - 1
+        if k >= 0:
+            a = arrays.load(files[k][1])
+            lo, hi = np.searchsorted(a["entity"], entity, "left"), np.searchsorted(a["entity"], entity, "right")
+            wanted.update(a["term"][lo:hi].tolist())
+    out = []
+    for m in WORD.finditer(text) if wanted else ():
+        term, cut = term_of(m.group())
+        if signed(xxhash.xxh64_intdigest(term)) in wanted and not any(
+                m.start() < e and b < m.end() for b, _, e, _ in spans):
+            out.append((m.start() + cut, m.start() + cut + len(term)))
+    return out
+
+
+def marked(batches: Iterator[pa.RecordBatch], files: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row, base spans, revealing terms) of (doc_id, text, row)."""
+    base_t = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+    term_t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for b in batches:
+        base, terms = [], []
+        for text in b.column(1).to_pylist():
+            spans = base_spans(text)
+            base.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in spans])
+            terms.append([{"start": s, "end": e} for s, e in terms_in(text, spans, files)] if files and spans else [])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(base, base_t), pa.array(terms, term_t)],
+                                         names=["doc_id", "row", "base", "terms"])
+
+
 SPANS = ("doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
          "n_term long, cuts array<struct<start:long,end:long,kind:string>>")
 
@@ -233,13 +290,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))
     found = stored(rows.mapInArrow(scan, FOUND), "pii")
-    bad = revealing(rows, found, threshold, support).select(F.col("entity").alias("e"), F.col("term").alias("t"))
-    terms = found.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).join(
-        bad, (F.col("x.entity") == F.col("e")) & (F.col("x.term") == F.col("t")), "left_semi") \
-        .select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.struct("x.start", "x.end").alias("term")) \
-        .groupBy("d", "r").agg(F.collect_set("term").alias("terms"))
-    return found.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left") \
-        .select("doc_id", "row", "base", "terms").mapInArrow(summarise, SPANS)
+    files = saved(revealing(rows, found, threshold, support))
+    return rows.mapInArrow(lambda it: summarise(marked(it, files)), SPANS)
 
 
 def sanitised(text: str, cuts: list[dict]) -> str:

@@ -160,6 +160,20 @@ def test_revealing_terms(spark):
     assert not any("term" in s for i, s in got.items() if i is None or i < 700)
 
 
+def test_a_revealing_term_is_found_far_from_its_entity(spark):
+    rng = random.Random(6)
+    data = pii_rows()
+    for k in range(2):  # the name at the head, the address in the signature
+        data.append((740 + k, f"Quent {prose(rng, 40)} Quent, {prose(rng, 40)} orla.q@mail1.example.com", "en", "s", None))
+    got = {r.doc_id: r.spans for r in pii.find(frame(spark, data)).collect()}
+    for k in range(2):
+        t = data[-2 + k][1]
+        terms = [t[int(a):int(e)] for kind, a, e in (s.split(":") for s in got[740 + k].split(",")) if kind == "term"]
+        assert terms.count("Quent") == 2
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, data)).collect()}
+    assert "Quent" not in clean[740] + clean[741]
+
+
 def test_disclosure_matches_its_formula(spark):
     data = pii_rows()
     rows_ = frame(spark, data).selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(doc_id, text) as row")

@@ -1,25 +1,22 @@
 """Loss classifier, profit regressor, their evaluation and batch scoring.
 
-Models are ``pyspark.ml`` pipelines trained where the data lives (MLlib's
-distributed tree induction); evaluation and scoring are DataFrame jobs.
+The forests grow where the data lives (``operators/forest.py``); evaluation
+and scoring are DataFrame jobs.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import round_half_away
+from storelens.operators.forest import Forest, train_forest
 from storelens.operators.ranking import _key_literal, search
 from storelens.schema import (CATEGORICAL_FEATURES, CONFUSION_COLS, CONFUSION_ROWS, DECISIONS,
                               NUMERIC_FEATURES, RISK_THRESHOLD)
@@ -104,15 +101,6 @@ def class_weights(train: DataFrame, label: str = "is_loss") -> DataFrame:
                          (tot.cast("double") / (k.cast("double") * F.col("train_rows"))).alias("weight")).orderBy(label)
 
 
-def weight_column(train: DataFrame, label: str = "is_loss") -> Column:
-    """Per-row weight expression from the weights of the two classes."""
-    rows = class_weights(train.where(F.col(label).isin(0, 1)), label).collect()
-    w = F.lit(1.0)
-    for r in rows:
-        w = F.when(F.col(label) == r[label], F.lit(float(r["weight"]))).otherwise(w)
-    return w
-
-
 # ---------------------------------------------------------------- metrics
 
 def classification_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -175,73 +163,6 @@ def rule_scored(ol: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- models
 
-# Forests are grown as this many smaller ones at a time.  MLlib sends the statistics of every open node from every
-# partition, so a training frame should have few partitions; concurrent fits then keep the cores busy.
-SUBFORESTS = 8
-PARTITION_BYTES = 64 << 20
-
-
-@dataclass
-class Forest:
-    """Feature encoder and the parts of a random forest (seeded apart), with the tree count of each."""
-    encoder: PipelineModel
-    parts: list
-    trees: list[int]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Adds ``score``: mean prediction of all trees (classifier: probability of class 1)."""
-        keep = list(df.columns)
-        out = self.encoder.transform(df)
-        total = F.lit(0.0)
-        for i, (part, n) in enumerate(zip(self.parts, self.trees)):
-            out = part.transform(out)
-            one = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-            out = out.withColumn(f"score{i}", one).drop("probability", "rawPrediction", "prediction")
-            total = total + F.col(f"score{i}") * float(n)
-        return out.select(*keep, (total / float(sum(self.trees))).alias("score"))
-
-    def importances(self) -> list[float]:
-        sums = sum(p.featureImportances.toArray() * n for p, n in zip(self.parts, self.trees))
-        return [float(x) for x in sums / sum(self.trees)]
-
-    def save(self, path: str) -> None:
-        self.encoder.write().overwrite().save(f"{path}/encoder")
-        for i, part in enumerate(self.parts):
-            part.write().overwrite().save(f"{path}/forest{i}-{self.trees[i]}")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, trees: list[int], classifier: bool) -> "Forest":
-        kind = RandomForestClassificationModel if classifier else RandomForestRegressionModel
-        return cls(PipelineModel.load(f"{path}/encoder"),
-                   [kind.load(f"{path}/forest{i}-{n}") for i, n in enumerate(trees)], list(trees))
-
-
-def part_trees(num_trees: int) -> list[int]:
-    k = min(SUBFORESTS, num_trees)
-    return [num_trees // k + (i < num_trees % k) for i in range(k)]
-
-
-def grow(train: DataFrame, estimator, num_trees: int, seed: int, columns: list[str]) -> Forest:
-    """Encodes ``train`` once and grows the parts of the forest concurrently on the stored features."""
-    encoder = Pipeline(stages=feature_stages()).fit(train)
-    encoded = encoder.transform(train).select("features", *columns)
-    width = 16 * (len(CATEGORICAL_FEATURES) + len(NUMERIC_FEATURES)) + 8 * len(columns) + 64  # sparse vector and labels
-    n = max(1, -(-train.count() * width // PARTITION_BYTES))
-    encoded = encoded.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
-    trees = part_trees(num_trees)
-
-    def fit(i: int):
-        return estimator.copy({estimator.numTrees: trees[i], estimator.seed: seed + i}).fit(encoded)
-
-    try:
-        encoded.count()
-        with ThreadPoolExecutor(len(trees)) as pool:
-            parts = list(pool.map(inheritable_thread_target(train.sparkSession)(fit), range(len(trees))))
-    finally:
-        encoded.unpersist()
-    return Forest(encoder, parts, trees)
-
-
 @dataclass
 class LossModel:
     forest: Forest
@@ -262,17 +183,16 @@ _FITTED: dict[tuple, object] = {}
 
 
 def _prepared(ol: DataFrame, *, fraction: float, seed: int, classes: tuple | None) -> DataFrame:
-    base = with_numeric_features(ol)
-    return base.withColumn("is_test", test_flag(base, fraction=fraction, seed=seed, classes=classes))
+    return ol.withColumn("is_test", test_flag(ol, fraction=fraction, seed=seed, classes=classes))
 
 
-def _fitted(kind: str, path: str | None, spark: SparkSession, num_trees: int, train) -> Forest:
+def _fitted(path: str | None, spark: SparkSession, train) -> Forest:
     """The forest saved at ``path``, or a new one from ``train()``, saved there."""
     if path is not None and spark_path_exists(spark, f"{path}/done"):
-        return Forest.load(spark, path, part_trees(num_trees), kind == "loss")
+        return Forest.load(spark, path)
     forest = train()
     if path is not None:
-        forest.save(path)
+        forest.save(spark, path)
         spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
     return forest
 
@@ -291,13 +211,13 @@ def train_loss_classifier(ol: DataFrame, *, num_trees: int = 240, max_depth: int
     train = split.where(~F.col("is_test"))
 
     def fit() -> Forest:
-        rf = RandomForestClassifier(featuresCol="features", labelCol="is_loss", weightCol="class_weight",
-                                    maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                    featureSubsetStrategy="sqrt", maxBins=32, cacheNodeIds=True)
-        return grow(train.withColumn("class_weight", weight_column(train)), rf, num_trees, seed,
-                    ["is_loss", "class_weight"])
+        rows = class_weights(train.where(F.col("is_loss").isin(0, 1))).collect()
+        weight = {r["is_loss"]: float(r["weight"]) for r in rows}
+        return train_forest(train, label="is_loss", categorical=CATEGORICAL_FEATURES, numeric=NUMERIC_FEATURES,
+                            num_trees=num_trees, max_depth=max_depth, min_leaf=min_leaf, seed=seed,
+                            weights=(weight.get(0, 1.0), weight.get(1, 1.0)), tried="sqrt")
 
-    forest = _fitted("loss", path, ol.sparkSession, num_trees, fit)
+    forest = _fitted(path, ol.sparkSession, fit)
     scored = stored(forest.transform(split.where(F.col("is_test"))).select(
         "row_id", F.col("is_loss").alias("label"), (F.col("score") > 0.5).cast("int").alias("prediction"),
         F.col("score").alias("loss_probability")), "loss-scored")
@@ -319,12 +239,11 @@ def train_profit_regressor(ol: DataFrame, *, num_trees: int = 220, max_depth: in
                    .withColumn("profit_label", F.col("profit").cast("double")), "profit-split")
 
     def fit() -> Forest:
-        rf = RandomForestRegressor(featuresCol="features", labelCol="profit_label", maxDepth=max_depth,
-                                   minInstancesPerNode=min_leaf, featureSubsetStrategy="all", maxBins=32,
-                                   cacheNodeIds=True)
-        return grow(split.where(~F.col("is_test")), rf, num_trees, seed, ["profit_label"])
+        return train_forest(split.where(~F.col("is_test")), label="profit_label", categorical=CATEGORICAL_FEATURES,
+                            numeric=NUMERIC_FEATURES, num_trees=num_trees, max_depth=max_depth, min_leaf=min_leaf,
+                            seed=seed)
 
-    forest = _fitted("profit", path, ol.sparkSession, num_trees, fit)
+    forest = _fitted(path, ol.sparkSession, fit)
     scored = stored(forest.transform(split.where(F.col("is_test"))).select(
         "row_id", F.col("profit_label").alias("actual"), F.col("score").alias("predicted"),
         F.xxhash64(F.col("row_id"), F.lit(seed)).alias("split_hash")), "profit-scored")
@@ -344,18 +263,10 @@ def profit_model_metrics(m: ProfitModel) -> DataFrame:
     return regression_metrics(m.test_scored)
 
 
-def feature_importance(forest: Forest, spark: SparkSession, sample: DataFrame, k: int | None = 12) -> DataFrame:
-    """The ``k`` largest importances of the fitted forest (None: all) with readable feature names.
-
-    Names come from the assembled vector's ML attributes (bounded by the
-    number of features, not by the data).
-    """
-    meta = forest.encoder.transform(sample.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
-    names = {}
-    for group in meta.values():
-        for a in group:
-            names[a["idx"]] = a["name"].replace(_OH, "").replace("__num", "")
-    rows = [(names.get(i, f"f{i}"), v) for i, v in enumerate(forest.importances())]
+def feature_importance(forest: Forest, spark: SparkSession, k: int | None = 12) -> DataFrame:
+    """The ``k`` largest importances of the fitted forest (None: all) with readable feature names (bounded by the
+    number of features, not by the data)."""
+    rows = list(zip(forest.encoder.names, forest.importances()))
     out = spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
     return out if k is None else out.limit(k)
 
@@ -376,9 +287,8 @@ def score_orders(orders: DataFrame, loss: LossModel, profit: ProfitModel) -> Dat
 
     Both models are applied in one narrow pass (no join, no shuffle).
     """
-    feats = with_numeric_features(orders)
-    step1 = loss.forest.transform(feats).withColumnRenamed("score", "loss_probability")
-    step2 = profit.forest.transform(step1).withColumnRenamed("score", "predicted_profit")
+    step2 = orders.select("row_id", loss.forest.scores(orders.sparkSession).alias("loss_probability"),
+                          profit.forest.scores(orders.sparkSession).alias("predicted_profit"))
     risky, negative, healthy = DECISIONS
     return step2.select(
         "row_id", "loss_probability", "predicted_profit",

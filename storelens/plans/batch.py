@@ -50,8 +50,8 @@ def run_batch(spark: SparkSession, src: str, out_dir: str, *, train_models: bool
         pm = models.regression_metrics(profit.test_scored).first()
         kpi = kpi.unionByName(kpis.model_metric_rows(spark, lm["accuracy"], pm["r2"], lm["precision"], lm["recall"]))
         out["confusion_matrix"] = models.confusion_matrix(loss.test_scored)
-        out["loss_feature_importance"] = models.feature_importance(loss.forest, spark, loss.split)
-        out["profit_feature_importance"] = models.feature_importance(profit.forest, spark, profit.split)
+        out["loss_feature_importance"] = models.feature_importance(loss.forest, spark)
+        out["profit_feature_importance"] = models.feature_importance(profit.forest, spark)
     out["kpi_summary"] = kpi
     sqlviews.register_sql_store(spark, ol)
     out["sql_table_counts"] = sqlviews.table_counts(spark)

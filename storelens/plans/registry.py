@@ -185,8 +185,8 @@ QUERIES: dict[str, Query] = {
     "loss_confusion_matrix": lambda s, d: models.confusion_matrix(_loss(s, d).test_scored),
     "loss_variant_report": lambda s, d: models.classification_report(_loss(s, d, variant=True).test_scored),
     "profit_model_metrics": lambda s, d: models.profit_model_metrics(_profit(s, d)),
-    "loss_feature_importance": lambda s, d: models.feature_importance(_loss(s, d).forest, s, _loss(s, d).split),
-    "profit_feature_importance": lambda s, d: models.feature_importance(_profit(s, d).forest, s, _profit(s, d).split),
+    "loss_feature_importance": lambda s, d: models.feature_importance(_loss(s, d).forest, s),
+    "profit_feature_importance": lambda s, d: models.feature_importance(_profit(s, d).forest, s),
     "regression_preview": lambda s, d: models.regression_preview(_profit(s, d)),
     "score_orders": lambda s, d: models.score_orders(_ol(s, d), _loss(s, d), _profit(s, d)),
 }

@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storelens.session import fresh_dir
 
+QUOTING = {"quote": '"', "escape": '"'}
+
 
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False) -> str:
-    """Write with a header row, overwriting ``path``.
+    """Write with a header row, overwriting ``path``; quotes inside a field are doubled (RFC 4180), white space stays.
 
     Large frames are written as one part file per task (parallel, no funnel
     through one task).  ``single_file`` coalesces to one part and is meant only
     for the bounded summary tables (top-k lists, KPI rows).
     """
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    (out.write.mode("overwrite").option("header", True).options(**QUOTING)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -27,9 +30,12 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Read a directory written by :func:`write_csv` back with a fixed schema."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
-            .option("enforceSchema", False).csv(path))
+    """Read a directory written by :func:`write_csv` back with a fixed schema.
+
+    Fields may span lines, so a task reads whole part files; their number is the parallelism.
+    """
+    return (spark.read.schema(schema).option("header", True).options(**QUOTING).option("multiLine", True)
+            .option("mode", "FAILFAST").option("enforceSchema", False).csv(path))
 
 
 def export_filtered(spark: SparkSession, df: DataFrame, path: str | None = None) -> str:

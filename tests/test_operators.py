@@ -226,8 +226,8 @@ def test_models_are_saved_and_loaded(spark, lines, tmp_path):
     assert sorted(profit.test_scored.collect()) == sorted(again.test_scored.collect())
     scored = models.score_orders(ol, two, again)
     assert scored.count() == 200 and "Join" not in scored._jdf.queryExecution().executedPlan().toString()
-    top = models.feature_importance(one.forest, spark, one.split, k=3).collect()
+    top = models.feature_importance(one.forest, spark, k=3).collect()
     assert len(top) == 3 and top[0]["importance"] >= top[2]["importance"]
-    assert len(models.feature_importance(one.forest, spark, one.split).collect()) <= 12
-    assert sum(r["importance"] for r in models.feature_importance(one.forest, spark, one.split, k=None).collect()) == \
+    assert len(models.feature_importance(one.forest, spark).collect()) <= 12
+    assert sum(r["importance"] for r in models.feature_importance(one.forest, spark, k=None).collect()) == \
         __import__("pytest").approx(1.0)

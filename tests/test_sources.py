@@ -162,3 +162,93 @@ def test_the_session_leaves_the_master_alone(monkeypatch):
     assert "master" not in asked and "spark.driver.memory" not in asked
     session.build_session("local[2]")
     assert asked["master"] == "local[2]" and asked["spark.driver.memory"] == "8g"
+
+
+# ---------------------------------------------------------------- RFC 4180
+
+TRICKY = ['Drawer Files, 18" wide, black', '46" x 60" Chairmat', 'two\nlines', 'a\r\nb, "c"\n\nd', '""', ' spaces ', '"',
+          "it's, fine", 'tail"', '"head', "\\", 'back\\"slash', "\n", "x" * 300]
+
+
+def _quoted(text):
+    return '"' + text.replace('"', '""') + '"'
+
+
+def _tricky_file(path, names, end="\n", encoding="latin-1"):
+    lines = [CSV.splitlines()[0]]
+    for i, name in enumerate(names):
+        lines.append(f"{i},O-{i},11/8/2016,11/11/2016,First,C-1,Ann,Consumer,DE,Ulm,Ohio,1,East,P-1,Office,Paper,"
+                     f"{_quoted(name)},10,1,0,1")
+    path.write_bytes((end.join(lines) + end).encode(encoding))
+
+
+def test_quoted_fields_survive_read_and_export(spark, tmp_path):
+    from storelens.sources.sinks import export_filtered, read_csv
+    for end in ("\n", "\r\n"):
+        path = tmp_path / f"in{len(end)}.csv"
+        _tricky_file(path, TRICKY, end)
+        got = read_order_csv(spark, str(path))
+        assert {r["row_id"]: r["Product Name"] for r in got.collect()} == dict(enumerate(TRICKY))
+        back = read_csv(spark, export_filtered(spark, got), got.schema)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_exported_files_can_be_read_by_others(spark, tmp_path):
+    import csv
+    import glob
+
+    from storelens.sources.sinks import export_filtered
+    path = tmp_path / "in.csv"
+    _tricky_file(path, TRICKY)
+    out = export_filtered(spark, read_order_csv(spark, str(path)), str(tmp_path / "out"))
+    names = []
+    for part in glob.glob(f"{out}/part-*.csv"):
+        with open(part, newline="", encoding="utf-8") as fh:
+            names += [r["Product Name"] for r in csv.DictReader(fh)]
+    assert sorted(names) == sorted(TRICKY)
+
+
+def test_records_that_cross_splits_are_put_together(spark, tmp_path):
+    import random
+    rng = random.Random(4)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    want = []
+    for f in range(3):  # long quoted fields over many splits, short ones between them
+        names = [rng.choice(TRICKY) if rng.random() < 0.7 else "\n".join(
+            rng.choice(['line, "quoted"', "plain", "", '"']) for _ in range(rng.randrange(400))) for _ in range(60)]
+        _tricky_file(folder / f"f{f}.csv", names, rng.choice(["\n", "\r\n"]))
+        want += names
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        from storelens.sources.records import read_lines
+        assert read_lines(spark, str(folder)).rdd.getNumPartitions() > 50
+        got = read_order_csv(spark, str(folder)).select("Product Name").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r[0] for r in got) == sorted(want)
+
+
+def test_broken_records_fail_the_read(spark, tmp_path):
+    import pytest
+    path = tmp_path / "in.csv"
+    _tricky_file(path, ["fine"])
+    with open(path, "a") as fh:
+        fh.write("1,too,short\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ|malformed|Malformed"):
+        read_order_csv(spark, str(path)).collect()
+
+
+def test_other_encodings_and_empty_files(spark, tmp_path):
+    path = tmp_path / "u8.csv"
+    _tricky_file(path, ["Señor 漢字\n\"x\""], encoding="utf-8")
+    assert read_order_csv(spark, str(path), encoding="UTF-8").first()["Product Name"] == "Señor 漢字\n\"x\""
+    path = tmp_path / "u16.csv"
+    _tricky_file(path, ["Señor\n\"x\""], encoding="utf-16")
+    assert read_order_csv(spark, str(path), encoding="UTF-16").first()["Product Name"] == "Señor\n\"x\""
+    path = tmp_path / "none.csv"
+    path.write_text(CSV.splitlines()[0] + "\n")
+    assert read_order_csv(spark, str(path)).count() == 0

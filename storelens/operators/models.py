@@ -301,3 +301,9 @@ def feature_matrix(ol: DataFrame) -> DataFrame:
     feats = with_numeric_features(ol)
     model = Pipeline(stages=feature_stages()).fit(feats)
     return model.transform(feats).select("row_id", vector_to_array("features").alias("features"))
+
+
+def feature_matrix_cells(ol: DataFrame) -> DataFrame:
+    """The feature matrix's cells that are not zero: (row_id, position, value)."""
+    cells = feature_matrix(ol).select("row_id", F.posexplode("features").alias("position", "value"))
+    return cells.where(F.col("value") != 0)

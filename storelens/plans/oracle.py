@@ -9,7 +9,8 @@ the distributed boundary search the Spark side uses.
 from __future__ import annotations
 
 from storelens.plans import params as P
-from storelens.schema import DISCOUNT_BAND_LABELS, SALES_BAND_LABELS
+from storelens.plans import tree_sql
+from storelens.schema import DISCOUNT_BAND_LABELS, NUMERIC_FEATURES, SALES_BAND_LABELS
 
 
 def mean(x: str) -> str:
@@ -501,4 +502,8 @@ ORACLE: dict[str, str] = {
                1.0 - sum((actual - predicted) * (actual - predicted)) / NULLIF(sum((actual - mu) * (actual - mu)), 0) AS r2,
                count(*) AS test_rows FROM scored, m)
         SELECT {rnd('mae', 6)} AS mae, {rnd('r2', 6)} AS r2, test_rows FROM e"""),
+    "feature_matrix_cells": q(", " + tree_sql.matrix_cells(NUMERIC_FEATURES)),
+    **{f"{name}_tree{suffix}": q(", " + tree_sql.tree_ctes(label, balance) + "\n" + body)
+       for name, label, balance in (("loss", "is_loss", True), ("profit", "profit", False))
+       for suffix, body in (("", tree_sql.NODES), ("_importance", tree_sql.IMPORTANCE), ("_scores", tree_sql.SCORES))},
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.operators import filters, forecast, kpis, models, monitor, products, quality, rfm, summaries
+from storelens.operators import exact_tree, filters, forecast, kpis, models, monitor, products, quality, rfm, summaries
 from storelens.plans import params as P
 from storelens.plans import sqlviews
 from storelens.sources import sinks
@@ -181,6 +181,13 @@ QUERIES: dict[str, Query] = {
     "regression_metrics": lambda s, d: models.regression_metrics(models.rule_scored(_ol(s, d))),
     # ... and on the fitted forests (rows-only checks)
     "feature_matrix": _on(models.feature_matrix),
+    "feature_matrix_cells": _on(models.feature_matrix_cells),
+    "loss_tree": _on(exact_tree.tree_nodes, label="is_loss", balance=True),
+    "loss_tree_importance": _on(exact_tree.tree_importance, label="is_loss", balance=True),
+    "loss_tree_scores": _on(exact_tree.tree_scores, label="is_loss", balance=True),
+    "profit_tree": _on(exact_tree.tree_nodes, label="profit"),
+    "profit_tree_importance": _on(exact_tree.tree_importance, label="profit"),
+    "profit_tree_scores": _on(exact_tree.tree_scores, label="profit"),
     "loss_model_metrics": lambda s, d: models.loss_model_metrics(_loss(s, d)),
     "loss_confusion_matrix": lambda s, d: models.confusion_matrix(_loss(s, d).test_scored),
     "loss_variant_report": lambda s, d: models.classification_report(_loss(s, d, variant=True).test_scored),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import growth, round_half_away
+from storelens.operators.rollup import Rollup
 from storelens.operators.summaries import monthly_base
 from storelens.schema import ANOMALY_REASONS, ANOMALY_Z
 
@@ -13,7 +14,7 @@ _D = "decimal(38,4)"
 _I = "decimal(20,0)"
 
 
-def forecast_frame(ol: DataFrame, periods: int = 3) -> DataFrame:
+def forecast_frame(ol: DataFrame | Rollup, periods: int = 3) -> DataFrame:
     """History plus ``periods`` months of a degree-1 least-squares trend.
 
     ``x`` is the 0-based position of a present month.  Slope and intercept use
@@ -60,7 +61,7 @@ def forecast_frame(ol: DataFrame, periods: int = 3) -> DataFrame:
     return past.unionByName(fut).orderBy("month_index")
 
 
-def anomaly_table(ol: DataFrame, z_digits: int = 6) -> DataFrame:
+def anomaly_table(ol: DataFrame | Rollup, z_digits: int = 6) -> DataFrame:
     """Monthly summary with sales/profit z-scores (population std; 0 std -> 1).
 
     A month is flagged when either |z| >= 1.5; a profit z below -1.5 reads

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import fixed_text, mean, pct_text, ratio, relative_change, round_half_away
+from storelens.operators.rollup import Rollup, source
 from storelens.operators.summaries import monthly_base
 
 
@@ -16,7 +17,14 @@ def _rows(df: DataFrame, pairs: list[tuple[str, Column]], name: str = "metric",
         F.struct(F.lit(label).alias(name), v.cast("double").alias(value)) for label, v in pairs])))
 
 
-def executive_kpis(ol: DataFrame) -> DataFrame:
+def customers(ol: DataFrame | Rollup) -> Column:
+    """Distinct customers of the whole table, as an aggregate or the merged bitmaps' count."""
+    if isinstance(ol, Rollup):
+        return ol.customer_count().select("customers").scalar()
+    return F.count_distinct("customer_id")
+
+
+def executive_kpis(ol: DataFrame | Rollup) -> DataFrame:
     """Totals, margin, loss rate, and latest vs previous present month deltas.
 
     Totals come from one global aggregate; the month deltas from the small
@@ -33,11 +41,12 @@ def executive_kpis(ol: DataFrame) -> DataFrame:
                                    relative_change("p", "pp").alias("pd")),
                           F.col("order_month_ts")).alias("d")))
     deltas = last.select("d").scalar()
-    tot = ol.agg(F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("total_sales"),
-                 F.coalesce(F.sum("profit"), F.lit(0)).cast("double").alias("total_profit"),
-                 F.count_distinct("order_id").alias("total_orders"),
-                 F.count_distinct("customer_id").alias("total_customers"),
-                 F.coalesce(mean("is_loss"), F.lit(0.0)).alias("loss_rate"))
+    src, of = source(ol, [])
+    tot = src.agg(F.coalesce(F.sum("sales"), F.lit(0)).cast("double").alias("total_sales"),
+                  F.coalesce(F.sum("profit"), F.lit(0)).cast("double").alias("total_profit"),
+                  of.orders().alias("total_orders"),
+                  customers(ol).alias("total_customers"),
+                  F.coalesce(of.mean("is_loss"), F.lit(0.0)).alias("loss_rate"))
     return tot.select(
         "total_sales", "total_profit", "total_orders", "total_customers",
         F.coalesce(ratio("total_profit", "total_sales"), F.lit(0.0)).alias("profit_margin"),
@@ -46,7 +55,7 @@ def executive_kpis(ol: DataFrame) -> DataFrame:
         F.coalesce(deltas["pd"], F.lit(0.0)).alias("profit_delta"))
 
 
-def kpi_cards(ol: DataFrame) -> DataFrame:
+def kpi_cards(ol: DataFrame | Rollup) -> DataFrame:
     """The six headline cards as display texts: (pos, label, value, delta)."""
     k = executive_kpis(ol)
     cards = [("Revenue", fixed_text("total_sales", 2, "$", "M", 1_000_000), pct_text("sales_delta")),
@@ -61,21 +70,20 @@ def kpi_cards(ol: DataFrame) -> DataFrame:
         for i, (label, value, delta) in enumerate(cards)])))
 
 
-def report_money(ol: DataFrame) -> DataFrame:
+def report_money(ol: DataFrame | Rollup) -> DataFrame:
     """The report's money lines (two decimals): total sales and total profit as text."""
     return executive_kpis(ol).select(fixed_text("total_sales", 2, "$").alias("total_sales_text"),
                                      fixed_text("total_profit", 2, "$").alias("total_profit_text"))
 
 
-def _totals(ol: DataFrame) -> DataFrame:
-    return ol.agg(F.sum("sales").alias("s"), F.sum("profit").alias("p"),
-                  F.count_distinct("order_id").alias("o"),
-                  F.count_distinct("customer_id").alias("c"),
-                  mean("shipping_days").alias("ship"), mean("is_loss").alias("loss"),
-                  mean("discount").alias("disc"))
+def _totals(ol: DataFrame | Rollup) -> DataFrame:
+    src, of = source(ol, [])
+    return src.agg(F.sum("sales").alias("s"), F.sum("profit").alias("p"), of.orders().alias("o"),
+                   customers(ol).alias("c"), of.mean("shipping_days").alias("ship"), of.mean("is_loss").alias("loss"),
+                   of.mean("discount").alias("disc"))
 
 
-def kpi_summary(ol: DataFrame) -> DataFrame:
+def kpi_summary(ol: DataFrame | Rollup) -> DataFrame:
     """Batch KPI table (data rows; model metrics are appended by the batch job)."""
     t = _totals(ol)
     return _rows(t, [
@@ -89,7 +97,7 @@ def kpi_summary(ol: DataFrame) -> DataFrame:
     ])
 
 
-def kpi_summary_compact(ol: DataFrame) -> DataFrame:
+def kpi_summary_compact(ol: DataFrame | Rollup) -> DataFrame:
     """KPI table of the chart job: adds average discount, no loss rate."""
     t = _totals(ol)
     return _rows(t, [

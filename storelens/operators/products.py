@@ -5,35 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.exprs import mean, ratio
-from storelens.operators.ranking import pct_rank_average
+from storelens.functions.exprs import ratio
+from storelens.operators.ranking import pct_ranks
+from storelens.operators.rollup import Rollup, source
 from storelens.operators.summaries import keys_present, top_k, total
 from storelens.schema import OPPORTUNITY_WEIGHTS, SCENARIO_CLIP, SCENARIO_ELASTICITY
 
 
-def product_opportunity(ol: DataFrame) -> DataFrame:
+def product_opportunity(ol: DataFrame | Rollup) -> DataFrame:
     """Per category/sub-category: totals, loss rate, margin and a blended score.
 
     score = .35 pct(sales) + .25 pct(1 - loss rate) + .25 pct(profit)
             + .15 pct(1 - mean discount), pct = average-tie percentile rank.
-    The percentile windows run on the aggregate (one row per product line).
+    The percentile ranks are found without a window over all product lines.
     """
     keys = ["category", "sub_category"]
-    g = (keys_present(ol, keys).groupBy(*keys)
+    src, m = source(ol, keys)
+    g = (keys_present(src, keys).groupBy(*keys)
          .agg(total("sales").alias("sales"), total("profit").alias("profit"),
-              F.count_distinct("order_id").alias("orders"), mean("discount").alias("avg_discount"),
-              mean("is_loss").alias("loss_rate")))
+              m.orders().alias("orders"), m.mean("discount").alias("avg_discount"),
+              m.mean("is_loss").alias("loss_rate")))
+    g = pct_ranks(g, {"sales_rank": F.col("sales"), "retention_rank": F.lit(1.0) - F.col("loss_rate"),
+                      "profit_rank": F.col("profit"), "discipline_rank": F.lit(1.0) - F.col("avg_discount")})
     w = OPPORTUNITY_WEIGHTS
-    score = (pct_rank_average(F.col("sales")) * w["sales"]
-             + pct_rank_average(F.lit(1.0) - F.col("loss_rate")) * w["retention"]
-             + pct_rank_average(F.col("profit")) * w["profit"]
-             + pct_rank_average(F.lit(1.0) - F.col("avg_discount")) * w["discount_discipline"])
+    score = (F.col("sales_rank") * w["sales"] + F.col("retention_rank") * w["retention"]
+             + F.col("profit_rank") * w["profit"] + F.col("discipline_rank") * w["discount_discipline"])
     return (g.select(*keys, "sales", "profit", "orders", "avg_discount", "loss_rate",
                      ratio("profit", "sales").alias("profit_margin"), score.alias("opportunity_score"))
             .orderBy(F.desc("opportunity_score"), *keys))
 
 
-def top_opportunities(ol: DataFrame, k: int = 12) -> DataFrame:
+def top_opportunities(ol: DataFrame | Rollup, k: int = 12) -> DataFrame:
     return top_k(product_opportunity(ol), k, F.desc("opportunity_score"), "category", "sub_category").select(
         "category", "sub_category", "sales", "profit", "loss_rate", "opportunity_score")
 
@@ -48,13 +50,14 @@ def _scenario_columns(adjustment):
     return sim, change, impact
 
 
-def _subcategory_base(ol: DataFrame) -> DataFrame:
-    return (keys_present(ol, ["sub_category"]).groupBy("sub_category")
+def _subcategory_base(ol: DataFrame | Rollup) -> DataFrame:
+    src, m = source(ol, ["sub_category"])
+    return (keys_present(src, ["sub_category"]).groupBy("sub_category")
             .agg(total("sales").alias("sales"), total("profit").alias("profit"),
-                 mean("discount").alias("avg_discount")))
+                 m.mean("discount").alias("avg_discount")))
 
 
-def discount_scenario(ol: DataFrame, adjustment: float = 0.05) -> DataFrame:
+def discount_scenario(ol: DataFrame | Rollup, adjustment: float = 0.05) -> DataFrame:
     """Shift every sub-category's mean discount by ``adjustment`` (clipped to
     [0, 0.8]) and estimate the profit impact as sales * change * -0.35."""
     sim, change, impact = _scenario_columns(F.lit(float(adjustment)))
@@ -66,7 +69,7 @@ def discount_scenario(ol: DataFrame, adjustment: float = 0.05) -> DataFrame:
             .orderBy("estimated_profit_impact", "sub_category"))
 
 
-def discount_scenarios(ol: DataFrame, adjustments: list[float]) -> DataFrame:
+def discount_scenarios(ol: DataFrame | Rollup, adjustments: list[float]) -> DataFrame:
     """The scenario for a whole sweep of adjustments in one job (one aggregate,
     then an ``explode`` of the adjustment list on the small result)."""
     sim, change, impact = _scenario_columns(F.col("adjustment"))
@@ -79,6 +82,6 @@ def discount_scenarios(ol: DataFrame, adjustments: list[float]) -> DataFrame:
             .orderBy("adjustment", "estimated_profit_impact", "sub_category"))
 
 
-def top_scenario(ol: DataFrame, adjustment: float = 0.05, k: int = 15) -> DataFrame:
+def top_scenario(ol: DataFrame | Rollup, adjustment: float = 0.05, k: int = 15) -> DataFrame:
     return top_k(discount_scenario(ol, adjustment), k, "estimated_profit_impact", "sub_category").select(
         "sub_category", "avg_discount", "simulated_discount", "estimated_profit_impact", "projected_profit")

@@ -17,8 +17,8 @@ two jobs, whatever the number of orderings and live candidate ranges:
    hot key costs nothing extra), and the bucket that holds the wanted rank is
    the next candidate range.
 
-A range of at most ``fanout`` keys is sampled whole: every key is a cut, each
-bucket holds one key, and the same count ends the search.  From the second
+A range of at most ``fanout ** 2`` keys ends the search: one job sorts the keys
+of all such ranges in an aggregate and picks the wanted ones.  From the second
 round on only the live ranges are scanned, from a persisted copy.
 
 Keys are lexicographic structs ending in a unique tie-break column, so even a
@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.sources.sinks import stored
+
 FANOUT = 64
 OVERSAMPLE = 32
 
@@ -146,9 +148,7 @@ def _sample_cuts(current: DataFrame, names: list[str], types: list[T.StructType]
     arrays, of = [], []
     for i, (name, ranges) in enumerate(zip(names, live)):
         for r, rng in enumerate(ranges):
-            hit = _in_range(name, rng, types[i])
-            if rng.size > fanout:
-                hit = hit & (F.col("draw") < OVERSAMPLE * fanout / rng.size)
+            hit = _in_range(name, rng, types[i]) & (F.col("draw") < OVERSAMPLE * fanout / rng.size)
             arrays.append(F.sort_array(F.collect_list(F.when(hit, F.col(name)))).alias(f"a{len(of)}"))
             of.append(rng)
     cuts = [_spaced(F.col(f"a{j}"), fanout).alias(f"a{j}") for j in range(len(of))]
@@ -168,6 +168,26 @@ def _count_buckets(current: DataFrame, names: list[str], types: list[T.StructTyp
     return {(r["i"], r["b"]): r["count"] for r in rows.groupBy("e.i", "e.b").count().collect()}
 
 
+def _settle(current: DataFrame, names: list[str], types: list[T.StructType], live: list[list[_Range]],
+            found: list[dict[int, tuple]], most: int) -> None:
+    """Finds the wanted keys of every range of at most ``most`` keys and drops those ranges: one job."""
+    arrays, picks, of = [], [], []
+    for i, (name, ranges) in enumerate(zip(names, live)):
+        for rng in ranges:
+            if rng.size > most:
+                continue
+            j = len(arrays)
+            arrays.append(F.sort_array(F.collect_list(F.when(_in_range(name, rng, types[i]), F.col(name)))).alias(f"a{j}"))
+            for rank, k in rng.wanted:
+                picks.append(F.element_at(F.col(f"a{j}"), k).alias(f"p{len(of)}"))
+                of.append((i, rank))
+    if not arrays:
+        return
+    for (i, rank), key in zip(of, current.agg(*arrays).select(*picks).first()):
+        found[i][rank] = tuple(key)
+    live[:] = [[rng for rng in ranges if rng.size > most] for ranges in live]
+
+
 def _bounds(ranges: list[_Range]) -> list[tuple]:
     """All range ends and cuts of an ordering, ascending (ranges are disjoint and in order)."""
     out: list[tuple] = []
@@ -197,7 +217,10 @@ def search(keys: DataFrame, ranks: Callable[[list[int]], list[list[int]]], *, fa
         live.append([_Range(None, None, n, [(r, r) for r in rs])] if rs else [])
     current, owned, rounds = keys, None, 0
     try:
-        while any(live):
+        while True:
+            _settle(current, names, types, live, found, fanout * fanout)
+            if not any(live):
+                break
             rounds += 1
             if rounds > 64:
                 raise RuntimeError("rank search made no progress; are the keys unique?")
@@ -215,16 +238,15 @@ def search(keys: DataFrame, ranks: Callable[[list[int]], list[list[int]]], *, fa
                 _sample_cuts(current, names, types, live, fanout, seed)
             counts = _count_buckets(current, names, types, live)
             for i, ranges in enumerate(live):
-                live[i] = _next_ranges(i, ranges, counts, found[i], fanout)
+                live[i] = _next_ranges(i, ranges, counts)
     finally:
         if owned is not None:
             owned.unpersist()
     return sizes, found
 
 
-def _next_ranges(i: int, ranges: list[_Range], counts: dict[tuple[int, int], int], found: dict[int, tuple],
-                 fanout: int) -> list[_Range]:
-    """The buckets that hold wanted ranks; keys that are settled go to ``found``."""
+def _next_ranges(i: int, ranges: list[_Range], counts: dict[tuple[int, int], int]) -> list[_Range]:
+    """The buckets that hold wanted ranks."""
     bounds = _bounds(ranges)
     out: list[_Range] = []
     for rng in ranges:
@@ -239,9 +261,7 @@ def _next_ranges(i: int, ranges: list[_Range], counts: dict[tuple[int, int], int
                 c = counts.get((i, j), 0)
                 if before + c >= k:
                     lo, hi = ends[j - first], ends[j - first + 1]
-                    if hi is not None and rng.size <= fanout:
-                        found[rank] = hi  # every key was a cut: the bucket holds this one only
-                    elif out and (out[-1].lo, out[-1].hi) == (lo, hi):
+                    if out and (out[-1].lo, out[-1].hi) == (lo, hi):
                         out[-1].wanted.append((rank, k - before))
                     else:
                         out.append(_Range(lo, hi, c, [(rank, k - before)]))
@@ -292,14 +312,31 @@ def rank_buckets_many(df: DataFrame, orderings: list[list[Column]], q: int = 4,
             for i, (cols, f, rs) in enumerate(zip(orderings, found, ranks(sizes)))]
 
 
-def pct_rank_average(value: Column) -> Column:
-    """pandas ``rank(pct=True)``: average rank of ties / count of non-null values.
+def pct_ranks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Adds pandas ``rank(pct=True)`` of each value under its name: average rank of ties / count of non-null values.
 
-    An unpartitioned window: only for small, already aggregated frames.
+    No window spans the frame.  Equal values are counted first (map-side, so a
+    value of a third of all rows is one row); the counts are dealt by ranges of
+    the value and written once; a part's offset is the sum of the parts before
+    it (one row a part), and the ranks join back on the value.  A null value
+    has no rank.
     """
-    w_all = Window.orderBy(value.asc_nulls_last())
-    w_tie = Window.partitionBy(value)
-    w_n = Window.partitionBy(F.lit(1))
-    avg_rank = F.rank().over(w_all) + (F.count(F.lit(1)).over(w_tie) - F.lit(1)) / F.lit(2.0)
-    return F.when(value.isNull(), F.lit(None).cast("double")).otherwise(
-        avg_rank / F.count(value).over(w_n))
+    names = list(values)
+    df = df.select("*", *[(c.cast("double") + F.lit(0.0)).alias(f"__v{i}") for i, c in enumerate(values.values())])
+    flat = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("which"), F.col(f"__v{i}").alias("v"))
+                                        for i in range(len(names))])))
+    counts = flat.where("v IS NOT NULL").groupBy("which", "v").agg(F.count(F.lit(1)).alias("n"))
+    parts = stored(counts.repartitionByRange("which", "v").withColumn("part", F.spark_partition_id()), "rank-counts")
+    before = Window.partitionBy("which").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("which")
+    offsets = (parts.groupBy("which", "part").agg(F.sum("n").alias("m"))
+               .select("which", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"),
+                       F.sum("m").over(whole).alias("all")))
+    inside = Window.partitionBy("which", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.lit(1)
+    ranks = (parts.join(F.broadcast(offsets), ["which", "part"])  # one row a part
+             .select("which", "v", ((first + (F.col("n") - F.lit(1)) / F.lit(2.0)) / F.col("all")).alias("pct")))
+    for i, name in enumerate(names):
+        one = ranks.where(F.col("which") == i).select(F.col("v").alias(f"__k{i}"), F.col("pct").alias(name))
+        df = df.join(one, F.col(f"__v{i}") == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+    return df.drop(*[f"__v{i}" for i in range(len(names))])

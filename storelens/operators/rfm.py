@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators.ranking import rank_buckets_many
-from storelens.operators.summaries import keys_present, top_k, total_dec
+from storelens.operators.rollup import Rollup, source
+from storelens.operators.summaries import keys_present, top_k
 from storelens.schema import RFM_DEFAULT_SEGMENT, RFM_SEGMENTS
 from storelens.sources.sinks import stored
 
 
-def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
+def rfm_summary(ol: DataFrame | Rollup, **kw) -> DataFrame:
     """Per customer: recency (days before the frame's latest order), distinct
     orders, sales and profit, three quartile scores and a segment label.
 
@@ -22,18 +23,19 @@ def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
     three orderings, and the result reads it again.  No window spans all
     customers.
     """
-    latest = ol.select(F.max("order_date")).scalar()
     keys = ["customer_id", "customer_name"]
+    src, m = source(ol, keys)
+    latest = src.select(m.last_order()).scalar()
     cust = stored(
-        keys_present(ol, keys).groupBy(*keys)
-            .agg(F.max("order_date").alias("last_order"),
-                 F.count_distinct("order_id").alias("frequency"),
-                 total_dec("sales").alias("monetary_dec"),
-                 total_dec("profit").alias("profit_dec"))
+        keys_present(src, keys).groupBy(*keys)
+            .agg(m.last_order().alias("last_order"),
+                 m.orders().alias("frequency"),
+                 m.total("sales").alias("monetary_dec"),
+                 m.total("profit").alias("profit_dec"))
             .select(*keys, F.datediff(latest, F.col("last_order")).alias("recency_days"),
                     "frequency", "monetary_dec", "profit_dec"), "customers")
     tie = [F.col("customer_id"), F.col("customer_name")]
-    r, f, m = rank_buckets_many(cust, [[-F.col("recency_days")] + tie, [F.col("frequency")] + tie,
+    r, f, mo = rank_buckets_many(cust, [[-F.col("recency_days")] + tie, [F.col("frequency")] + tie,
                                        [F.col("monetary_dec")] + tie], 4, **kw)
     score = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
     seg = F.when(F.lit(False), F.lit(None))
@@ -43,7 +45,7 @@ def rfm_summary(ol: DataFrame, **kw) -> DataFrame:
     return (cust.select(*keys, "recency_days", "frequency",
                         F.col("monetary_dec").cast("double").alias("monetary"),
                         F.col("profit_dec").cast("double").alias("profit"),
-                        r.alias("recency_score"), f.alias("frequency_score"), m.alias("monetary_score"))
+                        r.alias("recency_score"), f.alias("frequency_score"), mo.alias("monetary_score"))
             .withColumn("rfm_score", score)
             .withColumn("rfm_segment", seg))
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.operators import exact_tree, filters, forecast, kpis, models, monitor, products, quality, rfm, summaries
+from storelens.operators import (exact_tree, filters, forecast, kpis, models, monitor, products, quality, rfm, rollup,
+                                 summaries)
 from storelens.plans import params as P
 from storelens.plans import sqlviews
+from storelens.session import shared_dir
 from storelens.sources import sinks
-from storelens.sources.loader import load_order_lines
+from storelens.sources.loader import input_mark, load_order_lines
+from storelens.sources.reuse import reused
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,11 +43,33 @@ def _export_roundtrip(spark: SparkSession, src: str) -> DataFrame:
 
 def _sql(query: str) -> Query:
     def run(spark: SparkSession, src: str) -> DataFrame:
-        sqlviews.register_sql_store(spark, _ol(spark, src))
+        sqlviews.register_sql_store(spark, _ol(spark, src), rollup=_rollup(spark, src))
         return sqlviews.run_sql(spark, query)
     return run
 
 
+_ROLLUPS: dict[tuple, rollup.Rollup] = {}
+
+
+def _rollup(spark: SparkSession, src: str) -> rollup.Rollup:
+    """The order-grain rollup of ``src``, built once for unchanged input files."""
+    key = (spark.sparkContext.applicationId, id(spark), src)
+    if key not in _ROLLUPS:
+        path = reused(spark, "rollup", input_mark(spark, src), lambda p: rollup.write(_ol(spark, src), p))
+        _ROLLUPS[key] = rollup.read(spark, path)
+    return _ROLLUPS[key]
+
+
+def _kept_forest(spark: SparkSession, src: str, kind: str, params: dict) -> str:
+    """Where the forest of these files and parameters is saved, and found by later applications."""
+    mark = hashlib.sha256(json.dumps([kind, params, P.TEST_FRACTION, P.SEED], sort_keys=True).encode()).hexdigest()[:16]
+    return shared_dir(spark, "storelens", "kept", "forests", f"{input_mark(spark, src)}-{kind}-{mark}")
+
+
+def _rolled(fn, **kw) -> Query:
+    return lambda spark, src: fn(_rollup(spark, src), **kw)
+
+
 _STORES: dict[tuple, str] = {}
 
 
@@ -64,12 +91,14 @@ def _written_sql(query: str) -> Query:
 def _loss(spark: SparkSession, src: str, variant: bool = False) -> models.LossModel:
     p = P.LOSS_MODEL_VARIANT if variant else P.LOSS_MODEL
     return models.train_loss_classifier(_ol(spark, src), fraction=P.TEST_FRACTION, seed=P.SEED,
-                                        cache_key=(spark.sparkContext.applicationId, src), **p)
+                                        cache_key=(spark.sparkContext.applicationId, src),
+                                        path=_kept_forest(spark, src, "loss", p), **p)
 
 
 def _profit(spark: SparkSession, src: str) -> models.ProfitModel:
     return models.train_profit_regressor(_ol(spark, src), fraction=P.TEST_FRACTION, seed=P.SEED,
-                                         cache_key=(spark.sparkContext.applicationId, src), **P.PROFIT_MODEL)
+                                         cache_key=(spark.sparkContext.applicationId, src),
+                                         path=_kept_forest(spark, src, "profit", P.PROFIT_MODEL), **P.PROFIT_MODEL)
 
 
 _FRAMES: dict[tuple, DataFrame] = {}
@@ -95,7 +124,7 @@ def _flagged(classes: tuple | None) -> Query:
 
 _split = _once("split", _flagged((0, 1)))
 _plain_split = _once("plain-split", _flagged(None))
-_rfm = _once("rfm", lambda s, d: rfm.rfm_summary(_ol(s, d)))
+_rfm = _once("rfm", lambda s, d: rfm.rfm_summary(_rollup(s, d)))
 
 
 def _on(fn, **kw) -> Query:
@@ -109,27 +138,27 @@ QUERIES: dict[str, Query] = {
     "export_filtered": _export_roundtrip,
     "filter_options": _on(filters.filter_options),
     # summaries
-    "customer_summary": _on(summaries.customer_summary),
-    "state_summary": _on(summaries.state_summary),
-    "monthly_summary": _on(summaries.monthly_summary),
-    "executive_kpis": _on(kpis.executive_kpis),
-    "region_summary": _on(summaries.region_summary),
-    "category_summary": _on(summaries.category_summary),
-    "subcategory_summary": _on(summaries.subcategory_summary),
+    "customer_summary": _rolled(summaries.customer_summary),
+    "state_summary": _rolled(summaries.state_summary),
+    "monthly_summary": _rolled(summaries.monthly_summary),
+    "executive_kpis": _rolled(kpis.executive_kpis),
+    "region_summary": _rolled(summaries.region_summary),
+    "category_summary": _rolled(summaries.category_summary),
+    "subcategory_summary": _rolled(summaries.subcategory_summary),
     "sales_by_year": _on(summaries.sales_by_year),
-    "sales_by_category": _on(summaries.sales_by_category),
-    "profit_by_category": _on(summaries.profit_by_category),
-    "profit_by_subcategory": _on(summaries.profit_by_subcategory),
+    "sales_by_category": _rolled(summaries.sales_by_category),
+    "profit_by_category": _rolled(summaries.profit_by_category),
+    "profit_by_subcategory": _rolled(summaries.profit_by_subcategory),
     "profit_by_discount": _on(summaries.profit_by_discount),
-    "sales_by_region": _on(summaries.sales_by_region),
-    "monthly_sales_trend": _on(summaries.monthly_sales_trend, months=P.TREND_MONTHS),
-    "top_states": _on(summaries.top_states, k=P.TOP_STATES),
-    "top_customers": _on(summaries.top_customers, k=P.TOP_CUSTOMERS),
-    "top_customers_total": _on(summaries.top_customers_total, k=P.TOP_CUSTOMERS_TOTAL),
-    "kpi_summary": _on(kpis.kpi_summary),
-    "kpi_summary_compact": _on(kpis.kpi_summary_compact),
-    "kpi_cards": _on(kpis.kpi_cards),
-    "report_money": _on(kpis.report_money),
+    "sales_by_region": _rolled(summaries.sales_by_region),
+    "monthly_sales_trend": _rolled(summaries.monthly_sales_trend, months=P.TREND_MONTHS),
+    "top_states": _rolled(summaries.top_states, k=P.TOP_STATES),
+    "top_customers": _rolled(summaries.top_customers, k=P.TOP_CUSTOMERS),
+    "top_customers_total": _rolled(summaries.top_customers_total, k=P.TOP_CUSTOMERS_TOTAL),
+    "kpi_summary": _rolled(kpis.kpi_summary),
+    "kpi_summary_compact": _rolled(kpis.kpi_summary_compact),
+    "kpi_cards": _rolled(kpis.kpi_cards),
+    "report_money": _rolled(kpis.report_money),
     "dataset_snapshot": _on(kpis.dataset_snapshot),
     "insight_facts": _on(kpis.insight_facts),
     # customers
@@ -137,14 +166,14 @@ QUERIES: dict[str, Query] = {
     "rfm_segments": lambda s, d: rfm.rfm_segments(_rfm(s, d)),
     "rfm_watchlist": lambda s, d: rfm.rfm_watchlist(_rfm(s, d), k=P.WATCHLIST),
     # planning
-    "forecast": _on(forecast.forecast_frame, periods=P.FORECAST_PERIODS),
-    "monthly_anomalies": _on(forecast.anomaly_table),
-    "alert_feed": lambda s, d: forecast.alert_feed(forecast.anomaly_table(_ol(s, d)), k=P.ALERTS),
-    "product_opportunity": _on(products.product_opportunity),
-    "top_opportunities": _on(products.top_opportunities, k=P.TOP_OPPORTUNITIES),
-    "discount_scenario": _on(products.discount_scenario, adjustment=P.SCENARIO_ADJUSTMENT),
-    "discount_scenarios": _on(products.discount_scenarios, adjustments=P.SCENARIO_SWEEP),
-    "top_scenario": _on(products.top_scenario, adjustment=P.SCENARIO_ADJUSTMENT, k=P.TOP_SCENARIO),
+    "forecast": _rolled(forecast.forecast_frame, periods=P.FORECAST_PERIODS),
+    "monthly_anomalies": _rolled(forecast.anomaly_table),
+    "alert_feed": lambda s, d: forecast.alert_feed(forecast.anomaly_table(_rollup(s, d)), k=P.ALERTS),
+    "product_opportunity": _rolled(products.product_opportunity),
+    "top_opportunities": _rolled(products.top_opportunities, k=P.TOP_OPPORTUNITIES),
+    "discount_scenario": _rolled(products.discount_scenario, adjustment=P.SCENARIO_ADJUSTMENT),
+    "discount_scenarios": _rolled(products.discount_scenarios, adjustments=P.SCENARIO_SWEEP),
+    "top_scenario": _rolled(products.top_scenario, adjustment=P.SCENARIO_ADJUSTMENT, k=P.TOP_SCENARIO),
     "discount_risk_segments": _on(quality.discount_risk_segments),
     "data_quality": _on(quality.data_quality),
     # operations monitor
@@ -155,7 +184,7 @@ QUERIES: dict[str, Query] = {
     "sql_orders_export": lambda s, d: sqlviews.orders_table(_full(s, d)),
     "sql_store_written": lambda s, d: sqlviews.read_sql_store(s, _written_store(s, d)),
     "sql_store_monthly_kpis": _written_sql("select * from monthly_kpis"),
-    "table_counts": lambda s, d: (sqlviews.register_sql_store(s, _ol(s, d)), sqlviews.table_counts(s))[1],
+    "table_counts": lambda s, d: (sqlviews.register_sql_store(s, _ol(s, d), rollup=_rollup(s, d)), sqlviews.table_counts(s))[1],
     "sql_monthly_kpis": _sql("select * from monthly_kpis"),
     "sql_category_kpis": _sql("select * from category_kpis"),
     "sql_customer_kpis": _sql("select * from customer_kpis"),

@@ -9,10 +9,12 @@ once (:func:`write_sql_store`): the ``orders`` table as Parquet partitioned by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.functions.exprs import round_half_away
+from storelens.operators.rollup import Rollup
 from storelens.schema import BASE_COLUMNS, DERIVED_COLUMNS, REFERENCE_NAMES
 from storelens.session import fresh_dir
 
@@ -125,16 +127,43 @@ def read_sql_store(spark: SparkSession, path: str) -> DataFrame:
     return table.select(*[F.col(f"`{c}`") for c in base + extra + DERIVED_COLUMNS])
 
 
-def register_sql_store(spark: SparkSession, ol: DataFrame | None = None, path: str | None = None) -> None:
+def _rolled_mean(c: str) -> Column:
+    return F.try_divide(F.sum(f"{c}_sum").cast("double"), F.sum(f"{c}_n"))
+
+
+def rolled_views(rollup: Rollup) -> dict[str, DataFrame]:
+    """The three KPI views from the rollup: same columns and values, no distinct over the lines."""
+    money = [F.round(F.sum(c), 2).cast("double").alias(c) for c in ("sales", "profit")]
+    discount = round_half_away(_rolled_mean("discount"), 4).alias("avg_discount")
+    loss = round_half_away(_rolled_mean("is_loss"), 4).alias("loss_rate")
+    months = rollup.customers.groupBy("order_month").agg(
+        *money, F.sum("orders_month").alias("orders"), discount,
+        round_half_away(_rolled_mean("shipping_days"), 2).alias("avg_shipping_days"), loss)
+    heads = rollup.customer_count("order_month").withColumnRenamed("order_month", "month")
+    months = months.join(heads, F.col("order_month").eqNullSafe(F.col("month")), "left").select(
+        "order_month", "sales", "profit", "orders", F.coalesce("customers", F.lit(0).cast("long")).alias("customers"),
+        "avg_discount", "avg_shipping_days", "loss_rate")
+    products = rollup.products.groupBy(F.col("category").alias("Category"), "sub_category").agg(
+        *money, F.sum("orders_product").alias("orders"), discount, loss)
+    customers = rollup.customers.groupBy("customer_id", "customer_name", F.col("segment").alias("Segment")).agg(
+        *money, F.sum("orders_customer").alias("orders"), discount,
+        F.date_format(F.max("last_order"), "yyyy-MM-dd").alias("last_order_date"))
+    return {"monthly_kpis": months, "category_kpis": products, "customer_kpis": customers}
+
+
+def register_sql_store(spark: SparkSession, ol: DataFrame | None = None, path: str | None = None,
+                       rollup: Rollup | None = None) -> None:
     """Publish ``orders`` and the three KPI views in the session catalog.
 
     ``orders`` is the order-line frame ``ol`` (session store) or the table
-    written at ``path`` by :func:`write_sql_store` (persistent store).
+    written at ``path`` by :func:`write_sql_store` (persistent store).  With
+    the ``rollup`` of the same lines the views read its tables.
     """
     orders = read_sql_store(spark, path) if path is not None else orders_table(ol)
     orders.createOrReplaceTempView("orders")
-    for name, body in VIEW_SQL.items():
-        spark.sql(body).createOrReplaceTempView(name)
+    views = rolled_views(rollup) if rollup is not None else {n: spark.sql(body) for n, body in VIEW_SQL.items()}
+    for name, view in views.items():
+        view.createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, query: str) -> DataFrame:

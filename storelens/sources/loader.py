@@ -6,24 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.operators.derive import enrich
-from storelens.session import fresh_dir, path_exists
+from storelens.session import path_exists
 from storelens.sources.csv import read_order_csv
-from storelens.sources.star import order_lines_from_star
+from storelens.sources.reuse import fingerprint, reused
+from storelens.sources.star import TABLES, order_lines_from_star
 
 _STORED: dict[tuple, str] = {}
 _LOADED: dict[tuple, DataFrame] = {}
 
 
+def is_csv(spark: SparkSession, src: str) -> bool:
+    top = src.rstrip("/")
+    return top.endswith(".csv") or (not path_exists(spark, f"{top}/lineitem.parquet") and path_exists(spark, f"{top}/*.csv"))
+
+
 def read_base(spark: SparkSession, src: str, **csv_options) -> DataFrame:
     """Canonical base columns from a star-schema directory or an order CSV (file or folder)."""
-    top = src.rstrip("/")
-    if top.endswith(".csv") or (not path_exists(spark, f"{top}/lineitem.parquet") and path_exists(spark, f"{top}/*.csv")):
+    if is_csv(spark, src):
         return read_order_csv(spark, src, **csv_options)
     return order_lines_from_star(spark, src)
 
 
+_MARKS: dict[tuple, str] = {}
+
+
+def input_mark(spark: SparkSession, src: str, **csv_options) -> str:
+    """Fingerprint of the input files, taken once per application."""
+    key = (spark.sparkContext.applicationId, src, *sorted(csv_options.items()))
+    if key not in _MARKS:
+        top = src.rstrip("/")
+        paths = [top] if is_csv(spark, src) else [f"{top}/{t}.parquet" for t in TABLES]
+        _MARKS[key] = fingerprint(spark, paths, sorted(csv_options.items()))
+    return _MARKS[key]
+
+
 def stored_base(spark: SparkSession, src: str, **csv_options) -> DataFrame:
-    """The assembled base table, written once per application and read back.
+    """The assembled base table, written once and read back, also by later
+    applications with the same shared folder and unchanged input files
+    (:mod:`storelens.sources.reuse`).
 
     Parquet partitioned by ``order_year`` under the shared folder; filters and
     column pruning reach its scans, a year list prunes whole partitions, and a
@@ -32,11 +52,12 @@ def stored_base(spark: SparkSession, src: str, **csv_options) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, src, *sorted(csv_options.items()))
     if key not in _STORED:
-        base = read_base(spark, src, **csv_options)
-        path = fresh_dir(spark, "order_lines")
-        (base.withColumn("order_year", F.year("order_date")).hint("rebalance", "order_year")
-         .write.partitionBy("order_year").parquet(path))
-        _STORED[key] = path
+        def write(path: str) -> None:
+            base = read_base(spark, src, **csv_options)
+            (base.withColumn("order_year", F.year("order_date")).hint("rebalance", "order_year")
+             .write.partitionBy("order_year").parquet(path))
+
+        _STORED[key] = reused(spark, "order_lines", input_mark(spark, src, **csv_options), write)
     return spark.read.parquet(_STORED[key])
 
 

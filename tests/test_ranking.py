@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from storelens.operators.ranking import kth_keys, pct_rank_average, rank_buckets
+from storelens.operators.ranking import kth_keys, pct_ranks, rank_buckets
 
 
 def pandas_quartiles(values):
@@ -59,12 +59,20 @@ def test_kth_keys_matches_sort(spark):
     assert {r: tuple(got[r]) for r in ranks} == {r: srt[r - 1] for r in ranks}
 
 
-def test_pct_rank_average(spark):
-    df = spark.createDataFrame([(0, 3.0), (1, 1.0), (2, 3.0), (3, 2.0), (4, None)], "pos int, v double")
-    got = [r["p"] for r in df.select("pos", pct_rank_average(F.col("v")).alias("p")).orderBy("pos").collect()]
-    assert got == [0.875, 0.25, 0.875, 0.5, None]
-    ref = pd.Series([3.0, 1.0, 3.0, 2.0, None]).rank(pct=True).tolist()
-    assert got[:4] == ref[:4]
+def test_pct_ranks_are_those_of_pandas(spark):
+    rng = random.Random(6)
+    a = [3.0, 1.0, 3.0, 2.0, None] + [rng.choice([None, 7.5, rng.random(), rng.randrange(5)]) for _ in range(500)]
+    b = [None if rng.random() < 0.1 else -0.0 if rng.random() < 0.4 else 0.0 if rng.random() < 0.1 else rng.gauss(0, 1)
+         for _ in a]
+    df = spark.createDataFrame([(i, None if x is None else float(x), y) for i, (x, y) in enumerate(zip(a, b))],
+                               "pos int, v double, w double").repartition(7)
+    got = pct_ranks(df, {"p": F.col("v"), "q": F.lit(1.0) - F.col("w")}).orderBy("pos").toPandas()
+    assert list(got.columns) == ["pos", "v", "w", "p", "q"] and len(got) == len(a)
+    for have, ref in ((got["p"], pd.Series(a, dtype=float).rank(pct=True)), (got["q"], (1 - pd.Series(b, dtype=float)).rank(pct=True))):
+        assert have.isna().equals(ref.isna()) and (have.dropna() == ref.dropna()).all()
+    plan = pct_ranks(df, {"p": F.col("v")})._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan  # no window over all rows
+    assert pct_ranks(df.where("false"), {"p": F.col("v")}).count() == 0
 
 
 @pytest.mark.parametrize("fanout", [4, 64])

@@ -27,62 +27,146 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from storelens.llm.common import documents_of, release, small_batches
+from storelens.llm.common import (SPACE, Texts, documents_of, expand, release, small_batches, text_chunks,
+                                  word_hashes, words)
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
 BLOCK_TOKENS = 1 << 20
-CACHED_WORDS = 200_000  # about 250 bytes each, held by every worker
+SLOT_BITS, WIDE = 21, 8  # 52 MB, held by every worker
+ENCODED_BYTES = 1 << 20
 SEPARATOR = "<|endoftext|>"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "loss_tokens long")
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as one printable character: itself, or the next free one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {**{b: b for b in shown}, **{b: 256 + k for k, b in enumerate(rest)}}
+
+
+# byte classes: 0 white space, 1 letters a-z, 2 punctuation but the apostrophe, 3 anything else
+CLASS = np.full(256, 3, np.uint8)
+CLASS[SPACE] = 0
+CLASS[65:91] = CLASS[97:123] = 1
+PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum() and b != 39]
+CLASS[PUNCTUATION] = 2
+PROBES = ["a", "word", "Word", "enschlich", "\u00e9t\u00e9", "Stra\u00dfe", "\u00c9COLE", "na\u0131ve", "\u65e5\u672c", "zzzzqqqqxxxx"]
+
+
 class WordIds:
-    """Ids of texts, word by word: the vocabulary's pre-tokenizer never joins text across white space, so the ids
-    of a text are those of its words in order.  A word met in a second run of texts is kept with its ids
-    (little-endian uint32); ``met`` marks the slots of words met before."""
+    """Ids of texts, part by part.
+
+    The pre-tokenizer never joins text across white space, so the ids of a text are those of its words in order.  If
+    probes show that it also cuts between ASCII letters and punctuation, and that it ignores case, parts are cut there
+    and hashed in lower case: then a word, its capitalised form and the word before a comma are one part.
 
-    def __init__(self, path: str):
+    Parts met are kept in a table of fixed size, a slot for each value of the low bits of the part's 64-bit hash: the
+    hash, the number of ids and up to ``WIDE`` ids in place (25 bytes a slot with a vocabulary of 65,536 or less).  A
+    later part of the same slot takes its place, so the table never grows, frequent parts come back at once and longer
+    parts are encoded anew.
+    """
+
+    def __init__(self, path: str, bits: int = SLOT_BITS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.sep = self.tokenizer.token_to_id(SEPARATOR)
-        self.ids: dict[bytes, bytes] = {}
-        self.met = bytearray(1 << 22)
-
-    def _encode(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            text = f" {SEPARATOR} ".join(w.decode() for w in part)
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-            cuts = np.flatnonzero(got == self.sep)
-            starts, ends = np.append(0, cuts + 1), np.append(cuts, len(got))
-            for w, a, b in zip(part, starts.tolist(), ends.tolist()):
-                self.ids[w] = got[a:b].tobytes()
-        for w in words:
-            if b"<|" in w:
-                self.ids[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids,
-                                       dtype="<u4").tobytes()
-
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        seen: set[bytes] = set()
-        for s in split:
-            seen.update(s)
-        new = [w for w in seen if w not in self.ids]
-        if new:
-            self._encode(new)
-        get = self.ids.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for w in new:
-            slot = hash(w) & 0x3FFFFF
-            if not self.met[slot]:
-                self.met[slot] = 1
-                del self.ids[w]
-        if len(self.ids) > CACHED_WORDS:
-            self.ids = {w: self.ids[w] for w in seen if w in self.ids}
-            self.met = bytearray(1 << 22)
-        return out
+        self.letters = byte_letters()
+        self.mask = np.uint64((1 << bits) - 1)
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.size = np.zeros(1 << bits, np.uint8)
+        small = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.ids = np.zeros((1 << bits, WIDE), np.uint16 if small else np.uint32)
+        plain = self._plain
+        same = all(plain(f"{x}{chr(p) * k}{y}") == plain(x) + plain(chr(p) * k) + plain(y)
+                   for p in PUNCTUATION for x, y, k in (("ab", "cd", 1), ("b", "rs", 3), ("I", "ll", 1)))
+        blind = all(plain(chr(65 + k) + "xY") == plain(chr(97 + k) + "xy") for k in range(26))
+        self.by_class = same and blind
+        self.direct = all(self._direct(w) == plain(w) for w in PROBES) if self.by_class else False
+
+    def _plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _direct(self, word: str) -> list[int] | None:
+        """Ids of a word of letters alone, which is one piece: normalised, written byte by byte, merged.  None if the
+        normalised word holds anything but letters."""
+        if word.isascii():
+            word = word.lower()
+        else:
+            norm = self.tokenizer.normalizer
+            word = norm.normalize_str(word) if norm is not None else word
+            if not word.isalpha():
+                return None
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [x.id for x in self.model.tokenize(word)]
+
+    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts in a row, number of ids of each)."""
+        found: list[list[int] | None] = [None] * len(parts)
+        rest: list[int] = []
+        for k, raw in enumerate(parts):
+            word = raw.decode()
+            if self.direct and word.isalpha():
+                found[k] = self._direct(word)
+            if found[k] is not None:
+                continue
+            if self.sep is None or b"<|" in raw:
+                found[k] = self._plain(word)
+            else:
+                rest.append(k)
+        for at in range(0, len(rest), 2000):
+            some = rest[at:at + 2000]
+            text = f" {SEPARATOR} ".join(parts[k].decode() for k in some)
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(got == self.sep)
+            for k, a, b in zip(some, np.append(0, cut + 1).tolist(), np.append(cut, len(got)).tolist()):
+                found[k] = got[a:b].tolist()
+        sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
+
+    def parts(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``words``, of the parts that are encoded by themselves."""
+        if not self.by_class or b"<|" in t.data.tobytes():  # the vocabulary's special tokens hold punctuation
+            return words(t)
+        kind = CLASS[t.data]
+        starts, ends, first = words(t)
+        turn = np.flatnonzero(kind[1:] + kind[:-1] * 4 == 6) + 1, np.flatnonzero(kind[1:] + kind[:-1] * 4 == 9) + 1
+        at = np.sort(np.concatenate(turn))
+        docs = t.offs[1:-1]
+        at = at[~np.isin(at, docs)]  # documents lie side by side
+        starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
+        return starts, ends, np.searchsorted(starts, t.offs)
+
+    def texts(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents in a row as little-endian uint32, offsets of the documents in it)."""
+        starts, ends, first = self.parts(t)
+        h = word_hashes(t, starts, ends, lower=self.by_class)
+        slot = (h & self.mask).astype(np.int64)
+        hit = (self.key[slot] == h) & (self.size[slot] > 0)
+        known, new = np.flatnonzero(hit), np.flatnonzero(~hit)
+        uniq, at, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+        raw = t.data.tobytes()
+        flat, sizes = self._encode([raw[a:b] for a, b in zip(starts[new[at]].tolist(), ends[new[at]].tolist())])
+        begin = np.cumsum(sizes) - sizes
+        count = np.empty(len(h), np.int64)
+        count[known] = self.size[slot[known]]
+        count[new] = sizes[inverse]
+        offs = np.concatenate([[0], np.cumsum(count)])
+        out = np.empty(offs[-1], "<u4")
+        inside = np.arange(WIDE) < count[known, None]
+        out[expand(offs[known], count[known])[0]] = self.ids[slot[known]][inside]
+        out[expand(offs[new], count[new])[0]] = flat[expand(begin[inverse], sizes[inverse])[0]]
+        short = np.flatnonzero((sizes > 0) & (sizes <= WIDE))
+        rows = np.zeros((len(short), WIDE), self.ids.dtype)
+        inside = np.arange(WIDE) < sizes[short, None]
+        rows[inside] = flat[expand(begin[short], sizes[short])[0]]
+        to = (uniq[short] & self.mask).astype(np.int64)
+        last = len(to) - 1 - np.unique(to[::-1], return_index=True)[1]  # one word a slot
+        to, short, rows = to[last], short[last], rows[last]
+        self.key[to], self.size[to], self.ids[to] = uniq[short], sizes[short], rows
+        return out, offs[first]
 
 
 @lru_cache(maxsize=4)
@@ -223,12 +307,13 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, limits: tuple[int
             "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
 
     for b in batches:
-        for at in range(0, b.num_rows, 250):
-            part = b.slice(at, 250)
-            texts = [x.encode() for x in part.column(1).to_pylist()]
-            loss_of = part.column(2).to_pylist() if with_loss else None
-            for i, (name, raw) in enumerate(zip(part.column(0).to_pylist(), enc.texts(texts))):
-                raw += end
+        all_names = b.column(0).to_pylist()
+        all_loss = b.column(2).to_pylist() if with_loss else None
+        for t in text_chunks(b.column(1), ENCODED_BYTES):
+            flat, cut = enc.texts(t)
+            loss_of = all_loss[t.rows] if with_loss else None
+            for i, (name, lo, hi) in enumerate(zip(all_names[t.rows], cut[:-1].tolist(), cut[1:].tolist())):
+                raw = flat[lo:hi].tobytes() + end
                 n = len(raw) // 4
                 loss = n if loss_of is None else min(n, max(0, loss_of[i] or 0))
                 doc = len(ids)

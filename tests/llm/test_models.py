@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from data import SCHEMA, frame, pick, rows
 
 from storelens.llm import arrays, lm_scoring, packing, quality_rules
+from storelens.llm.common import text_chunks
 from storelens.llm.tokenizer import tokenizer_path
 
 
@@ -242,19 +244,23 @@ def test_packing_is_a_partition_of_the_ids(spark):
         assert at == len(ids)
 
 
-def test_cached_words_stay_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "CACHED_WORDS", 300)
-    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": lambda: type("C", (), {"partitionId": lambda s: 0})()}))
-    path = tokenizer_path()
-    packing.word_ids.cache_clear()
-    batch = lambda k: pa.RecordBatch.from_pydict(
-        {"doc_id": [k], "text": [" ".join(f"w{k}x{j}" for j in range(200))]})
-    once = lambda it: list(packing.pack_batches(it, path, (2048, 256, 2048), (1.0, 1.0, 1.0), False))
-    once(batch(k) for k in range(20))  # words met once
-    assert len(packing.word_ids(path).ids) <= 300
-    once(batch(k // 2) for k in range(20))  # words met again
-    assert len(packing.word_ids(path).ids) <= 300
-    packing.word_ids.cache_clear()
+def test_word_table_gives_the_ids_of_the_text_whatever_its_size():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(3)
+    texts = ["A <|endoftext|> b\x1cc d\u3000e 'S it's\x0bx \u03a3\u0391\u03a3 \u0130", "", " ", "x" * 3000, "<|", "a <|b|> c" * 3,
+             "\U0001f600 \u6f22\u5b57 " * 20, "long word " * 500]
+    texts += [" ".join("".join(rng.choice("abcdeo\u00e9\u00fc") for _ in range(rng.choice([1, 2, 4, 9, 30])))
+                       for _ in range(rng.randrange(200))) for _ in range(60)]
+    for bits in (1, 6, 16):  # small tables: slots are taken over all the time
+        ids = packing.WordIds(tokenizer_path(), bits)
+        for _ in range(3):
+            for t in text_chunks(pa.array(texts), 4000):
+                flat, cut = ids.texts(t)
+                for i in range(len(t)):
+                    assert flat[cut[i]:cut[i + 1]].tolist() == tok.encode(
+                        t.raw(i).decode(), add_special_tokens=False).ids
+        assert len(ids.key) == len(ids.size) == len(ids.ids) == 1 << bits  # memory does not follow the vocabulary
 
 
 def test_packing_keeps_all_three_limits(spark):

@@ -9,7 +9,7 @@ the sentences that explain it.  ``offending_sentences`` returns where they stand
 * **Features** of a word (letters, A-Z in lower case, and all bytes beyond ASCII): its first 3 to 10 bytes, and the
   whole word, as 64-bit hashes.  Stems of inflected languages are found by their beginnings.
 * **Selection** (Spark): each document counts a feature once; of those in at least ``SUPPORT`` toxic documents and
-  relatively more frequent there, the ``FEATURES`` with the largest log-likelihood ratio are kept, if it is ``RATIO`` or
+  ``LIFT`` times as frequent there as in the others, the ``FEATURES`` with the largest log-likelihood ratio are kept, if it is ``RATIO`` or
   more (what chance alone gives one feature in 2,000).
 * **Fit**: bags hold the selected features only.  Labelled rows are a sample of at most ``SAMPLE`` documents (those with
   the smallest hash of the id), so one task fits them; this bound is a parameter and the same at every size.
@@ -38,10 +38,10 @@ from storelens.llm.common import (LOWER, ROLL1, Texts, batch, documents_of, i64,
 
 SAMPLE = 30_000
 FEATURES = 8192
-SUPPORT, RATIO = 3, 6.0
+SUPPORT, RATIO, LIFT = 3, 6.0, 4
 PREFIXES = range(3, 11)
 THRESHOLD = 0.7
-STEPS, RATE, SHRINK, BIAS = 400, 0.1, 3e-5, -4.0
+STEPS, RATE, SHRINK, BIAS = 200, 0.1, 3e-5, -4.0
 WHOLE = np.uint64(0xA5A5F00D5EED1234)
 TABLE_BITS = 20
 
@@ -175,7 +175,7 @@ def select_features(train: DataFrame, n_pos: int, n_neg: int, size: int = FEATUR
 
     ratio = (term(F.col("pos"), seen * (n_pos / n)) + term(F.col("neg"), seen * (n_neg / n))
              + term(n_pos - F.col("pos"), (n - seen) * (n_pos / n)) + term(n_neg - F.col("neg"), (n - seen) * (n_neg / n)))
-    best = (counts.where((F.col("pos") >= support) & (F.col("pos") * n_neg > F.col("neg") * n_pos) & (ratio >= least))
+    best = (counts.where((F.col("pos") >= support) & (F.col("pos") * n_neg > LIFT * F.col("neg") * n_pos) & (ratio >= least))
             .orderBy(F.desc(F.round(ratio, 9)), "feature").limit(size).select("feature"))
     return np.sort(np.array([r[0] for r in best.collect()], np.int64).view(np.uint64))
 

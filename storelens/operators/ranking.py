@@ -318,7 +318,7 @@ def pct_ranks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     No window spans the frame.  Equal values are counted first (map-side, so a
     value of a third of all rows is one row); the counts are dealt by ranges of
     the value and written once; a part's offset is the sum of the parts before
-    it (one row a part), and the ranks join back on the value.  A null value
+    it (one row a part), and the ranks, written too, join back on the value.  A null value
     has no rank.
     """
     names = list(values)
@@ -334,8 +334,9 @@ def pct_ranks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
                        F.sum("m").over(whole).alias("all")))
     inside = Window.partitionBy("which", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.lit(1)
-    ranks = (parts.join(F.broadcast(offsets), ["which", "part"])  # one row a part
-             .select("which", "v", ((first + (F.col("n") - F.lit(1)) / F.lit(2.0)) / F.col("all")).alias("pct")))
+    ranks = stored(parts.join(F.broadcast(offsets), ["which", "part"])  # one row a part
+                   .select("which", "v", ((first + (F.col("n") - F.lit(1)) / F.lit(2.0)) / F.col("all")).alias("pct")),
+                   "ranks")
     for i, name in enumerate(names):
         one = ranks.where(F.col("which") == i).select(F.col("v").alias(f"__k{i}"), F.col("pct").alias(name))
         df = df.join(one, F.col(f"__v{i}") == F.col(f"__k{i}"), "left").drop(f"__k{i}")

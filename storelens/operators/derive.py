@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import discount_band, ratio
-from storelens.operators.ranking import rank_buckets
+from storelens.operators.ranking import KeyHistogram, rank_buckets, rank_buckets_kept
 from storelens.schema import BASE_COLUMNS, DERIVED_COLUMNS, SALES_BAND_LABELS
 
 
-def sales_band(df: DataFrame, **kw):
+def sales_band(df: DataFrame, histogram: KeyHistogram | None = None, **kw):
     """Quartile label of the sales rank (ties broken by ``row_id``), as a Column.
 
     Computed over every row of ``df``; null sales get no band and do not count.
+    ``histogram``: the stored counts of (sales, row_id) of a stored table, which
+    spare the scans of files that they cover.
     """
-    q = rank_buckets(df, [F.col("sales"), F.col("row_id")], len(SALES_BAND_LABELS), **kw)
+    n = len(SALES_BAND_LABELS)
+    q = (rank_buckets(df, [F.col("sales"), F.col("row_id")], n, **kw) if histogram is None
+         else rank_buckets_kept(df, histogram, n))
     labels = F.array(*[F.lit(x) for x in SALES_BAND_LABELS])
     return F.when(q.isNull(), F.lit(None).cast("string")).otherwise(F.element_at(labels, q))
 

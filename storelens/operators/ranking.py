@@ -28,14 +28,18 @@ shrinks the candidate range by about ``fanout``.
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.session import path_exists
 from storelens.sources.sinks import stored
 
 FANOUT = 64
@@ -207,14 +211,20 @@ def search(keys: DataFrame, ranks: Callable[[list[int]], list[list[int]]], *, fa
     Returns the counts and, per ordering, rank -> key tuple.
     """
     names = keys.columns
-    types = [keys.schema[n].dataType for n in names]
     one = keys.agg(*[F.count(n).alias(n) for n in names]).first()
     sizes = [one[n] for n in names]
-    found: list[dict[int, tuple]] = [{} for _ in names]
     live: list[list[_Range]] = []
     for n, rs in zip(sizes, ranks(sizes)):
         rs = sorted({r for r in rs if 1 <= r <= n})
         live.append([_Range(None, None, n, [(r, r) for r in rs])] if rs else [])
+    return sizes, _narrow(keys, live, fanout, seed)
+
+
+def _narrow(keys: DataFrame, live: list[list[_Range]], fanout: int = FANOUT, seed: int = 42) -> list[dict[int, tuple]]:
+    """Rank -> key of every ordering, from candidate ranges on."""
+    names = keys.columns
+    types = [keys.schema[n].dataType for n in names]
+    found: list[dict[int, tuple]] = [{} for _ in names]
     current, owned, rounds = keys, None, 0
     try:
         while True:
@@ -242,7 +252,7 @@ def search(keys: DataFrame, ranks: Callable[[list[int]], list[list[int]]], *, fa
     finally:
         if owned is not None:
             owned.unpersist()
-    return sizes, found
+    return found
 
 
 def _next_ranges(i: int, ranges: list[_Range], counts: dict[tuple[int, int], int]) -> list[_Range]:
@@ -297,6 +307,15 @@ def rank_buckets(df: DataFrame, order_cols: list[Column], q: int = 4, **kw) -> C
     return rank_buckets_many(df, [order_cols], q, **kw)[0]
 
 
+def rank_buckets_kept(table: DataFrame, histogram: "KeyHistogram", q: int = 4) -> Column:
+    """:func:`rank_buckets` of a stored table by the key columns of its histogram."""
+    found = histogram.keys_at(table, lambda n: [(j * (n - 1)) // q + 1 for j in range(1, q)] if n else [])
+    cols = [F.col(c) for c in histogram.cols]
+    n = histogram.refresh(table)[2]
+    return bucket_of(cols, [found[(j * (n - 1)) // q + 1] for j in range(1, q)] if n else [],
+                     table.select(_key_struct(cols).alias("key")).schema["key"].dataType)
+
+
 def rank_buckets_many(df: DataFrame, orderings: list[list[Column]], q: int = 4, **kw) -> list[Column]:
     """:func:`rank_buckets` for several orderings of the same frame, in one search."""
     structs = [_key_struct(cols) for cols in orderings]
@@ -341,3 +360,96 @@ def pct_ranks(df: DataFrame, values: dict[str, Column]) -> DataFrame:
         one = ranks.where(F.col("which") == i).select(F.col("v").alias(f"__k{i}"), F.col("pct").alias(name))
         df = df.join(one, F.col(f"__v{i}") == F.col(f"__k{i}"), "left").drop(f"__k{i}")
     return df.drop(*[f"__v{i}" for i in range(len(names))])
+
+
+# ---------------------------------------------------------------- stored histograms of keys
+
+HISTOGRAM = "files array<string>, cuts string, counts string, n long"
+
+
+class KeyHistogram:
+    """Counts of a growing table's keys between fixed cuts, stored with the names of the files that they cover.
+
+    Histograms with the same cuts merge by addition.  After files were added, only those are read to bring the counts up
+    to date, and a wanted rank is then looked for among the rows between two cuts alone; the first column of the key
+    bounds that read.  Cuts come from the first files; if later ones fill one bucket, the search inside it goes on by
+    rounds, so the keys are exact whatever the growth.  Files may be added, not changed or removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order_cols: list[str], size: int = 256):
+        self.spark, self.path, self.cols, self.size = spark, path, list(order_cols), size
+
+    def _keys(self, df: DataFrame) -> DataFrame:
+        return df.select(F.when(F.col(self.cols[0]).isNotNull(), _key_struct([F.col(c) for c in self.cols])).alias("key"))
+
+    def _stored(self) -> tuple[list[str], list[tuple], dict[int, int], int] | None:
+        if not path_exists(self.spark, f"{self.path}/_SUCCESS"):
+            return None
+        r = self.spark.read.schema(HISTOGRAM).json(self.path).first()
+        return r["files"], json.loads(r["cuts"]), {int(k): v for k, v in json.loads(r["counts"]).items()}, r["n"]
+
+    def refresh(self, table: DataFrame) -> tuple[list[tuple], dict[int, int], int, list[str]]:
+        """(cuts, counts by bucket, rows, files that were read) of ``table``, a frame read from Parquet files."""
+        kept = self._stored()
+        files = sorted(table.inputFiles())
+        known, cuts, counts, n = kept or ([], None, {}, 0)
+        new = sorted(set(files) - set(known))
+        if set(known) - set(files):
+            raise ValueError("files that the histogram covers are gone")
+        if new:
+            # the reader of the whole table names the columns; partition columns are no part of a key
+            part = self.spark.read.schema(table.select(*self.cols).schema).parquet(*new)
+            keys = self._keys(part)
+            more = keys.agg(F.count("key")).first()[0]
+            types = [keys.schema["key"].dataType]
+            if cuts is None:
+                rng = _Range(None, None, max(1, more), [])
+                _sample_cuts(keys, ["key"], types, [[rng]], self.size, 42)
+                cuts = rng.cuts
+            else:
+                cuts = [_typed(c, types[0]) for c in cuts]
+            got = _count_buckets(keys, ["key"], types, [[_Range(None, None, more, [], cuts)]]) if cuts else {(0, 0): more}
+            for (_, b), c in got.items():
+                counts[b] = counts.get(b, 0) + c
+            n += more
+            line = json.dumps({"files": files, "cuts": json.dumps(cuts, default=str), "counts": json.dumps(counts), "n": n})
+            self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(self.path)
+        else:
+            cuts = [_typed(c, self._keys(table).schema["key"].dataType) for c in cuts or []]
+        return cuts, counts, n, new
+
+    def keys_at(self, table: DataFrame, ranks: Callable[[int], list[int]]) -> dict[int, tuple]:
+        """Rank -> key of ``table``'s rows with a first key column, in order of the key columns."""
+        cuts, counts, n, _ = self.refresh(table)
+        wanted = sorted({r for r in ranks(n) if 1 <= r <= n})
+        if not wanted:
+            return {}
+        whole = _Range(None, None, n, [(r, r) for r in wanted], cuts)
+        live = [_next_ranges(0, [whole], {(0, b): c for b, c in counts.items()})]
+        first = self.cols[0]
+        kind = table.schema[first].dataType
+        near = F.lit(False)
+        for rng in live[0]:  # plain bounds of the first column reach the scan
+            at = F.col(first).isNotNull()
+            if rng.lo is not None:
+                at = at & (F.col(first) >= _plain(rng.lo[0], kind))
+            if rng.hi is not None:
+                at = at & (F.col(first) <= _plain(rng.hi[0], kind))
+            near = near | at
+        return _narrow(self._keys(table.where(near)), live)[0]
+
+
+def _plain(v, kind: T.DataType) -> Column:
+    return F.expr(_sql_value(v, kind))
+
+
+def _typed(cut: list, key_type: T.StructType) -> tuple:
+    """A cut read from JSON, in the types of its key."""
+    out = []
+    for v, f in zip(cut, key_type.fields):
+        if v is not None and isinstance(f.dataType, T.DecimalType):
+            v = Decimal(str(v))
+        elif v is not None and isinstance(f.dataType, T.DateType) and isinstance(v, str):
+            v = dt.date.fromisoformat(v)
+        out.append(v)
+    return tuple(out)

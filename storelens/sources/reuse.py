@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from storelens.session import fresh_dir, path_exists, shared_dir
 
-VERSION = 1
+VERSION = 2
 
 
 def fingerprint(spark: SparkSession, paths: list[str], *params) -> str:

@@ -136,3 +136,63 @@ def test_search_runs_no_window(spark, monkeypatch):
     cols = ranking.rank_buckets_many(df, [[F.col("a"), F.col("id")], [F.col("b"), F.col("id")]], 4, fanout=8)
     plans.append(df.select(*cols)._jdf.queryExecution().toString())
     assert len(plans) > 4 and not any("Window" in p for p in plans)
+
+
+# ---------------------------------------------------------------- stored histograms
+
+def test_appended_files_narrow_the_search_at_once(spark, tmp_path):
+    from decimal import Decimal
+
+    from storelens.operators.ranking import KeyHistogram
+    rng = random.Random(8)
+    path = str(tmp_path / "lines")
+
+    def append(rows):
+        spark.createDataFrame(rows, "sales decimal(18,4), row_id string, other int").coalesce(2).write.mode("append").parquet(path)
+
+    def rows(n, at, lo, hi):
+        return [(None if rng.random() < 0.05 else Decimal(rng.randrange(lo, hi)) / 4, f"r{at + i:06d}", 1) for i in range(n)]
+
+    data = rows(3000, 0, 0, 400)
+    append(data)
+    ranks = lambda n: [1, n // 4, n // 2, 3 * n // 4, n]
+
+    def check(new_files):
+        table = spark.read.parquet(path)
+        hist = KeyHistogram(spark, str(tmp_path / "hist"), ["sales", "row_id"], size=64)
+        srt = sorted((s, r) for s, r, _ in data if s is not None)
+        before = hist._stored()
+        got = hist.keys_at(table, ranks)
+        assert got == {k: srt[k - 1] for k in ranks(len(srt)) if k >= 1}
+        after = hist._stored()
+        assert len(set(after[0]) - set(before[0] if before else [])) == new_files
+        assert after[3] == len(srt) and sum(after[2].values()) == len(srt)
+
+    check(2)
+    check(0)   # nothing new: no file is read for counts
+    more = rows(500, 5000, 100, 300)
+    data += more
+    append(more)
+    check(2)
+    skewed = [(Decimal(50), f"s{i:06d}", 1) for i in range(4000)] + rows(50, 20000, 10 ** 6, 10 ** 7)
+    data += skewed  # one value with most rows, and values beyond all cuts
+    append(skewed)
+    check(2)
+
+
+def test_histogram_of_an_empty_table(spark, tmp_path):
+    from storelens.operators.ranking import KeyHistogram
+    path = str(tmp_path / "none")
+    spark.createDataFrame([], "sales decimal(18,4), row_id string").write.parquet(path)
+    hist = KeyHistogram(spark, str(tmp_path / "h"), ["sales", "row_id"])
+    assert hist.keys_at(spark.read.parquet(path), lambda n: [1, n]) == {}
+
+
+def test_a_search_reads_only_the_candidate_range(spark, tmp_path):
+    from storelens.operators.ranking import KeyHistogram
+    path = str(tmp_path / "t")
+    spark.range(20000).selectExpr("cast(id as decimal(18,4)) as sales", "cast(id as string) as row_id").write.parquet(path)
+    hist = KeyHistogram(spark, str(tmp_path / "h"), ["sales", "row_id"])
+    cuts, counts, n, _ = hist.refresh(spark.read.parquet(path))
+    assert n == 20000 and max(counts.values()) < 500  # a wanted rank is looked for among these rows
+    assert float(hist.keys_at(spark.read.parquet(path), lambda n: [n // 2])[10000][0]) == 9999.0

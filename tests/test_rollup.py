@@ -170,3 +170,31 @@ def test_newest_rows_scan_the_last_partitions_only(spark):
     everything = ol.count()
     assert monitor.newest(ol, monitor._rows, everything + 1) is ol
     assert monitor.newest(ol, monitor._rows, everything).count() == everything
+
+
+# ---------------------------------------------------------------- clustered layout
+
+def scanned_rows(df):
+    """Rows that the file scan of an executed frame put out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_filters_skip_rows_of_a_clustered_file(spark, tmp_path):
+    from storelens.sources.loader import CLUSTERED
+    rows = spark.range(400_000).selectExpr(
+        *[f"concat('{c}', pmod(xxhash64(id, {i}), {n})) as {c}" for i, (c, n) in enumerate(zip(CLUSTERED, (5, 5, 10, 5, 5)))],
+        "id", "1995 + cast(id % 2 as int) as order_year")
+    path = str(tmp_path / "t")
+    (rows.coalesce(1).sortWithinPartitions("order_year", *CLUSTERED).write.option("parquet.page.row.count.limit", 2000)
+     .partitionBy("order_year").parquet(path))
+    table = spark.read.parquet(path)
+    one = table.where("order_year = 1995")
+    counts = [scanned_rows(one.select("id", *CLUSTERED))]
+    for c in CLUSTERED[:3]:
+        one = one.where(F.col(c) == f"{c}1")
+        counts.append(scanned_rows(one.select("id", *CLUSTERED)))
+    assert counts[0] == 200_000 and counts[1] < 0.3 * counts[0] and counts[2] < 0.5 * counts[1] and counts[3] <= counts[2]

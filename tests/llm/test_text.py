@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from data import SCHEMA, frame, pick, prose, rows
 
@@ -149,6 +150,28 @@ def test_pii_base_against_brute_force(spark):
     assert sum(w[1] for w in want) >= 10 and sum(w[3] for w in want) >= 1
 
 
+def test_long_runs_take_time_in_proportion():
+    import time
+    texts = {"a" * 1_000_000 + "@": 0, "1" * 1_000_000: 0, "0" * 5000 + ".1.2.3": 1, "1." * 200_000: 50_000,
+             "+1 " * 200_000: 0, "j@a.bc " * 20_000: 20_000, "x" * 1_000_000 + " joe@a.bc " + "y" * 1_000_000: 1}
+    for t, n in texts.items():
+        began = time.process_time()
+        spans = pii.base_spans(t)
+        pii.near_terms(t, spans)
+        assert len(spans) == n and time.process_time() - began < 5, t[:9]
+
+
+def test_linear_patterns_find_what_the_given_ones_find():
+    rng = random.Random(2)
+    email, ip = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+                                         r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"))
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab1@.@%+-_ ,é") for _ in range(rng.randrange(30)))
+        assert list(pii.emails(t)) == [m.span() for m in email.finditer(t)], t
+        t = "".join(rng.choice("0129...... a") for _ in range(rng.randrange(30)))
+        assert [m.span() for m in pii.IP.finditer(t)] == [m.span() for m in ip.finditer(t)], t
+
+
 def test_revealing_terms(spark):
     data = pii_rows()
     text = {i: t for i, t, *_ in data}
@@ -251,6 +274,30 @@ def test_random_tokens_are_found_and_patterned_ones_are_not(spark):
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
 
 
+def test_one_class_keys_are_found_and_identifiers_are_not(spark):
+    rng = random.Random(12)
+    keys = {f"{c}{k}": "".join(rng.choice(a) for _ in range(40)) for k in range(30)
+            for c, a in (("d", "0123456789"), ("l", "abcdefghijklmnopqrstuvwxyz"), ("u", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))}
+    syllables = ["tion", "the", "and", "ing", "er", "re", "on", "at", "ed", "ver", "lich", "keit", "ung"]
+    names = ["".join(rng.choice(syllables) for _ in range(14))[:44] for _ in range(300)]
+    names += ["_".join(rng.choice(syllables) for _ in range(9)) for _ in range(50)]
+    names += ["0" * 40, "20240101" * 5, "a" * 60, "abcdefghij" * 5, "DEFAULTCONFIGURATIONOFTHESERVERSETTINGS", "antidisestablishmentarianismus" * 2]
+    data = [(k, f"x {v} y") for k, v in enumerate([*keys.values(), *names])]
+    got = {r.doc_id: r.n_random for r in secret_scan.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[k] for k in range(len(keys))) >= 0.85 * len(keys)
+    assert sum(got[k] for k in range(len(keys), len(data))) <= 0.05 * len(names)
+
+
+def test_positions_in_texts_of_very_many_matches(spark):
+    token = "Ab3dEf6hIj9kLm2nOp5q"
+    text = " ".join([token] * 3000) + " password=hunter22 " + "AKIA" + "B" * 16 + " " + "0f" * 12
+    r = secret_scan.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = text.index("password")
+    spans = [s.split(":") for s in r.spans.split(",")]
+    assert ["assign", str(at), str(at + len("password=hunter22"))] in spans and (r.n_access, r.n_hex) == (1, 1)
+    assert all(text[int(a):int(b)] == token for k, a, b in spans if k == "random" and int(a) < at)
+
+
 def test_p_values_are_uniform_for_random_tokens(spark):
     rng = random.Random(11)
     tokens = [("".join(rng.choice("0123456789abcdef") for _ in range(48)),) for _ in range(800)]
@@ -275,10 +322,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_blocks():
-    assert html_text.blocks(PAGE) == ["Head & line", "One bold text more <tags> a < b", "Two lines", "un closed"]
-    assert html_text.blocks("") == [] and html_text.blocks("<p") == [] and html_text.blocks("a<br/>b") == ["a b"]
-    assert html_text.blocks("<div>x</div>y<p>z</div>") == ["x", "y", "z"]
-    assert html_text.blocks("<script>never closed <p>x") == []
+    def main_text(page):
+        found = html_text.blocks(page)
+        text = html_text.kept_text(found, np.zeros(sum(len(x.split(" ")) for _, x in found), bool))
+        return text.split("\n") if text else []
+    assert main_text(PAGE) == ["Head & line", "One bold text more <tags> a < b", "Two lines", "un closed"]
+    assert main_text("") == [] and main_text("<p") == [] and main_text("a<br/>b") == ["a b"]
+    assert main_text("<div>x</div>y<p>z</div>") == ["x", "y", "z"]
+    assert main_text("<script>never closed <p>x") == []
 
 
 def pages_of(spark, data):
@@ -340,6 +391,90 @@ def test_shared_strings_by_distinct_pages_and_length(spark):
     assert got == want
 
 
+CUES = [  # (page, its text)
+    ('<div class="content no-sidebar"><p>all the text</p></div>', "all the text"),
+    ('<div class="post has-comments"><p>all the text</p></div>', "all the text"),
+    ('<body class="with-sidebar comment-page"><p>all the text</p></body>', "all the text"),
+    ('<main><p>post</p><article class="comment">a reader</article></main>', "post"),
+    ('<main><article class="post"><p>post</p></article></main>', "post"),
+    ('<article><header class="entry-header"><h1>head</h1></header><p>post</p><div id="comments">a reader</div></article>',
+     "head\npost"),
+    ('<div class="header">site name</div><p>the longer text of it</p>', "the longer text of it"),
+    ('<div class="site-header">site name</div><p>the longer text of it</p>', "the longer text of it"),
+    ('<div class="ad-box">buy</div><div class="comment-list">a reader</div><div id="cookie-notice">we</div><p>long text here</p>',
+     "long text here"),
+    ('<div class="left-sidebar">links</div><div class="sidebar-2">more</div><p>the text itself</p>', "the text itself"),
+    ('<div class="widget">short</div><div class="promo"><p>this block holds most of the whole page</p></div>',
+     "this block holds most of the whole page"),
+    ('<div role="navigation">a b</div><section>text</section>', "text"),
+    ('<p>shown</p><p style="display: none">not</p><p hidden>nor</p>', "shown"),
+    ('<article>one</article><p>outside</p><article>two</article>', "one\ntwo"),
+]
+
+
+def test_cues(spark):
+    got = {r.page_id: r.text for r in html_text.extract(pages_of(
+        spark, [(k, f"http://h{k}", p) for k, (p, _) in enumerate(CUES)])).collect()}
+    assert got == {k: t for k, (_, t) in enumerate(CUES)}
+
+
+def test_nothing_is_removed_from_a_marked_article(spark):
+    rng = random.Random(16)
+    own = lambda n: " ".join(prose(rng, n).split())
+    shared = own(30)
+    data = [(k, "http://one.example.org/", f"<nav>{shared}</nav><article><h1>{shared}</h1><p>{own(40)}</p></article>"
+             f"<footer>{shared}</footer>") for k in range(12)]
+    # a notice that most pages mark as a frame is known on the pages that don't
+    notice = own(20)
+    data += [(100 + k, "http://two.example.org/", f'<div class="notice">{notice}</div><p>{own(60)}</p>') for k in range(4)]
+    text = own(60)
+    data.append((110, "http://two.example.org/", f"<p>{notice}</p><p>{text}</p>"))
+    got = {r.page_id: r for r in html_text.extract(pages_of(spark, data)).collect()}
+    for k in range(12):
+        head, body = data[k][2].split("<h1>")[1].split("</h1><p>")
+        assert got[k].text == f"{head}\n{body.split('</p>')[0]}"
+        assert got[k].n_boilerplate == 2 * len(shared.split())
+    assert got[110].text == text
+
+
+def test_host_strings_against_all_substrings(spark):
+    """Tokens covered by any string of 8 or more tokens on 4 or more different pages of a host, by trying them all."""
+    rng = random.Random(17)
+    vocabulary = [f"w{k}" for k in range(6)]
+    pages = []
+    for host in range(3):
+        strings = [[rng.choice(vocabulary) for _ in range(rng.randrange(6, 14))] for _ in range(4)]
+        for _ in range(9):
+            t = [rng.choice(vocabulary) for _ in range(rng.randrange(12))]
+            for s_ in strings:
+                if rng.random() < 0.5:
+                    t += s_ + [rng.choice(vocabulary) for _ in range(rng.randrange(4))]
+            cut = rng.randrange(len(t) + 1)
+            pages.append((host, [x for x in (t[:cut], t[cut:]) if x]))
+    pages += [pages[3]] * 5  # copies
+    data = [(k, f"http://h{h}/", "".join(f"<p>{' '.join(x)}</p>" for x in b)) for k, (h, b) in enumerate(pages)]
+    want = {}
+    for k, (h, b) in enumerate(pages):
+        mine = [x for p in b for x in p]
+        others = {tuple(map(tuple, q)) for g, q in pages if g == h}
+        streams = [[x for p in q for x in p] for q in others]
+        gone = [False] * len(mine)
+        for i in range(len(mine)):
+            for j in range(i + 8, len(mine) + 1):
+                on = sum(any(o[a:a + j - i] == mine[i:j] for a in range(len(o))) for o in streams)
+                if on < 4:
+                    break
+                gone[i:j] = [True] * (j - i)
+        left, at = [], 0
+        for p in b:
+            part = [x for x, g in zip(p, gone[at:at + len(p)]) if not g]
+            at += len(p)
+            left += [" ".join(part)] if part else []
+        want[k] = ("\n".join(left), sum(gone))
+    got = {r.page_id: (r.text, r.n_boilerplate) for r in html_text.extract(pages_of(spark, data)).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 100
+
+
 def test_page_edge_cases(spark):
     data = [(1, None, None), (1, None, None), (None, "x", "<p>é&#233;&eacute;</p>"), (2, "http://h", ""),
             (3, "http://h", "<nav>only</nav>"), (4, "http://h", "word " * 50_000)]

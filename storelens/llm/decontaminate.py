@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import (Texts, covered, doc_key, expand, i64, runs, small_batches, stored, text_chunks, word_hashes,
-                                  words)
+from storelens.llm.common import (Texts, covered, doc_key, expand, free_names, i64, runs, small_batches, stored,
+                                  text_chunks, word_hashes, words)
 
 WINDOW, SLOP = 10, 2
 SHARD_BYTES = 2 << 20
@@ -283,7 +283,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents without any benchmark window, with all their columns.  A row is known by id and text, so rows
     that share an id, or have none, are judged apart."""
     id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
+    i, r = free_names(docs, "__bad", "__row")
     bad = judged(docs, benchmark, **kw).where("contaminated").select(
-        F.col("doc_id").alias("__bad"), F.col("row").alias("__row")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad"))
-                     & (row_of(docs, id_col, text_col) == F.col("__row")), "left_anti")
+        F.col("doc_id").alias(i), F.col("row").alias(r)).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col(i))
+                     & (row_of(docs, id_col, text_col) == F.col(r)), "left_anti")

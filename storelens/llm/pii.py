@@ -15,7 +15,9 @@ only up to ``BROADCAST_TERMS``, else every word is counted.  Revealing terms are
 a second pass over the texts maps; texts are never joined.
 
 Defined cases: null text = empty; null ids keep their rows; equal rows get equal results; documents without an entity
-get no ``term`` span; an empty table gives no rows.  Extra columns are not read.
+get no ``term`` span; an empty table gives no rows.  Extra columns, whatever their names, are not read (``sanitise``
+passes them on).  Very long texts are read whole, in time that follows their length, whatever runs of letters or digits
+they hold.  Spans of one start come in the order of their kinds.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ BROADCAST_TERMS = 500_000  # 4 MB
 KINDS = ("email", "ip", "card", "phone")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-# the given patterns
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# the given patterns, in forms that take time in proportion to the text: an address is found from its @ (its local part
+# is what can stand before it), and a chain of numbers is tried where a run of digits begins
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LONG_DIGITS = re.compile(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]")
@@ -61,16 +65,37 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost, without overlaps."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        if at >= end:
+            start = at
+            while start > end and text[start - 1] in LOCAL:
+                start -= 1
+            m = DOMAIN.match(text, at + 1) if start < at else None
+            if m is not None:
+                end = m.end()
+                yield start, end
+        at = text.find("@", at + 1)
+
+
+def is_byte(number: str) -> bool:
+    """Whether a run of digits, leading zeros included, is at most 255."""
+    number = number.lstrip("0")
+    return len(number) <= 3 and int(number or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind number, end, value), sorted; cheap necessary conditions come first."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end(), m.group().lower()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b, text[a:b].lower()) for a, b in emails(text)]
     if DIGIT.search(text):
         if "." in text:
             for m in IP.finditer(text):
-                parts = m.group().split(".")
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+                if all(map(is_byte, m.group().split("."))):
                     out.append((m.start(), 1, m.end(), m.group()))
         if LONG_DIGITS.search(text):
             for m in CARD.finditer(text):
@@ -96,27 +121,65 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+class Covered:
+    """Whether a range of a text meets any of its spans."""
+
+    def __init__(self, spans: list[tuple[int, int, int, str]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, _, e, _ in spans:  # sorted by start
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+
+def pieces(text: str, covered: Covered) -> tuple[list[int], list[int], list[bool]]:
+    """(starts, ends, whether it is a span) of the words of a text, cut where spans begin and end; the spans between
+    them count as one each."""
+    starts, ends, is_span = [], [], []
+    k, n = 0, len(covered.starts)
+
+    def add(a: int, b: int, span: bool) -> None:
+        starts.append(a)
+        ends.append(b)
+        is_span.append(span)
+
+    for m in WORD.finditer(text):
+        at, end = m.span()
+        while at < end:
+            while k < n and covered.ends[k] <= at:
+                k += 1
+            if k == n or covered.starts[k] >= end:
+                add(at, end, False)
+                break
+            if covered.starts[k] > at:
+                add(at, covered.starts[k], False)
+            if not starts or starts[-1] != covered.starts[k]:
+                add(covered.starts[k], covered.ends[k], True)
+            at = covered.ends[k]
+    return starts, ends, is_span
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, int, int, int]]:
     """(entity, term, word, start, end, surroundings) of the terms within ``REACH`` words of each base span."""
     out = []
+    starts, ends, is_span = pieces(text, Covered(spans))
     for start, _, end, value in spans:
-        before, after = [], []
-        at = max(0, start - 40 * REACH)
-        while True:  # the REACH words before the span, however long they are
-            got = [m.span() for m in WORD.finditer(text, at, start)]
-            if at == 0 or len(got) > REACH:
-                break
-            at = max(0, at - 400 * REACH)
-        before = got[-REACH:]
-        for m in WORD.finditer(text, end):
-            after.append(m.span())
-            if len(after) == REACH:
-                break
+        before = range(max(0, (i := bisect.bisect_right(ends, start)) - REACH), i)
+        after = range(j := bisect.bisect_left(starts, end), min(len(starts), j + REACH))
+        near = [*before, *after]
         entity = signed(xxhash.xxh64_intdigest(value))
-        around = signed(xxhash.xxh64_intdigest(" ".join(text[a:b] for a, b in before + after)))
-        for a, b in before + after:
-            if any(a < e and s < b for s, _, e, _ in spans):
+        around = signed(xxhash.xxh64_intdigest(" ".join(text[starts[x]:ends[x]] for x in near)))
+        for x in near:
+            if is_span[x]:
                 continue
+            a, b = starts[x], ends[x]
             term, cut = term_of(text[a:b])
             if len(term) >= MIN_LETTERS and not term.isdigit():
                 out.append((entity, signed(xxhash.xxh64_intdigest(term)), a + cut, a + cut + len(term), around))
@@ -234,10 +297,10 @@ def terms_in(text: str, spans: list[tuple[int, int, int, str]], files: list[tupl
             lo, hi = np.searchsorted(a["entity"], entity, "left"), np.searchsorted(a["entity"], entity, "right")
             wanted.update(a["term"][lo:hi].tolist())
     out = []
+    covered = Covered(spans)
     for m in WORD.finditer(text) if wanted else ():
         term, cut = term_of(m.group())
-        if signed(xxhash.xxh64_intdigest(term)) in wanted and not any(
-                m.start() < e and b < m.end() for b, _, e, _ in spans):
+        if signed(xxhash.xxh64_intdigest(term)) in wanted and not covered.meets(m.start(), m.end()):
             out.append((m.start() + cut, m.start() + cut + len(term)))
     return out
 
@@ -282,18 +345,35 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "cuts"])
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))
+
+
+def revealing_files(rows: DataFrame, threshold: float, support: int) -> list[tuple[int, str]]:
+    found = stored(rows.mapInArrow(scan, FOUND), "pii")
+    return saved(revealing(rows, found, threshold, support))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
          support: int = SUPPORT) -> DataFrame:
     """One row per document: counts of the base kinds, base_sha256, spans, n_term, cuts (all spans), row."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                       F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))
-    found = stored(rows.mapInArrow(scan, FOUND), "pii")
-    files = saved(revealing(rows, found, threshold, support))
+    rows = rows_of(docs, id_col, text_col)
+    files = revealing_files(rows, threshold, support)
     return rows.mapInArrow(lambda it: summarise(marked(it, files)), SPANS)
 
 
+def cleaned(text: str, files: list[tuple[int, str]]) -> str:
+    spans = base_spans(text)
+    if not spans:
+        return text
+    kinds = (*KINDS, "term")
+    cuts = [(s, k, e) for s, k, e, _ in spans] + [(s, len(KINDS), e) for s, e in terms_in(text, spans, files)]
+    return sanitised(text, [{"start": s, "end": e, "kind": kinds[k]} for s, k, e in sorted(cuts)])
+
+
 def sanitised(text: str, cuts: list[dict]) -> str:
     """The text with each span replaced by its kind; of overlapping spans the first names the kind."""
     out, at = [], 0
@@ -307,27 +387,26 @@ def sanitised(text: str, cuts: list[dict]) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
-             **kw) -> DataFrame:
-    """The documents with every span replaced, and ``length_col``, if there, brought up to date."""
-    got = find(docs, id_col, text_col, **kw).where(F.size("cuts") > 0).select(
-        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("cuts").alias("__cuts")) \
-        .dropDuplicates(["__id", "__row"])
-    row = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    joined = docs.join(got, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (row == F.col("__row")), "left")
-
-    @F.pandas_udf("string")
-    def clean(text, cuts):
-        return text.combine(cuts, lambda t, c: t if c is None or t is None else sanitised(t, list(c)))
-
-    new = clean(docs[text_col], F.col("__cuts"))
-    joined = joined.withColumn("__text", new)
-    changed = F.col("__cuts").isNotNull()
-    cols = []
-    for c in docs.columns:
-        if c == text_col:
-            cols.append(F.col("__text").alias(c))
-        elif c == length_col:
-            cols.append(F.when(changed, F.length("__text").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
-        else:
-            cols.append(docs[c])
-    return joined.select(*cols)
+             threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """The documents with every span replaced, and ``length_col``, if there, brought up to date where a text changed.
+
+    One pass rewrites the texts where it finds the spans: nothing is joined, and other columns pass as they are.
+    """
+    small_batches(docs.sparkSession)
+    files = revealing_files(rows_of(docs, id_col, text_col), threshold, support)
+    text_at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(b.columns)
+            texts = cols[text_at].to_pylist()
+            new = [t if t is None else cleaned(t, files) for t in texts]
+            cols[text_at] = pa.array(new, cols[text_at].type)
+            if length_at is not None:
+                old = cols[length_at].to_pylist()
+                cols[length_at] = pa.array([n if x == y else len(y) for n, x, y in zip(old, texts, new)],
+                                           cols[length_at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+
+    return docs.mapInArrow(rewrite, docs.schema)

@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm import arrays
-from storelens.llm.common import ROLL1, SPACE, Texts, covered, i64, mix, runs, small_batches, stored, text_chunks, word_hashes, words
+from storelens.llm.common import (ROLL1, SPACE, Texts, covered, free_names, i64, mix, runs, small_batches, stored,
+                                  text_chunks, word_hashes, words)
 from storelens.session import fresh_dir
 
 ORDER = 4
@@ -305,11 +306,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The documents that pass, with all their columns; rows equal in id, text and language share a verdict."""
+    i, r, of = free_names(docs, "__id", "__row", "__lang")
     keep = judge(docs, id_col, text_col, **kw).where("kept").select(
-        F.col("row").alias("__row"), F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    same = (F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")) == F.col("__row")) \
-        & docs[id_col].cast("long").eqNullSafe(F.col("__id"))
+        F.col("row").alias(r), F.col("doc_id").alias(i), F.col("lang").alias(of)).distinct()
+    same = (F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string")) == F.col(r)) \
+        & docs[id_col].cast("long").eqNullSafe(F.col(i))
     lang_col = kw.get("lang_col", "lang")
     if lang_col and lang_col in docs.columns:
-        same = same & docs[lang_col].cast("string").eqNullSafe(F.col("__lang"))
+        same = same & docs[lang_col].cast("string").eqNullSafe(F.col(of))
     return docs.join(keep, same, "left_semi")

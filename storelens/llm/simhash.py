@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import LOWER, Texts, expand, i64, runs, small_batches, stored, text_chunks, words
+from storelens.llm.common import (LOWER, Texts, expand, free_names, i64, runs, small_batches, stored, text_chunks,
+                                  words)
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 HOT = 2000
@@ -227,7 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """One document of each component, the one that names it, with all its columns; of equal rows one stays."""
     got = near_duplicates(docs, id_col, text_col, **kw)
-    heads = got.where("kept").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    i, r = free_names(docs, "__id", "__row")
+    heads = got.where("kept").select(F.col("doc_id").alias(i), F.col("row").alias(r)).distinct()
     row = F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
-    kept = docs.join(heads, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (row == F.col("__row")))
-    return kept.dropDuplicates(["__id", "__row"]).select(*(docs[c] for c in docs.columns))
+    kept = docs.join(heads, docs[id_col].cast("long").eqNullSafe(F.col(i)) & (row == F.col(r)))
+    return kept.dropDuplicates([i, r]).select(*(docs[c] for c in docs.columns))

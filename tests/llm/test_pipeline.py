@@ -3,7 +3,8 @@ import os
 import re
 
 import pytest
-from data import SCHEMA, frame, rows
+from data import EXTRA, SCHEMA, frame, rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from storelens.llm import decontaminate, packing, pii, quality_rules, simhash
@@ -11,6 +12,7 @@ from storelens.llm.queries import QUERIES
 from storelens.llm.tokenizer import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
+SCHEMA_EXTRA = [c.split()[0] for c in EXTRA.split(", ")]
 
 
 @pytest.fixture
@@ -51,6 +53,21 @@ def test_stages_keep_the_documents_columns_and_take_effect(spark, folder):
     assert total(corpus_pipeline.run(spark, folder)) == total(five)
 
 
+def test_stages_take_columns_with_the_names_they_use(spark, folder):
+    names = ("__id", "__row", "__bad", "__lang", "__cuts", "__text", "row", "kept", "text_", "__ID_")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop(*SCHEMA_EXTRA)
+    plain = docs
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, docs, folder), stage(spark, plain, folder)
+        if name != "packing":
+            assert got.columns == docs.columns
+            assert all(r[c] == k for r in got.collect() for k, c in enumerate(names))
+        key = lambda d: sorted((repr(r.doc_id), repr(r.text)) for r in d.collect())
+        assert name == "packing" or key(got) == key(want)
+
+
 def test_pipeline_on_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

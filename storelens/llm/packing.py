@@ -32,7 +32,7 @@ from storelens.llm.common import (SPACE, Texts, documents_of, expand, release, s
 
 SEQUENCE, SEGMENTS, END_ID = 2048, 256, 1
 BLOCK_TOKENS = 1 << 20
-SLOT_BITS, WIDE = 21, 8  # 52 MB, held by every worker
+SLOT_BITS, WIDE = 19, 8  # 13 MB, held by every worker
 ENCODED_BYTES = 1 << 20
 SEPARATOR = "<|endoftext|>"
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "

@@ -4,15 +4,18 @@ Base spans come from three patterns.  ``split`` gives the text between the match
 matches, so running lengths are the positions.
 
 Every other run of 20 or more key characters is a candidate with an inferred encoding (hex, base32, base62, base64),
-unless it is plain letters of one case or plain digits.  Three tests ask whether its symbols look drawn at random from
+or, for tokens of one class of characters alone, digits (base10) and letters of one case (base26) from ``ONE_CLASS``
+symbols on, where the tests tell a word from a key.  Three tests ask whether its symbols look drawn at random from
 that alphabet: chi-squared uniformity, runs above and below the middle of the alphabet, and correlation of neighbours.
 Their p-values are combined (Fisher).  A token that is not random is found out by a small p-value; the Benjamini-
 Hochberg procedure at rate ``FDR`` decides how small, separately for each encoding and length class, as the tests'
-power grows with length.  Candidates that are not rejected are secrets.  The procedure needs only counts of p-values
+power grows with length.  Candidates that are not rejected are secrets: the rate bounds the keys that are wrongly taken
+for patterned tokens, not the patterned tokens that pass.  The procedure needs only counts of p-values
 by class, so no p-value list is ever sorted in one place.
 
 Defined cases: null text = empty; null ids keep their rows; equal rows get equal results; an empty table gives no
-rows.  Extra columns are not read.
+rows.  Extra columns, whatever their names, are not read.  Very long texts are read whole; positions are added up in
+blocks, so time follows the number of matches.  Spans of one start come in the order of their kinds.
 """
 
 from __future__ import annotations
@@ -24,15 +27,20 @@ from storelens.llm.common import stored
 
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.05
+BLOCK = 256  # matches whose positions are added up at a time
+ONE_CLASS = 32  # symbols that a token of digits or of letters of one case alone must have
 BINS = 100  # classes of -log10 p to a decade
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 
 # the given patterns; letters of the first one's key words in either case
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# shorter matches of these two are dropped: a run of the least length gives the same spans and fewer matches
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 
 ALPHABETS = {  # fixed values
+    "base10": "0123456789",
+    "base26": "abcdefghijklmnopqrstuvwxyz",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
@@ -54,7 +62,16 @@ def located(text: Column, pattern: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], one).alias("out"))
 
-    run = F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    # positions within a block count from its start; appending copies an array, so blocks are short
+    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")),
+                         lambda k: F.aggregate(F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)), zero, step))
+    starts = F.aggregate(
+        blocks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, k: F.struct((acc["at"] + k["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")),
+        lambda acc: acc["out"])
+    run = F.flatten(F.zip_with(blocks, starts, lambda k, at: F.transform(k["out"], lambda m: F.struct(
+        (m["start"] + at).alias("start"), (m["end"] + at).alias("end"), m["token"].alias("token")))))
     return F.when(F.size(found) > 0, run).otherwise(empty)
 
 
@@ -103,14 +120,17 @@ def tested(tokens: DataFrame) -> DataFrame:
     tok = F.regexp_replace("token", "^[-=_/+]+|[-=_/+]+$", "")
     df = tokens.withColumn("core", tok).where(F.length("core") >= 20)
     has = lambda p: F.col("core").rlike(p)
-    encoding = (F.when(has("^[0-9]+$") | has("^[a-z_-]+$") | has("^[A-Z_-]+$") | has("^[A-Z]?[a-z]+$"), None)
+    only = lambda c: has(f"^{c}{{{ONE_CLASS},}}$")
+    encoding = (F.when(only("[0-9]"), "base10").when(only("[a-z]"), "base26").when(only("[A-Z]"), "BASE26")
+                .when(has("^[0-9]+$") | has("^[a-z_-]+$") | has("^[A-Z_-]+$") | has("^[A-Z]?[a-z]+$"), None)
                 .when(has("^[0-9a-f]+$"), "hex").when(has("^[0-9A-F]+$"), "HEX")
                 .when(has("^[A-Z2-7]+$"), "base32").when(has("^[0-9a-z]+$"), "base36")
                 .when(has("^[0-9A-Za-z]+$"), "base62").otherwise("base64"))
     df = df.withColumn("encoding", encoding).where("encoding is not null")
-    plain = F.when(F.col("encoding") == "HEX", F.lower("core")).when(
+    plain = F.when(F.col("encoding").isin("HEX", "BASE26"), F.lower("core")).when(
         F.col("encoding") == "base64", F.translate("core", "-_=", "+/")).otherwise(F.col("core"))
-    alphabet = F.when(F.col("encoding") == "HEX", F.lit(ALPHABETS["hex"]))
+    alphabet = F.when(F.col("encoding") == "HEX", F.lit(ALPHABETS["hex"])).when(
+        F.col("encoding") == "BASE26", F.lit(ALPHABETS["base26"]))
     for k, v in ALPHABETS.items():
         alphabet = alphabet.when(F.col("encoding") == k, F.lit(v))
     df = df.withColumn("plain", plain).withColumn("alphabet", alphabet)

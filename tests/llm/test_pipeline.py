@@ -81,7 +81,10 @@ def test_registered_queries_have_the_contracts_columns(spark):
         "op4": "doc_id n_bytes n_removed n_spans kept_sha256", "op5": "doc_id fingerprint component_id",
         "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op7": "doc_id n_assign n_access n_hex "
         "base_sha256 spans", "op8": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
-        "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "page_id url text n_chars"}
+        "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "page_id url text n_chars",
+        "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+        "op12": "anchor_id positive_id rank negative_id positive_score negative_score",
+        "op13": "doc_id held_out score predicted"}
     for name, query in QUERIES.items():
         if name != "pipeline":
             got = query(spark, SF)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.exprs import mean
-from storelens.session import fresh_dir
+from storelens.session import fresh_dir, shuffles_for
 from storelens.sources.sinks import stored
 
 CUSTOMER_KEYS = ["customer_id", "customer_name", "segment", "state", "region", "order_month", "order_month_ts"]
@@ -146,16 +146,17 @@ def _rolled(ol: DataFrame, keys: list[str], levels: dict[str, list[str]]) -> Dat
 def write(ol: DataFrame, path: str) -> None:
     """Writes the three tables under ``path``."""
     spark = ol.sparkSession
-    _rolled(ol, CUSTOMER_KEYS, CUSTOMER_LEVELS).write.parquet(f"{path}/customers")
-    _rolled(ol, PRODUCT_KEYS, PRODUCT_LEVELS).write.parquet(f"{path}/products")
-    customers = spark.read.parquet(f"{path}/customers")
-    # written once: numbers stay as they are; they are dense within each part of the table
-    numbers = stored(customers.where("customer_id IS NOT NULL").select("customer_id").distinct()
-                     .withColumn("number", F.monotonically_increasing_id()), "rollup-numbers")
-    bits = (customers.select("customer_id", "order_month").join(numbers, "customer_id")
-            .groupBy("order_month", F.bitmap_bucket_number("number").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
-    bits.write.parquet(f"{path}/months")
+    with shuffles_for(spark, ol.count()):
+        _rolled(ol, CUSTOMER_KEYS, CUSTOMER_LEVELS).write.parquet(f"{path}/customers")
+        _rolled(ol, PRODUCT_KEYS, PRODUCT_LEVELS).write.parquet(f"{path}/products")
+        customers = spark.read.parquet(f"{path}/customers")
+        # written once: numbers stay as they are; they are dense within each part of the table
+        numbers = stored(customers.where("customer_id IS NOT NULL").select("customer_id").distinct()
+                         .withColumn("number", F.monotonically_increasing_id()), "rollup-numbers")
+        bits = (customers.select("customer_id", "order_month").join(numbers, "customer_id")
+                .groupBy("order_month", F.bitmap_bucket_number("number").alias("bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
+        bits.write.parquet(f"{path}/months")
 
 
 def read(spark: SparkSession, path: str) -> Rollup:

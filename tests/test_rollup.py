@@ -198,3 +198,22 @@ def test_filters_skip_rows_of_a_clustered_file(spark, tmp_path):
         one = one.where(F.col(c) == f"{c}1")
         counts.append(scanned_rows(one.select("id", *CLUSTERED)))
     assert counts[0] == 200_000 and counts[1] < 0.3 * counts[0] and counts[2] < 0.5 * counts[1] and counts[3] <= counts[2]
+
+
+def test_shuffle_partitions_follow_the_rows_while_tables_are_written(spark, monkeypatch, tmp_path):
+    from storelens import session
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    real = rollup._rolled
+    monkeypatch.setattr(rollup, "_rolled", lambda ol, *a: (
+        seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))), real(ol, *a))[1])
+    monkeypatch.setattr(session, "PARTITION_ROWS", 10)
+    ol = messy_lines(spark, 300).persist()
+    rollup.write(ol, str(tmp_path / "r"))
+    assert seen == [30, 30] and spark.conf.get("spark.sql.shuffle.partitions") == was
+    r = rollup.read(spark, str(tmp_path / "r"))
+    same(summaries.monthly_summary(r), summaries.monthly_summary(ol))
+    with pytest.raises(RuntimeError), session.shuffles_for(spark, 1000):
+        raise RuntimeError
+    assert spark.conf.get("spark.sql.shuffle.partitions") == was
+    ol.unpersist()

@@ -39,6 +39,7 @@ CUSTOMER_LEVELS = {
     "named_customer": ["customer_id", "customer_name"],
 }
 PRODUCT_LEVELS = {"category": ["category"], "product": ["category", "sub_category"]}
+MERGED_BYTES = "4m"  # the rows dealt here are narrow: 16 MB of them would sort in 700 MB
 
 
 def total(c: str) -> Column:
@@ -125,30 +126,48 @@ def _merged(levels: dict) -> list[Column]:
             + [F.sum(f"orders_{n}").alias(f"orders_{n}") for n in levels])
 
 
-def _rolled(ol: DataFrame, keys: list[str], levels: dict[str, list[str]]) -> DataFrame:
+def _counted(keys: list[str], levels: dict[str, list[str]]) -> list[Column]:
+    """For each level, 1 in one row of each order and value of the level's keys, else 0."""
+    out = []
+    for name, level in levels.items():
+        rest = [k for k in keys if k not in level]
+        place = F.row_number().over(Window.partitionBy("order_id", *level).orderBy(*(rest or [F.lit(1)])))
+        out.append((place == 1).cast("int").alias(f"orders_{name}"))
+    return out
+
+
+def _rolled(ol: DataFrame, keys: list[str], levels: dict[str, list[str]], apart: bool = False) -> DataFrame:
     """Lines to (order, keys), where one row of each order and level is counted, then to the keys.
 
     Map-side aggregation comes before every shuffle, so a very large order is a few rows by then; lines without an order
     id count for no order and are not dealt by it.
+
+    ``apart``: the measures are added up by the keys at once, and only the order ids with their keys are dealt by order.
+    That moves less where the keys have few values and an order has a line for most of its own (products); a very large
+    order's ids then meet in one task, which keeps one row for each value of the keys.
     """
-    by_order = ol.groupBy("order_id", *keys).agg(*_measures())
+    narrow = [k for k in keys if k != "order_month"]  # the text of order_month_ts
+    counted = _counted(narrow, {n: [k for k in level if k in narrow] for n, level in levels.items()})
     none = [F.lit(0).alias(f"orders_{name}") for name in levels]
-    counted = []
-    for name, level in levels.items():
-        rest = [k for k in keys if k not in level]
-        place = F.row_number().over(Window.partitionBy("order_id", *level).orderBy(*(rest or [F.lit(1)])))
-        counted.append((place == 1).cast("int").alias(f"orders_{name}"))
-    known = by_order.where("order_id IS NOT NULL").repartition("order_id").select("*", *counted)
-    loose = by_order.where("order_id IS NULL").select("*", *none)
-    return known.unionByName(loose).groupBy(*keys).agg(*_merged(levels))
+    if apart:
+        parts = (ol.groupBy(*narrow).agg(*_measures()).select("*", *none),
+                 ol.where("order_id IS NOT NULL").select("order_id", *narrow).repartition("order_id").distinct()
+                 .select(*narrow, *counted))
+    else:
+        by_order = ol.groupBy("order_id", *narrow).agg(*_measures())
+        parts = (by_order.where("order_id IS NULL").select("*", *none),
+                 by_order.where("order_id IS NOT NULL").repartition("order_id").select("*", *counted))
+    merged = parts[0].unionByName(parts[1], allowMissingColumns=True).groupBy(*narrow).agg(*_merged(levels))
+    month = F.date_format("order_month_ts", "yyyy-MM").alias("order_month")
+    return merged.select(*[month if k == "order_month" else k for k in keys], *merged.columns[len(narrow):])
 
 
 def write(ol: DataFrame, path: str) -> None:
     """Writes the three tables under ``path``."""
     spark = ol.sparkSession
-    with shuffles_for(spark, ol.count()):
+    with shuffles_for(spark, ol.count(), MERGED_BYTES):
         _rolled(ol, CUSTOMER_KEYS, CUSTOMER_LEVELS).write.parquet(f"{path}/customers")
-        _rolled(ol, PRODUCT_KEYS, PRODUCT_LEVELS).write.parquet(f"{path}/products")
+        _rolled(ol, PRODUCT_KEYS, PRODUCT_LEVELS, True).write.parquet(f"{path}/products")
         customers = spark.read.parquet(f"{path}/customers")
         # written once: numbers stay as they are; they are dense within each part of the table
         numbers = stored(customers.where("customer_id IS NOT NULL").select("customer_id").distinct()

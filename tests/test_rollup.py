@@ -217,3 +217,52 @@ def test_shuffle_partitions_follow_the_rows_while_tables_are_written(spark, monk
         raise RuntimeError
     assert spark.conf.get("spark.sql.shuffle.partitions") == was
     ol.unpersist()
+
+
+# ---------------------------------------------------------------- what is moved
+
+def dealt(df):
+    """What the frame's explicit repartitions move, as the optimized plan states it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [plan[i + 1] for i, x in enumerate(plan) if "RepartitionByExpression" in x]
+
+
+def test_products_are_added_up_without_dealing_their_measures_by_order(spark):
+    ol = messy_lines(spark)
+    args = (rollup.PRODUCT_KEYS, rollup.PRODUCT_LEVELS)
+    a, b = rollup._rolled(ol, *args, True), rollup._rolled(ol, *args)
+    same(a, b)
+    assert a.columns == b.columns and a.columns[:4] == rollup.PRODUCT_KEYS
+    moved, = dealt(a)
+    assert "order_id" in moved and "sales" not in moved and "profit" not in moved
+    rolled = rollup.build(ol)
+    plan = rolled.products.groupBy().agg(F.sum("orders_product"), F.sum("orders_category")).first()
+    assert plan[0] == ol.where("order_id IS NOT NULL").select("order_id", "category", "sub_category").distinct().count()
+    assert plan[1] == ol.where("order_id IS NOT NULL").select("order_id", "category").distinct().count()
+
+
+def test_scans_are_small_while_tables_are_written(spark):
+    from storelens import session
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    with session.shuffles_for(spark, 10, "4m"):
+        assert spark.conf.get(key) == session.SCAN_BYTES
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4m"
+    assert spark.conf.get(key) == was
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
+def test_lines_are_dealt_by_year_before_their_texts_are_built(spark):
+    from storelens.sources.star import order_lines_from_star
+    def plan_of(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    df = order_lines_from_star(spark, SF, by_year=True)
+    before, after = plan_of(df).split("RebalancePartitions")
+    assert "AS row_id" in before and "AS row_id" not in after and "n_name" in before
+    plain = order_lines_from_star(spark, SF)
+    same(df.drop("order_year"), plain)
+    # a part table too large to broadcast meets the lines before the order header does
+    shuffled = order_lines_from_star(spark, SF, by_year=True, broadcast_bytes=0)
+    joined = plan_of(shuffled).split("RebalancePartitions")[1]
+    assert joined.index("(l_orderkey#") < joined.index("(l_partkey#")
+    same(shuffled.drop("order_year"), plain)

@@ -408,7 +408,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("row"))
     known = rows.where("doc_id is not null")
     cuts = splitters(known, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), length)
-    found = stored(compare(suffix_rows(known, cuts, length), cuts), "suffixes")
-    more = extend(known, found.where("place is not null"), length)
+    # each step's shuffle files go before the next step writes its own
+    found = stored(compare(suffix_rows(known, cuts, length), cuts), "suffixes", free=True)
+    more = stored(extend(known, found.where("place is not null"), length), "extended", free=True)
     removed = found.where("place is null").unionByName(more).select("doc_id", "row", "lo", "hi")
     return apply_removals(rows, removed, length, with_bytes)

@@ -209,3 +209,19 @@ def test_distinct_documents(spark):
 @pytest.mark.parametrize("op", [substring_dedup.remove_repeats, suffix_dedup.remove_repeats, simhash.near_duplicates])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_suffix_steps_free_their_shuffle_files(spark, monkeypatch):
+    from storelens.llm import common, suffix_dedup
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    real = common.fresh_dir
+    monkeypatch.setattr(common, "fresh_dir", lambda s, kind: (seen.append(kind), real(s, kind))[1])
+    free, stored = [], suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, kind, **kw: (free.append(kw.get("free")), stored(df, kind, **kw))[1])
+    was = spark.conf.get(key, None)
+    text = "".join(f"{i * i} " for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text + "y"), (3, "z")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs, with_bytes=False).collect()}
+    assert got == {1: 0, 2: len(text), 3: 0}
+    assert seen == ["suffixes", "extended"] and free == [True, True]
+    assert spark.conf.get(key, None) == was

@@ -12,6 +12,7 @@ those who answer "level: no" or "at most: yes" go to 2 i, the others to 2 i + 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,14 +35,19 @@ class Tree:
 
     def node(self) -> Column:
         """The leaf that a row comes to."""
-        at = F.lit(1).cast("long")
-        for i, (feature, level, bound) in sorted(self.splits.items()):
-            if level is not None:
-                right = F.coalesce(F.col(feature) == level, F.lit(False))
-            else:
-                right = ~F.coalesce(bound_of(feature) <= bound, F.lit(False))
-            at = F.when(at == i, F.lit(2 * i).cast("long") + right.cast("long")).otherwise(at)
-        return at
+        return self.at_leaf(lambda i: F.lit(i).cast("long"))
+
+    def at_leaf(self, result: Callable[[int], Column], i: int = 1) -> Column:
+        """``result`` of the leaf that a row comes to below node i: a row answers one split a level, and the expression
+        holds every split once."""
+        if i not in self.splits:
+            return result(i)
+        feature, level, bound = self.splits[i]
+        if level is not None:
+            right = F.coalesce(F.col(feature) == level, F.lit(False))
+        else:
+            right = ~F.coalesce(bound_of(feature) <= bound, F.lit(False))
+        return F.when(right, self.at_leaf(result, 2 * i + 1)).otherwise(self.at_leaf(result, 2 * i))
 
     def value(self, rows: Column, label: Column) -> Column:
         """Weighted mean of the label from the row count and the label's sum."""
@@ -150,9 +156,6 @@ def tree_scores(ol: DataFrame, label: str, **kw) -> DataFrame:
     leaves = ol.groupBy(tree.node().alias("node")).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).alias("label"))
     values = {r["node"]: r["value"] for r in leaves.select(
         "node", tree.value(F.col("rows"), F.col("label")).alias("value")).collect()}
-    node = tree.node()
-    value = F.lit(None).cast("double")
-    for i, v in sorted(values.items()):
-        value = F.when(F.col("node") == i, F.lit(v)).otherwise(value)
-    return ol.select("row_id", node.alias("node"), F.col(label).alias("label")).select(
-        "row_id", "node", F.col("label").cast("double").alias("actual"), round_half_away(value, 6).alias("predicted"))
+    value = tree.at_leaf(lambda i: F.lit(values.get(i)).cast("double"))
+    return ol.select("row_id", tree.node().alias("node"), F.col(label).cast("double").alias("actual"),
+                     round_half_away(value, 6).alias("predicted"))

@@ -231,3 +231,24 @@ def test_models_are_saved_and_loaded(spark, lines, tmp_path):
     assert len(models.feature_importance(one.forest, spark).collect()) <= 12
     assert sum(r["importance"] for r in models.feature_importance(one.forest, spark, k=None).collect()) == \
         __import__("pytest").approx(1.0)
+
+
+def test_a_tree_asks_each_split_once_and_a_leaf_is_the_one_its_answers_lead_to(lines):
+    from storelens.operators.exact_tree import Tree
+    tree = Tree({1: ("category", "k", None), 2: ("quantity", None, 3.0), 3: ("region", "E", None),
+                 5: ("category", "l", None), 6: ("quantity", None, 5.0)}, None)
+    ol = lines([dict(category=c, region=r, quantity=q) for c in ("k", "l", None) for r in ("E", "W", None)
+                for q in (1, 3, 4, 6, None)])
+
+    def leaf(r):
+        at = 1
+        while at in tree.splits:
+            f, level, bound = tree.splits[at]
+            at = 2 * at + (r[f] == level if level is not None else not (r[f] is not None and r[f] <= bound))
+        return at
+
+    got = ol.select("category", "region", "quantity", tree.node().alias("node")).collect()
+    assert [r["node"] for r in got] == [leaf(r) for r in got] and len({r["node"] for r in got}) == 6
+    text = tree.node()._jc.toString()
+    assert [text.count(f"{x} ") for x in ("quantity", "region")] <= [2, 1] and text.count("'E'") <= 1
+    assert len(text) < 1500

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from storelens.functions.exprs import mean
 from storelens.session import fresh_dir, shuffles_for
+from storelens.sources.reuse import COMPRESSION
 from storelens.sources.sinks import stored
 
 CUSTOMER_KEYS = ["customer_id", "customer_name", "segment", "state", "region", "order_month", "order_month_ts"]
@@ -166,8 +167,8 @@ def write(ol: DataFrame, path: str) -> None:
     """Writes the three tables under ``path``."""
     spark = ol.sparkSession
     with shuffles_for(spark, ol.count(), MERGED_BYTES):
-        _rolled(ol, CUSTOMER_KEYS, CUSTOMER_LEVELS).write.parquet(f"{path}/customers")
-        _rolled(ol, PRODUCT_KEYS, PRODUCT_LEVELS, True).write.parquet(f"{path}/products")
+        _rolled(ol, CUSTOMER_KEYS, CUSTOMER_LEVELS).write.parquet(f"{path}/customers", compression=COMPRESSION)
+        _rolled(ol, PRODUCT_KEYS, PRODUCT_LEVELS, True).write.parquet(f"{path}/products", compression=COMPRESSION)
         customers = spark.read.parquet(f"{path}/customers")
         # written once: numbers stay as they are; they are dense within each part of the table
         numbers = stored(customers.where("customer_id IS NOT NULL").select("customer_id").distinct()
@@ -175,7 +176,7 @@ def write(ol: DataFrame, path: str) -> None:
         bits = (customers.select("customer_id", "order_month").join(numbers, "customer_id")
                 .groupBy("order_month", F.bitmap_bucket_number("number").alias("bucket"))
                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
-        bits.write.parquet(f"{path}/months")
+        bits.write.parquet(f"{path}/months", compression=COMPRESSION)
 
 
 def read(spark: SparkSession, path: str) -> Rollup:

@@ -266,3 +266,12 @@ def test_lines_are_dealt_by_year_before_their_texts_are_built(spark):
     joined = plan_of(shuffled).split("RebalancePartitions")[1]
     assert joined.index("(l_orderkey#") < joined.index("(l_partkey#")
     same(shuffled.drop("order_year"), plain)
+
+
+def test_stored_lines_and_rollup_are_written_as_zstd(spark, tmp_path):
+    from storelens.sources.loader import load_order_lines
+    lines = load_order_lines(spark, SF)
+    found = [f for f in lines.inputFiles() if f.endswith(".parquet")]
+    rollup.write(lines, str(tmp_path / "r"))
+    found += [f for _, _, names in os.walk(tmp_path / "r") for f in names if f.endswith(".parquet")]
+    assert len(found) >= 4 and all(f.endswith(".zstd.parquet") for f in found)

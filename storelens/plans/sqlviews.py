@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from storelens.functions.exprs import round_half_away
 from storelens.operators.rollup import Rollup
 from storelens.schema import BASE_COLUMNS, DERIVED_COLUMNS, REFERENCE_NAMES
-from storelens.session import fresh_dir
+from storelens.session import SCAN_BYTES, fresh_dir, settings
+from storelens.sources.reuse import COMPRESSION
 
 ROUND4 = "signum({x}) * floor(abs({x}) * 10000.0 + 0.5) / 10000.0"
 ROUND2 = "signum({x}) * floor(abs({x}) * 100.0 + 0.5) / 100.0"
@@ -107,15 +108,14 @@ def write_sql_store(spark: SparkSession, ol: DataFrame, path: str | None = None)
     """Write the ``orders`` table once as Parquet partitioned by ``order_year``.
 
     The path defaults to a new folder under the cluster's shared checkpoint
-    directory.  ``REBALANCE(order_year)`` hashes rows to writers by year and
-    lets AQE split a large year into advisory-size pieces and merge small
-    ones, so a year holding a third of all rows is written by many tasks and
-    no year becomes thousands of tiny files.  A written table also cuts the
+    directory.  No row is moved: the stored lines lie by year, so a task that
+    reads at most ``SCAN_BYTES`` of them meets few years and writes one file for
+    each (any other frame: a file a task and year).  A written table also cuts the
     lineage: a lost executor costs a re-read, not a re-run of the star join.
     """
     path = path or fresh_dir(spark, "sql_store")
-    (orders_table(ol).hint("rebalance", "order_year")
-     .write.mode("overwrite").partitionBy("order_year").parquet(path))
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": SCAN_BYTES}):
+        orders_table(ol).write.mode("overwrite").partitionBy("order_year").parquet(path, compression=COMPRESSION)
     return path
 
 

@@ -72,6 +72,24 @@ def test_written_sql_store_is_partitioned_and_pruned(spark):
     assert one.count() == ol.where("order_year = 1995").count()
 
 
+def test_sql_store_is_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    import glob
+
+    from pyspark.sql import DataFrameWriter
+    from storelens.plans import sqlviews
+    from storelens.sources.loader import load_order_lines
+    rows = [_line(i).replace("2016-11-08", f"{2013 + i % 4}-11-08") for i in range(1, 41)]
+    ol = load_order_lines(spark, _csv(tmp_path, rows), date_format="yyyy-MM-dd", with_sales_band=False)
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString()), real(self, *a, **k))[1])
+    path = sqlviews.write_sql_store(spark, ol)
+    assert len(plans) == 1 and "hashpartitioning" not in plans[0] and "REBALANCE" not in plans[0]
+    assert {f.split(".")[-2] for f in glob.glob(f"{path.removeprefix('file:')}/order_year=*/*.parquet")} == {"zstd"}
+    got = sqlviews.read_sql_store(spark, path)
+    assert sorted(map(str, got.collect())) == sorted(map(str, sqlviews.orders_table(ol).collect()))
+
+
 def _csv(tmp_path, rows, header=CSV.splitlines()[0]):
     path = tmp_path / "orders.csv"
     path.write_bytes("\n".join([header, *rows, ""]).encode("latin-1"))

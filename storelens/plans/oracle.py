@@ -8,6 +8,7 @@ the distributed boundary search the Spark side uses.
 
 from __future__ import annotations
 
+from storelens.operators.exact_tree import BOUNDS, EVERY_VALUE
 from storelens.plans import params as P
 from storelens.plans import tree_sql
 from storelens.schema import DISCOUNT_BAND_LABELS, NUMERIC_FEATURES, SALES_BAND_LABELS
@@ -503,7 +504,8 @@ ORACLE: dict[str, str] = {
                count(*) AS test_rows FROM scored, m)
         SELECT {rnd('mae', 6)} AS mae, {rnd('r2', 6)} AS r2, test_rows FROM e"""),
     "feature_matrix_cells": q(", " + tree_sql.matrix_cells(NUMERIC_FEATURES)),
-    **{f"{name}_tree{suffix}": q(", " + tree_sql.tree_ctes(label, balance) + "\n" + body)
+    **{f"{name}_tree{suffix}": q(", " + tree_sql.tree_ctes(
+        label, balance, steps=EVERY_VALUE if f"{name}_tree{suffix}" == "profit_tree" else BOUNDS) + "\n" + body)
        for name, label, balance in (("loss", "is_loss", True), ("profit", "profit", False))
        for suffix, body in (("", tree_sql.NODES), ("_importance", tree_sql.IMPORTANCE), ("_scores", tree_sql.SCORES))},
 }

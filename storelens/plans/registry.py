@@ -214,7 +214,7 @@ QUERIES: dict[str, Query] = {
     "loss_tree": _on(exact_tree.tree_nodes, label="is_loss", balance=True),
     "loss_tree_importance": _on(exact_tree.tree_importance, label="is_loss", balance=True),
     "loss_tree_scores": _on(exact_tree.tree_scores, label="is_loss", balance=True),
-    "profit_tree": _on(exact_tree.tree_nodes, label="profit"),
+    "profit_tree": _on(exact_tree.tree_nodes, label="profit", steps=exact_tree.EVERY_VALUE),
     "profit_tree_importance": _on(exact_tree.tree_importance, label="profit"),
     "profit_tree_scores": _on(exact_tree.tree_scores, label="profit"),
     "loss_model_metrics": lambda s, d: models.loss_model_metrics(_loss(s, d)),

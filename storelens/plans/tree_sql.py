@@ -11,13 +11,14 @@ def _rnd(x: str, d: int) -> str:
     return f"(sign({x}) * floor(abs({x}) * {s} + 0.5) / {s})"
 
 
-def _bound(c: str) -> str:
-    step = BOUNDS[c]
+def _bound(c: str, steps: dict[str, int | None]) -> str:
+    step = steps[c]
     x = f"CAST({c} AS DOUBLE)"
     return x if step is None else f"CAST(floor({x} / {float(step)}) AS DOUBLE) * {float(step)}"
 
 
-def tree_ctes(label: str, balance: bool, depth: int = DEPTH, min_leaf: int = MIN_LEAF) -> str:
+def tree_ctes(label: str, balance: bool, depth: int = DEPTH, min_leaf: int = MIN_LEAF,
+              steps: dict[str, int | None] = BOUNDS) -> str:
     """CTEs ``splits`` (all levels) and ``routed`` (row_id, node, y of every row), to follow a WITH list."""
     def w(n: str, y: str) -> str:
         n, y = f"CAST({n} AS DOUBLE)", f"CAST({y} AS DOUBLE)"
@@ -26,7 +27,7 @@ def tree_ctes(label: str, balance: bool, depth: int = DEPTH, min_leaf: int = MIN
     def s(y: str) -> str:
         return f"(wt.one * CAST({y} AS DOUBLE))" if balance else f"CAST({y} AS DOUBLE)"
 
-    bounds = ", ".join(f"{_bound(c)} AS b_{c}" for c in BOUNDS)
+    bounds = ", ".join(f"{_bound(c, steps)} AS b_{c}" for c in BOUNDS)
     out = [f"""wt AS (
   SELECT CASE WHEN count(*) > sum({label}) THEN count(*) / (2.0::DOUBLE * (count(*) - sum({label}))) ELSE 1.0::DOUBLE END AS none,
          CASE WHEN sum({label}) > 0 THEN count(*) / (2.0::DOUBLE * sum({label})) ELSE 1.0::DOUBLE END AS one FROM ol

@@ -252,3 +252,48 @@ def test_a_tree_asks_each_split_once_and_a_leaf_is_the_one_its_answers_lead_to(l
     text = tree.node()._jc.toString()
     assert [text.count(f"{x} ") for x in ("quantity", "region")] <= [2, 1] and text.count("'E'") <= 1
     assert len(text) < 1500
+
+
+def test_every_value_of_a_number_is_a_bound_of_the_tree(spark, lines, monkeypatch):
+    import itertools
+
+    from storelens.operators import exact_tree
+    from storelens.plans.oracle import ORACLE
+    from storelens.plans.registry import QUERIES
+    ol = enrich(lines([dict(sales=s, profit=9 + s % 3 if s > 2417 else s % 3, quantity=s % 2, category="ab"[s % 2])
+                       for s in range(2300, 2500)] + [dict(sales=None, profit=4)]), with_sales_band=False)
+    rows = ol.select("sales", "profit").collect()
+
+    def score(bound):
+        sides = [[r["profit"] for r in rows if (r["sales"] is not None and r["sales"] <= bound) == low] for low in (True, False)]
+        return sum(float(sum(x)) ** 2 / len(x) for x in sides) if min(map(len, sides)) >= 25 else -1
+
+    best = max(range(2300, 2500), key=lambda b: (score(b), -b))
+    top = exact_tree.tree_nodes(ol, "profit", depth=1, steps=exact_tree.EVERY_VALUE).collect()
+    assert (top[0]["feature"], top[0]["bound"], top[0]["rows"]) == ("sales", best, 201) and best == 2417
+    assert [r["rows"] for r in top[1:]] == [118, 83]
+    # the registered query takes them so, and its SQL
+    monkeypatch.setattr("storelens.plans.registry.load_order_lines", lambda *a, **k: ol)
+    assert any(r["bound"] == best for r in QUERIES["profit_tree"](spark, "").collect())
+    assert "5000" not in ORACLE["profit_tree"]
+
+
+def test_running_sums_of_many_parts_are_those_of_one_window(spark):
+    from pyspark.sql import Window
+    from storelens.operators import exact_tree
+    c = spark.range(600).select((F.col("id") % 3 + 1).alias("node"), F.lit("sales").alias("feature"), F.lit(None).cast("string")
+                                .alias("level"), (F.col("id") * 7 % 601).cast("double").alias("bound"),
+                                (F.col("id") % 5 + 1).alias("rows"), (F.col("id") % 11).cast("decimal(18,4)").alias("label"))
+    c = c.unionByName(c.limit(9).withColumn("feature", F.lit("category")).withColumn("level", F.col("bound").cast("string"))
+                      .withColumn("bound", F.lit(None).cast("double")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_tree.running_sums(c)
+        assert "Window" in got._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, got.select("node", "feature", "bound", "level", "part_rows", "part_label").collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    up = Window.partitionBy("node", "feature").orderBy("bound").rowsBetween(Window.unboundedPreceding, 0)
+    want = c.select("node", "feature", "bound", "level", *[
+        F.when(F.col("bound").isNull(), F.col(x)).otherwise(F.sum(x).over(up)).alias(f"part_{x}") for x in ("rows", "label")])
+    assert got == sorted(map(str, want.collect()))

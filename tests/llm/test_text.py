@@ -437,6 +437,29 @@ def test_nothing_is_removed_from_a_marked_article(spark):
     assert got[110].text == text
 
 
+def test_the_articles_are_searched_too(spark, monkeypatch):
+    rng = random.Random(18)
+    own = lambda n: " ".join(prose(rng, n).split())
+    quote, head, foot = own(30), own(5), own(6)
+    data = [(k, "http://one.example.org/", f"<nav>{head}</nav><article><p>{own(40)}</p><p>{quote}</p></article>"
+             f"<footer>{foot}</footer>") for k in range(5)]
+    data += [(9, "http://one.example.org/", f"<p>{quote}</p><p>{own(40)}</p>")]
+    data += [(20 + k, "http://two.example.org/", f"<main><p>{quote}</p><p>{own(9)}</p></main>") for k in range(3)]
+    for limit in (1, 1 << 20):  # a page's two streams in one run of texts or in two
+        real = html_text.text_chunks
+        monkeypatch.setattr(html_text, "text_chunks", lambda a, limit=limit, real=real: real(a, limit))
+        got = {r.page_id: r for r in html_text.extract(pages_of(spark, data)).collect()}
+        monkeypatch.setattr(html_text, "text_chunks", real)
+        n = len(quote.split())
+        outside = len(f"{head} {foot}".split())
+        # the quote and the footer after it stand on five pages; the menu is too short, and the text after it differs
+        assert [got[k].n_repeated for k in range(5)] == [n + len(foot.split())] * 5
+        assert [got[k].n_boilerplate for k in range(5)] == [outside] * 5
+        assert all(quote in got[k].text and len(got[k].text.split()) > n for k in got)
+        assert (got[9].n_repeated, got[9].n_boilerplate) == (n, 0)  # no evidence against the unmarked page
+        assert all((got[20 + k].n_repeated, got[20 + k].n_boilerplate) == (0, 0) for k in range(3))
+
+
 def test_host_strings_against_all_substrings(spark):
     """Tokens covered by any string of 8 or more tokens on 4 or more different pages of a host, by trying them all."""
     rng = random.Random(17)
